@@ -5,12 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm.language_id import predict, train
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    docs = _documents(spark, sf_dir)
+    return predict(docs, train(docs, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -22,6 +31,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op5_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm.ann import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
