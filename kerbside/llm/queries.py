@@ -12,6 +12,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm.toxicity import score, train
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    docs = _documents(spark, sf_dir)
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerbside.llm.language_id import predict, train
 
