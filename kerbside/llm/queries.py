@@ -46,6 +46,13 @@ def op5_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm.pii import find, train
+
+    docs = _documents(spark, sf_dir)
+    return find(docs, train(docs))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
