@@ -12,6 +12,7 @@ import re
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -316,8 +317,6 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def masked(docs: DataFrame, field: Field) -> DataFrame:
     """docs with all spans in text masked and n_chars, where there is such a column, as it then is. A null text stays null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def hide(texts: pd.Series) -> pd.Series:
         whole = [t or "" for t in texts]
