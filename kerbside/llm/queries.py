@@ -46,6 +46,12 @@ def op5_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm.jaccard_join import similar_groups
+
+    return similar_groups(_documents(spark, sf_dir)).drop("rid")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerbside.llm.pii import find, train
 
