@@ -36,7 +36,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
-    """A number for each row, the same whenever the same files are scanned; doc_id may repeat or be null, this doesn't."""
+    """A number for each row, the same whenever the same files are scanned; doc_id may repeat or be null, this doesn't.
+
+    df has to give the same rows in the same order each time, as tables of files do; to read it with fewer columns
+    counts as another table, if a shuffle is part of it.
+    """
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
@@ -129,3 +133,64 @@ def by_bytes(batches: Iterable, limit: int = CHUNK_BYTES) -> Iterator[tuple]:
         texts = utf8(batch.column("text"))
         for a, b in chunks(texts, limit):
             yield batch.slice(a, b - a), texts[a:b]
+
+
+def blobs(bucket: np.ndarray, columns: dict[str, np.ndarray]):
+    """A row per bucket with the values of each column in it, as bytes."""
+    import pyarrow as pa
+
+    order = np.argsort(bucket, kind="stable")
+    sorted_ = bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.append(first[1:], len(bucket)) if len(bucket) else first
+    out = [pa.array(sorted_[first].astype(np.int64))]
+    for values in columns.values():
+        values = np.ascontiguousarray(values[order])
+        out.append(pa.array([values[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary()))
+    return pa.RecordBatch.from_arrays(out, names=["bucket", *columns])
+
+
+def unblob(table, column: str, kind) -> np.ndarray:
+    """All values of a column that blobs() made."""
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+
+
+#: Bits of a bitmap, whatever the number of values.
+BITMAP_BITS = 1 << 23
+_BITMAP_PART = 1 << 15
+
+
+def _bits_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(values.astype(np.int64).view(np.uint64))
+    return (h % np.uint64(BITMAP_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(BITMAP_BITS)).astype(np.int64)
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size (1 MB) by which in_bitmap() finds all values of a column again, and a few others.
+
+    Tasks build it and merge it part by part; only the whole of that size comes to the driver.
+    """
+    import pyarrow as pa
+
+    def mark(batches):
+        bits = np.zeros(BITMAP_BITS // 8, np.uint8)
+        for batch in batches:
+            for at in _bits_of(batch.column("v").to_numpy(zero_copy_only=False)):
+                np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        parts = bits.reshape(-1, _BITMAP_PART)
+        some = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["part", "bits"])
+
+    def merge(table):
+        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()])
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    bits = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for part, data in df.select(F.col(column).alias("v")).mapInArrow(mark, "part long, bits binary").groupBy("part").applyInArrow(merge, "part long, bits binary").collect():
+        bits[part * _BITMAP_PART : (part + 1) * _BITMAP_PART] = np.frombuffer(data, np.uint8)
+    return bits
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    a, b = _bits_of(values)
+    return ((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import by_bytes, chunks, gram_hashes, mix, stored, utf8, with_row_id, word_hashes
+from kerbside.llm.common import bitmap, by_bytes, chunks, gram_hashes, in_bitmap, mix, stored, utf8, with_row_id, word_hashes
 from kerbside.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -35,9 +35,6 @@ COSTLY, NOTED = 8, 1 << 16
 BUCKET_KEYS = 500_000
 LEAST_BUCKETS = 1024
 
-#: Bits of the filter by which texts that some pair needs are found again.
-FILTER_BITS = 1 << 23
-
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
@@ -243,38 +240,11 @@ def _meet(table):
     return pa.Table.from_arrays([pa.array(key[keep] + (bucket << 40)), pa.array(node[keep])], names=["key", "node"])
 
 
-def _filter(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that has the bits of all nodes; built by tasks, chunk by chunk."""
-    import pyarrow as pa
-
-    chunk = 1 << 15
-
-    def mark(batches):
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for batch in batches:
-            h = mix(batch.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            for at in (h % np.uint64(FILTER_BITS), (h >> np.uint64(32)) % np.uint64(FILTER_BITS)):
-                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        parts = bits.reshape(-1, chunk)
-        some = np.flatnonzero(parts.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["part", "bits"])
-
-    def merge(table):
-        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()])
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    rows = nodes.mapInArrow(mark, "part long, bits binary").groupBy("part").applyInArrow(merge, "part long, bits binary").collect()  # FILTER_BITS in all
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for part, data in rows:
-        bits[part * chunk : (part + 1) * chunk] = np.frombuffer(data, np.uint8)
-    return bits
-
-
 def _sets_of(rows: DataFrame, nodes: DataFrame, o: Options) -> DataFrame:
     """node, tokens (sorted hashes as bytes) of the given nodes and a few others."""
     import pyarrow as pa
 
-    sent = rows.sparkSession.sparkContext.broadcast(_filter(nodes))
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap(nodes, "node"))
 
     def run(batches):
         bits, seen = sent.value, set()
@@ -285,8 +255,7 @@ def _sets_of(rows: DataFrame, nodes: DataFrame, o: Options) -> DataFrame:
                 for s in shingle_sets(texts[a:b], o.words):
                     if not len(s) or (v := class_of(s)) in seen:
                         continue
-                    h = int(mix(np.array([v], np.int64).view(np.uint64))[0])
-                    if all(bits[x >> 3] >> (x & 7) & 1 for x in (h % FILTER_BITS, (h >> 32) % FILTER_BITS)):
+                    if in_bitmap(bits, np.array([v], np.int64))[0]:
                         seen.add(v)
                         node.append(v)
                         tokens.append(s.tobytes())

@@ -40,6 +40,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_documents(spark, sf_dir))
+
+
 def op5_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerbside.llm.ann import search
 
