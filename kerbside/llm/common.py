@@ -194,3 +194,24 @@ def bitmap(df: DataFrame, column: str) -> np.ndarray:
 def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     a, b = _bits_of(values)
     return ((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs, a table of files, without the rows whose numbers (see with_row_id) are in dropped (rid).
+
+    Rows that a bitmap of fixed size tells to stay aren't shuffled; the others are joined.
+    """
+    import pyarrow as pa
+
+    rows = with_row_id(docs, "_rid")
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(dropped, "rid"))
+
+    def those(found: bool):
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(in_bitmap(sent.value, batch.column("_rid").to_numpy()) == found))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    gone = dropped.select(F.col("rid").alias("_rid"))
+    return those(False).unionByName(those(True).join(gone, "_rid", "left_anti")).drop("_rid")

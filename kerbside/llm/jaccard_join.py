@@ -289,7 +289,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, options: Options = Options()) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, rid.
+    """One row per row of docs: doc_id, n_shingles, component_id, rid, kept (one row of each component).
 
     Texts link when 100 * (size of the intersection) >= percent * (size of the union) of their shingle sets; component_id
     is the least doc_id that links reach, the row's own included. A null or empty text, or one of white space, has no
@@ -327,5 +327,9 @@ def similar_groups(docs: DataFrame, options: Options = Options()) -> DataFrame:
         labels = components(links.unionByName(more))
 
     placed = stored(known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
-    names = stored(placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component")), "names")
-    return placed.join(names, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "rid")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("first")
+    names = stored(placed.where("label is not null").groupBy("label").agg(first), "names")
+    alone = F.col("label").isNull()
+    return placed.join(names, "label", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), "rid", (alone | (F.col("rid") == F.col("first.rid"))).alias("kept")
+    )

@@ -55,7 +55,7 @@ def op5_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerbside.llm.jaccard_join import similar_groups
 
-    return similar_groups(_documents(spark, sf_dir)).drop("rid")
+    return similar_groups(_documents(spark, sf_dir)).drop("rid", "kept")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
