@@ -14,7 +14,10 @@ from itertools import chain
 import numpy as np
 
 #: Pieces that a worker remembers at most, and the longest that it remembers.
-CACHE_PIECES, CACHE_BYTES = 700_000, 48
+CACHE_PIECES, CACHE_BYTES = 1_000_000, 48
+
+#: Pieces whose bounds show in the ids are encoded so many at a time, as one text.
+TOGETHER = 64
 
 _PIECE = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8f\xa8-\xaf]|\x81[\x9f-\xaf])|\xe3\x80\x80|\xef\xbb\xbf")
@@ -30,6 +33,11 @@ class CachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.pieces = bytes.split if spaces_dropped else _PIECE.findall
+        # in a text of pieces like these, such ids end each (a piece of letters is one match of the split pattern) or begin each
+        vocabulary, self.by_end = self.tokenizer.get_vocab(), spaces_dropped
+        self.bound = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.bound[[i for t, i in vocabulary.items() if (t.endswith("</w>") if spaces_dropped else t.startswith("\u0120"))]] = True
+        self.alone = re.compile(rb"[A-Za-z\xc3-\xc9\x80-\xbf]+" if spaces_dropped else rb" [^\t-\r ]+").fullmatch
         self.clear()
 
     def clear(self) -> None:
@@ -37,19 +45,40 @@ class CachedTokenizer:
         self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and lengths of pieces, or None if their bounds don't show."""
+        join = (b" " if self.by_end else b"").join
+        ids = np.fromiter(chain.from_iterable(self._encoded([join(pieces[i : i + TOGETHER]).decode() for i in range(0, len(pieces), TOGETHER)])), np.uint32)
+        at = np.flatnonzero(self.bound[ids])
+        if len(at) != len(pieces):
+            return None
+        return ids, np.diff(at, prepend=-1) if self.by_end else np.diff(np.append(at, len(ids)))
+
     def add(self, pieces: list[bytes]) -> None:
-        made = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
-        lens = np.fromiter(map(len, made), np.int64, len(made))
-        n, total, first = len(self.index), int(lens.sum()), len(self.index)
+        letters = [p for p in pieces if self.alone(p)]
+        made = self._together(letters) if len(letters) > TOGETHER else None
+        if made:
+            self._keep(letters, *made)
+            pieces = [p for p in pieces if not self.alone(p)]
+        if pieces:
+            lists = self._encoded([p.decode() for p in pieces])
+            lens = np.fromiter(map(len, lists), np.int64, len(lists))
+            self._keep(pieces, np.fromiter(chain.from_iterable(lists), np.uint32, int(lens.sum())), lens)
+
+    def _keep(self, pieces: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
+        n, total = len(self.index), len(ids)
         while self.n_ids + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(made) > len(self.lens):
+        while n + len(pieces) > len(self.lens):
             self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
-        self.ids[self.n_ids : self.n_ids + total] = np.fromiter(chain.from_iterable(made), np.uint32, total)
-        self.lens[first : first + len(made)] = lens
-        self.starts[first : first + len(made)] = self.n_ids + np.cumsum(lens) - lens
+        self.ids[self.n_ids : self.n_ids + total] = ids
+        self.lens[n : n + len(pieces)] = lens
+        self.starts[n : n + len(pieces)] = self.n_ids + np.cumsum(lens) - lens
         self.n_ids += total
-        self.index.update(zip(pieces, range(first, first + len(made)), strict=True))
+        self.index.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lists = [[t] if _OTHER_SPACE.search(t) else self.pieces(t) for t in texts]
