@@ -20,7 +20,7 @@ from kerbside.llm.common import CHUNK_BYTES, bitmap, blobs, gram_hashes, in_bitm
 WINDOW, SEED_WORDS = 35, 16
 
 #: Anchors or windows that a map task gathers before it sends them.
-HELD = 2_000_000
+HELD = 1_000_000
 
 #: Bytes of text for each bucket, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 10 << 20, 1024
@@ -80,19 +80,17 @@ class _Gathered:
         return (rid[many], pos[many]), blobs(bucket, {"keys": key[one], "rids": rid[one], "places": pos[one].astype(np.int32) | (many[one].astype(np.int64) << 31).astype(np.int32)})
 
 
-_SENT = "bucket long, keys binary, rids binary, places binary, known_rids binary, known_places binary"
+_SENT = "bucket long, known boolean, keys binary, rids binary, places binary"
 
 
-def _rows(known, sent):
-    """Both kinds of rows that a map task sends: to other tasks by bucket, and, without one, what is known to be repeated."""
+def _rows(known, sent, buckets: int):
+    """What a map task sends: keys by bucket, and what it knows to be repeated, which goes on from any bucket."""
     import pyarrow as pa
 
-    n = sent.num_rows
-    none = pa.array([None] * n, pa.binary())
-    yield pa.RecordBatch.from_arrays([*sent.columns, none, none], names=["bucket", "keys", "rids", "places", "known_rids", "known_places"])
-    if len(known[0]):
-        none = pa.array([None], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), none, none, none, pa.array([known[0].astype(np.int64).tobytes()]), pa.array([known[1].astype(np.int32).tobytes()])], names=["bucket", "keys", "rids", "places", "known_rids", "known_places"])
+    rid, pos = known[0].astype(np.int64), known[1].astype(np.int32)
+    for batch, flag in ((sent, False), (blobs(_doc_bucket(rid) % buckets, {"keys": np.zeros((len(rid), 0), np.uint8), "rids": rid, "places": pos}), True)):
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flag] * batch.num_rows), *batch.columns[1:]], names=["bucket", "known", "keys", "rids", "places"])
 
 
 def _seeds(buckets: int, window: int, seed: int):
@@ -106,9 +104,9 @@ def _seeds(buckets: int, window: int, seed: int):
             doc = np.searchsorted(ends, at, "right")
             held.add(grams[at], batch.column("rid").to_numpy()[doc], at - (ends - lens)[doc])
             if held.size > HELD:
-                yield from _rows(*held.flush())
+                yield from _rows(*held.flush(), buckets)
         if held.parts:
-            yield from _rows(*held.flush())
+            yield from _rows(*held.flush(), buckets)
 
     return run
 
@@ -130,39 +128,33 @@ def _extended(buckets: int, window: int, seed: int):
             doc = np.searchsorted(begin + lens, start, "right")
             held.add(gram_hashes(words, window)[start] if len(words) >= window else np.zeros(0, np.uint64), batch.column("rid").to_numpy()[doc], start - begin[doc])
             if held.size > HELD:
-                yield from _rows(*held.flush())
+                yield from _rows(*held.flush(), buckets)
         if held.parts:
-            yield from _rows(*held.flush())
+            yield from _rows(*held.flush(), buckets)
 
     return run
 
 
 def _repeated(table):
-    """Rows and places of a bucket's keys that several tasks hold, or that one holds several times, dealt by document."""
+    """Rows and places of a bucket's keys that several tasks hold, and of those known before, dealt by document."""
     import pyarrow as pa
 
+    told = table.column("known").to_numpy()
+    sure, table = table.filter(pa.array(told)), table.filter(pa.array(~told))
     key, rid, place = unblob(table, "keys", np.uint64), unblob(table, "rids", np.int64), unblob(table, "places", np.int32)
-    known = place < 0
     order = np.argsort(key, kind="stable")
-    key, rid, place, known = key[order], rid[order], place[order], known[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    key, rid, place = key[order], rid[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(key)))
-    some = (np.repeat(count, count) > 1) & ~known
-    # a key that one task sent alone, marked, is known there already
-    return pa.Table.from_batches([blobs(_doc_bucket(rid[some]), {"rids": rid[some], "places": place[some]})])
+    some = (np.repeat(count, count) > 1) & (place >= 0)  # marked ones are known
+    rid, place = np.concatenate([rid[some], unblob(sure, "rids", np.int64)]), np.concatenate([place[some], unblob(sure, "places", np.int32)])
+    return pa.Table.from_batches([blobs(_doc_bucket(rid), {"rids": rid, "places": place})])
 
 
 def _doc_bucket(rid: np.ndarray) -> np.ndarray:
     return (mix(rid.astype(np.int64).view(np.uint64)) % np.uint64(DOC_BUCKETS)).astype(np.int64)
 
 
-def _known(batches):
-    for batch in batches:
-        for r, p in zip(batch.column("known_rids").to_pylist(), batch.column("known_places").to_pylist(), strict=True):
-            rid = np.frombuffer(r, np.int64)
-            yield blobs(_doc_bucket(rid), {"rids": rid, "places": np.frombuffer(p, np.int32)})
-
-
 def _by_document(spans_of: int):
     """rid, places of each document of a bucket; spans_of: the places are starts of windows of so many words, told as start, end, ..."""
 
@@ -189,10 +181,8 @@ def _by_document(spans_of: int):
 
 def _gather(sent: DataFrame, spans_of: int = 0) -> DataFrame:
     """rid, places for what a step's tasks have sent."""
-    kind = "bucket long, rids binary, places binary"
-    met = sent.where("bucket is not null").select("bucket", "keys", "rids", "places").groupBy("bucket").applyInArrow(_repeated, kind)
-    known = sent.where("bucket is null").select("known_rids", "known_places").mapInArrow(_known, kind)
-    return met.unionByName(known).groupBy("bucket").applyInArrow(_by_document(spans_of), "rid long, places array<int>")
+    met = sent.groupBy("bucket").applyInArrow(_repeated, "bucket long, rids binary, places binary")
+    return met.groupBy("bucket").applyInArrow(_by_document(spans_of), "rid long, places array<int>")
 
 
 def _digest(batches):
@@ -235,11 +225,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> tu
     rows = with_row_id(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(1 << 24, max(LEAST_BUCKETS, size // BUCKET_BYTES))
-    seeds = stored(rows.mapInArrow(_seeds(buckets, window, seed), _SENT), "seeds")
-    places = stored(_gather(seeds), "anchors")
+    places = stored(_gather(rows.mapInArrow(_seeds(buckets, window, seed), _SENT)), "anchors")
     bits = rows.sparkSession.sparkContext.broadcast(bitmap(places, "rid"))
     texts = _picked(rows, bits).join(places, "rid").select("rid", "text", "places")
-    windows = stored(texts.mapInArrow(_extended(buckets, window, seed), _SENT), "windows")
+    windows = texts.mapInArrow(_extended(buckets, window, seed), _SENT)
     return rows, stored(_gather(windows, window), "repeats")
 
 
