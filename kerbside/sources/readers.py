@@ -126,7 +126,7 @@ def parse_camera(text: str) -> Camera:
         data = json.loads(text)
     except ValueError:
         data = {}
-        for key, body in re.findall(r"(?ms)^\s*(camera_matrix|K|dist_coeffs|dist)\s*:(.*?)(?=^\s*[A-Za-z_]\w*\s*:\s*(?:\[|$)|\Z)", text):
+        for _, key, body in re.findall(r"(?ms)^([ \t]*)(camera_matrix|K|dist_coeffs|dist)[ \t]*:(.*?)(?=^\1[^\s\-\]]|\Z)", text):
             inner = re.search(r"data\s*:\s*\[(.*?)\]", body, re.S)
             data[key] = [float(x) for x in re.findall(NUMBER, inner.group(1) if inner else body)]
 
