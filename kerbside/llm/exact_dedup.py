@@ -59,7 +59,7 @@ def _blocks(block_bytes: int):
 
 
 def _named(batches):
-    """(gen, no, name): rows come sorted by block; equal neighbours share a name, and names ascend as the blocks do."""
+    """(gen, no, name): rows come sorted, equal blocks together; equal neighbours share a name, and names ascend."""
     import pyarrow as pa
     from pyspark import TaskContext
 
@@ -78,8 +78,9 @@ def block_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     rows = with_row_id(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     cut = rows.mapInArrow(_blocks(block_bytes), "rid long, doc_id long, pos long, blocks long, gen long, no int, block binary, sha binary")
     blocks = stored(cut, "blocks")  # each distinct block of a map task once
-    first = blocks.where("block is not null").select("block", "gen", "no")
-    names = stored(first.repartitionByRange("block").sortWithinPartitions("block").mapInArrow(_named, "gen long, no int, name long"), "names")
+    # sorted by a hash first, so that the sample which settles the ranges holds no contents; equal blocks are neighbours still
+    first = blocks.where("block is not null").select("block", "gen", "no", F.xxhash64("block").alias("spread"))
+    names = stored(first.repartitionByRange("spread").sortWithinPartitions("spread", "block").select("block", "gen", "no").mapInArrow(_named, "gen long, no int, name long"), "names")
     level = stored(blocks.select("rid", "pos", "blocks", "gen", "no").join(names, ["gen", "no"]).select("rid", "pos", "blocks", "name"), "level")
     depth, done = 0, []
     while True:
@@ -110,7 +111,7 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
     other than doc_id and text are ignored, whatever their names.
     """
     named = stored(block_names(docs, block_bytes), "named")
-    groups = named.groupBy("depth", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    groups = stored(named.groupBy("depth", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size")), "groups")
     return named.join(groups, ["depth", "name"]).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
