@@ -80,7 +80,7 @@ def infer(images: DataFrame, make_predictor: Callable, model: tuple[int, int] =
             if out is None:
                 out = np.full((len(tensors), 0, 0), np.nan, np.float32)
             failed = np.isnan(out).reshape(len(out), -1).all(1) if out[0].size else np.ones(len(out), bool)
-            return [{"data": [] if bad else o.ravel(), "shape": [1, *o.shape]} for o, bad in zip(out, failed, strict=True)]
+            return [{"data": o.ravel()[: 0 if bad else o.size], "shape": np.array([1, *o.shape])} for o, bad in zip(out, failed, strict=True)]
 
         return run
 
