@@ -143,15 +143,17 @@ def geo_stage(detections: DataFrame, homography: Sequence[float], origin: tuple[
 
     pixel_scale turns the detections' pixels into those that the homography was found with.
     """
-    seen = F.struct((F.col("cx") * float(pixel_scale)).alias("x"), (F.col("cy") * float(pixel_scale)).alias("y"))
-    out = detections.withColumn("_p", seen)
+    # flat columns at each step, which Spark computes once however often the next step names them
+    out = detections.withColumns({"_x": F.col("cx") * float(pixel_scale), "_y": F.col("cy") * float(pixel_scale)})
     if camera is not None:
-        fresh = undistorted("_p.x", "_p.y", camera)
-        out = out.withColumn("_p", F.when(F.col("undistorted"), F.col("_p")).otherwise(fresh) if "undistorted" in detections.columns else fresh)
-    out = out.withColumn("_g", perspective("_p.x", "_p.y", homography))
+        done = F.coalesce(F.col("undistorted"), F.lit(False)) if "undistorted" in detections.columns else F.lit(False)
+        out = out.withColumn("_u", undistorted("_x", "_y", camera))
+        out = out.withColumns({k: F.when(done, F.col(k)).otherwise(F.col(f"_u.{k[1]}")) for k in ("_x", "_y")}).drop("_u")
+    g = perspective("_x", "_y", homography)
+    out = out.withColumns({"ground_x": g["x"], "ground_y": g["y"]})
     lon, lat = (F.lit(None).cast("double") if origin is None else F.lit(float(v)) for v in (origin or (0, 0)))
-    out = out.withColumn("_l", from_ground("_g.x", "_g.y", lon, lat))
-    return out.withColumns({"ground_x": F.col("_g.x"), "ground_y": F.col("_g.y"), "lon": F.col("_l.lon"), "lat": F.col("_l.lat")}).drop("_p", "_g", "_l")
+    p = from_ground("ground_x", "ground_y", lon, lat)
+    return out.withColumns({"lon": p["lon"], "lat": p["lat"]}).drop("_x", "_y")
 
 
 def ground_corners(corners, homography: Sequence[float], camera: Camera | None = None) -> Column:

@@ -45,17 +45,35 @@ def survivors(boxes: np.ndarray, scores: np.ndarray, threshold: float, rotated:
 def suppress(detections: DataFrame, threshold: float = 0.45, rotated: bool = True, keys: Sequence[str] = FRAME, end_to_end: bool = False) -> DataFrame:
     """The detections that stay. end_to_end: all do, as the model has suppressed duplicates itself.
 
-    A frame's boxes are one group: the choice is sequential within a frame and independent between frames.
+    The choice is sequential within a frame and independent between frames, whose rows come sorted; tasks hold the open
+    frame only. keys must not be null.
     """
     if end_to_end:
         return detections
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("det_idx", kind="stable")
-        stay = survivors(frame[["cx", "cy", "w", "h", "angle"]].to_numpy(), frame["confidence"].to_numpy(), threshold, rotated)
-        return frame.iloc[np.sort(stay)]
+    names = list(keys)
 
-    return detections.groupBy(*keys).applyInPandas(run, detections.schema)
+    def stay(rows: pd.DataFrame) -> pd.DataFrame:
+        new = (rows[names] != rows[names].shift()).any(axis=1).to_numpy()
+        bounds = [*np.flatnonzero(new), len(rows)]
+        boxes, scores = rows[["cx", "cy", "w", "h", "angle"]].to_numpy(float), rows["confidence"].to_numpy(float)
+        kept = [a + np.sort(survivors(boxes[a:b], scores[a:b], threshold, rotated)) for a, b in zip(bounds, bounds[1:], strict=False)]
+        return rows.iloc[np.concatenate(kept)] if kept else rows
+
+    def run(batches):
+        held = None  # the frame that may go on in the next batch
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            last = (rows[names] == rows[names].iloc[-1]).all(axis=1).to_numpy()
+            held, rows = rows[last], rows[~last]
+            if len(rows):
+                yield stay(rows)
+        if held is not None:
+            yield stay(held)
+
+    return detections.repartition(*names).sortWithinPartitions(*names, "det_idx").mapInPandas(run, detections.schema)
 
 
 def suppress_frames(frames: DataFrame, threshold: float = 0.45, rotated: bool = True) -> DataFrame:
