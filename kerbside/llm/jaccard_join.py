@@ -2,8 +2,9 @@
 
 Texts of a size band share a division of all tokens into segments by hash. Two sets that are similar enough differ in
 at most H tokens, so at least one of any H + 1 segments that one of them fills is the same in both. A set is indexed
-under H + 1 of its filled segments: which, is settled by cost, those come first that few sets share. Where a set fills
-too few segments, its whole band is indexed under all segments and under their one-deletion neighbourhoods too, which
+under H + 1 of its filled segments: which, is settled by cost, which is how many sets share a segment. All sets' first
+H + 1 segments in one order have to meet, so a set with enough segments of its own is indexed under nothing that any
+other has. Where a set fills too few segments, its whole band is indexed under all segments and under their one-deletion neighbourhoods too, which
 lets two sets meet in a segment in which they differ by one token; where even that is too little, the band is divided
 more finely. What meets is verified exactly.
 
@@ -17,10 +18,10 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import bitmap, by_bytes, chunks, gram_hashes, in_bitmap, mix, stored, utf8, with_row_id, word_hashes
+from kerbside.llm.common import bitmap, blobs, by_bytes, chunks, gram_hashes, in_bitmap, mix, stored, unblob, utf8, with_row_id, word_hashes
 from kerbside.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -28,11 +29,15 @@ WORDS, PERCENT = 5, 75
 #: Segments of a band as a multiple of its least size; bands below this size have a segment for each token.
 SPREAD, THICK = 1.5, 32
 
-#: A key that so many sets of a task share is noted as costly; so many keys are noted at most, the costliest.
-COSTLY, NOTED = 8, 1 << 16
+#: A key that so many sets of a task share is noted as costly, and its list isn't gathered in a task; so many keys are
+#: noted at most, the costliest.
+COSTLY, NOTED = 64, 1 << 16
 
 #: Keys that are compared in a task at a time, about.
 BUCKET_KEYS = 500_000
+
+#: Keys that a map task gathers before it counts or sends them.
+HELD = 1_000_000
 LEAST_BUCKETS = 1024
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -107,18 +112,14 @@ def shortage(s: np.ndarray, band: int, percent: int, spread: float, thick: int)
         finer += 1
 
 
-def allocate(s: np.ndarray, band: int, how: tuple[int, int], costly: tuple[np.ndarray, np.ndarray], percent: int, spread: float, thick: int) -> np.ndarray:
-    """The keys under which a set is indexed in a band; how: how much finer it is, and whether with deletions."""
-    finer, deletions = how
-    x = segment_keys(s, band, finer, spread, thick, bool(deletions))
-    if deletions:
-        return np.concatenate([x.keys, x.deletions])
-    keys, counts = costly
-    cost = np.zeros(len(x.keys), np.int64)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, x.keys), len(keys) - 1)
-        cost = np.where(keys[at] == x.keys, counts[at], 0)
-    return x.keys[np.lexsort((x.keys, cost))[: budget(len(s), percent) + 1]]
+def indexed(s: np.ndarray, band: int, how: tuple[int, int], percent: int, spread: float, thick: int) -> tuple[np.ndarray, int]:
+    """A set's keys in a band, their last bit that of the band, and how many of them it needs beyond those that it alone has.
+
+    how: how much finer the band is, and whether with deletions, when all that it shares are needed.
+    """
+    x = segment_keys(s, band, how[0], spread, thick, bool(how[1]))
+    keys = np.concatenate([x.keys, x.deletions]) & ~np.uint64(1) | np.uint64(band & 1)
+    return keys, 1 << 30 if how[1] else budget(len(s), percent) + 1 - len(keys)
 
 
 class Options(NamedTuple):
@@ -155,14 +156,15 @@ def _survey(o: Options):
                 if len(s) and node[-1] not in seen:
                     seen.add(node[-1])
                     for band in bands_of(len(s), o.percent):
-                        if (1 << band) >= o.thick and (how := shortage(s, band, o.percent, o.spread, o.thick)):
+                        mine, need = indexed(s, band, (0, 0), o.percent, o.spread, o.thick)
+                        if need > 0 and (how := shortage(s, band, o.percent, o.spread, o.thick)):
                             short[(band, *how)] = None
-                        held.append(segment_keys(s, band, 0, o.spread, o.thick).keys)
+                        held.append(mine)
                         size += len(held[-1])
             yield rows(rid=batch.column("rid"), doc_id=batch.column("doc_id"), node=node, n=n)
             if short:
                 yield rows(band=[x[0] for x in short], finer=[x[1] for x in short], deletions=[x[2] for x in short])
-            if size > 4_000_000:
+            if size > HELD:
                 yield noted()
                 held, size = [], 0
             if len(seen) > 1_000_000:
@@ -173,27 +175,37 @@ def _survey(o: Options):
     return run
 
 
+#: What a row of _index() holds: keys to be compared, noted keys with their costs, or what sets need.
+COMPARED, COSTS, NEEDS = range(3)
+
+
 def _index(o: Options, how: dict[int, tuple[int, int]], costly, buckets: int):
-    """bucket, keys and nodes (bytes) of what a task's sets are indexed under."""
+    """kind, bucket, keys, nodes, extra (bytes) of what a task's sets are indexed under."""
     import pyarrow as pa
 
     def run(batches):
+        noted, costs = costly.value
         seen: set[int] = set()
-        keys, nodes, size = [], [], 0
-
-        def blobs():
-            k, v = np.concatenate(keys), np.repeat(np.array([x for x, _ in nodes], np.int64), [n for _, n in nodes])
-            bucket = (k >> np.uint64(40)).astype(np.int64) * buckets >> 24
-            order = np.argsort(bucket, kind="stable")
-            k, v, bucket = k[order], v[order], bucket[order]
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            five = k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # the rest is in the bucket or doesn't matter
-            ends = [*first[1:].tolist(), len(k)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(bucket[first]), pa.array([five[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()), pa.array([v[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary())],
-                names=["bucket", "keys", "nodes"],
-            )
-
+        keys, nodes, counts, needs, size = [], [], [], [], 0
+
+        def rows():
+            k, node = np.concatenate(keys), np.array(nodes, np.int64)
+            v = np.repeat(node, counts)
+            at = np.minimum(np.searchsorted(noted, k), max(len(noted) - 1, 0))
+            hot = noted[at] == k if len(noted) else np.zeros(len(k), bool)
+            home = (mix(node.view(np.uint64)) >> np.uint64(20)).astype(np.int64) % buckets
+            cold = k[~hot]
+            five = cold.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # the rest is in the bucket or doesn't matter
+            for kind, bucket, columns in (
+                (COMPARED, (cold >> np.uint64(40)).astype(np.int64) * buckets >> 24, (five, v[~hot], five[:, :0])),
+                (COSTS, np.repeat(home, counts)[hot], (k[hot], v[hot], costs[at[hot]] if len(noted) else v[hot])),
+                (NEEDS, home, (np.array(parity, np.int8), node, np.array(needs, np.int64))),
+            ):
+                batch = blobs(bucket, dict(zip(("keys", "nodes", "extra"), columns, strict=True)))
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * batch.num_rows, pa.int32()), *batch.columns], names=["kind", *batch.schema.names])
+
+        parity: list[int] = []
         for _, texts in by_bytes(batches):
             for s in shingle_sets(texts, o.words):
                 node = class_of(s) if len(s) else None
@@ -201,43 +213,86 @@ def _index(o: Options, how: dict[int, tuple[int, int]], costly, buckets: int):
                     continue
                 seen.add(node)
                 for band in bands_of(len(s), o.percent):
-                    mine = allocate(s, band, how.get(band, (0, 0)), costly, o.percent, o.spread, o.thick)
+                    mine, need = indexed(s, band, how.get(band, (0, 0)), o.percent, o.spread, o.thick)
                     keys.append(mine)
-                    nodes.append((node, len(mine)))
+                    nodes.append(node)
+                    counts.append(len(mine))
+                    needs.append(need)
+                    parity.append(band & 1)
                     size += len(mine)
-            if size > 3_000_000:
-                yield blobs()
-                keys, nodes, size = [], [], 0
+            if size > HELD:
+                yield from rows()
+                keys, nodes, counts, needs, parity, size = [], [], [], [], [], 0
             if len(seen) > 1_000_000:
                 seen.clear()
         if keys:
-            yield blobs()
+            yield from rows()
 
     return run
 
 
-def _meet(table):
-    """key, node: the keys of a bucket that several nodes share, with the nodes."""
-    import pyarrow as pa
+def _shared(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of keys and nodes whose key several nodes have, and how many have it."""
 
-    bucket = table.column("bucket")[0].as_py()
-    five = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint8).reshape(-1, 5)
-    wide = np.zeros((len(five), 8), np.uint8)
-    wide[:, :5] = five
-    key, node = wide.view("<u8")[:, 0].astype(np.int64), np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
-    # what no other row has is most; it goes before the sort by both
+    def groups(k):
+        same = k[1:] == k[:-1]
+        return np.concatenate([[False], same]) | np.concatenate([same, [False]])
+
+    if not len(key):
+        return key, node, key
     order = np.argsort(key, kind="stable")
     key, node = key[order], node[order]
-    same = key[1:] == key[:-1]
-    keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(key) else np.zeros(0, bool)
+    keep = groups(key)  # most keys are a set's alone
     key, node = key[keep], node[keep]
+    if not len(key):
+        return key, node, key
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
-    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])]) if len(key) else np.zeros(0, bool)
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
     key, node = key[fresh], node[fresh]
-    same = key[1:] == key[:-1]
-    keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(key) else np.zeros(0, bool)
-    return pa.Table.from_arrays([pa.array(key[keep] + (bucket << 40)), pa.array(node[keep])], names=["key", "node"])
+    keep = groups(key)
+    key, node = key[keep], node[keep]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(key)))
+    return key, node, np.repeat(count, count)
+
+
+def _meet(table):
+    """key, node, cost, need: the keys of a bucket that several nodes share, with the nodes; and, without key, what nodes need."""
+    import pyarrow as pa
+
+    bucket = table.column("bucket")[0].as_py()
+    kind = table.column("kind").to_numpy()
+    part = [table.filter(pa.array(kind == k)) for k in (COMPARED, COSTS, NEEDS)]
+    five = unblob(part[0], "keys", np.uint8).reshape(-1, 5)
+    wide = np.zeros((len(five), 8), np.uint8)
+    wide[:, :5] = five
+    key, node, cost = _shared(wide.view("<u8")[:, 0].astype(np.int64), unblob(part[0], "nodes", np.int64))
+    noted = unblob(part[1], "keys", np.int64)
+    parity, owner = unblob(part[2], "keys", np.int8), unblob(part[2], "nodes", np.int64)
+    n, m = len(key) + len(noted), len(owner)
+    none = lambda size: pa.nulls(size, pa.int64())
+    # noted keys are negative, so that no other key is like them
+    keys = np.concatenate([key + (bucket << 40), noted | np.int64(-(1 << 63))])
+    return pa.Table.from_arrays(
+        [
+            pa.chunked_array([pa.array(keys), none(m)]),
+            pa.array(np.concatenate([node, unblob(part[1], "nodes", np.int64), owner])),
+            pa.chunked_array([pa.array(np.concatenate([cost, (1 << 32) + unblob(part[1], "extra", np.int64)])), none(m)]),
+            pa.chunked_array([none(n), pa.array(unblob(part[2], "extra", np.int64))]),
+            pa.array(np.concatenate([keys & 1, parity.astype(np.int64)])),
+        ],
+        names=["key", "node", "cost", "need", "parity"],
+    )
+
+
+def _allocated(met: DataFrame) -> DataFrame:
+    """key, node: of the keys that a set shares, the cheapest, as many as it needs."""
+    shared = met.where("key is not null").select("node", "parity", "key", "cost").distinct()
+    needs = met.where("key is null").groupBy("node", "parity").agg(F.max("need").alias("need"))
+    w = Window.partitionBy("node", "parity")
+    ranked = shared.join(needs, ["node", "parity"]).withColumn("shares", F.count(F.lit(1)).over(w)).withColumn("rank", F.row_number().over(w.orderBy("cost", "key")))
+    return ranked.where("rank <= need + shares").select("key", "node")
 
 
 def _sets_of(rows: DataFrame, nodes: DataFrame, o: Options) -> DataFrame:
@@ -288,6 +343,79 @@ def _verified(pairs: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of how many tokens fall on each of 4 to 8 times as many bits as there are tokens: sets differ in no fewer tokens than their sketches do in bits."""
+    bits = max(64, 1 << (4 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((mix(s ^ _OTHER) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def close_pairs(sizes: list[np.ndarray], sketches: list[list[bytes]], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the first sets may be similar to which of the second, by their sizes and sketches."""
+    found = []
+    widths = [np.array([len(x) for x in part]) for part in sketches]
+    for w in np.unique(widths[0]):
+        for v in (w // 2, w, w * 2):
+            i, j = np.flatnonzero(widths[0] == w), np.flatnonzero(widths[1] == v)
+            if not len(i) or not len(j):
+                continue
+            least = min(w, v)
+            sides = []
+            for part, at, wide in ((sketches[0], i, w), (sketches[1], j, v)):
+                x = np.frombuffer(b"".join(part[k] for k in at), np.uint8).reshape(len(at), wide)
+                x = np.unpackbits(x, axis=1)
+                if wide > least:  # a wide sketch folds into that of half as many bits
+                    x = x[:, : least * 8] ^ x[:, least * 8 :]
+                sides.append(1 - 2 * x.astype(np.float32))
+            apart = (least * 8 - sides[0] @ sides[1].T) / 2
+            n, m = sizes[0][i][:, None], sizes[1][j][None, :]
+            good = (apart * (100 + percent) <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            x, y = np.nonzero(good)
+            found.append((i[x], j[y]))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (none, none)
+
+
+#: Members of a list that are compared as a block, about, and blocks of a list at most.
+BLOCK, BLOCKS = 128, 4096
+
+
+def _across(first: DataFrame, labels: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar, of all that share a key.
+
+    What shares a key has been compared with the least node that has it, so those that were compared with a node hold
+    all such pairs. They are dealt into blocks, and only pairs whose sketches don't exclude them leave a task.
+    """
+    import pyarrow as pa
+
+    def sketched(batches):
+        for batch in batches:
+            tokens = [np.frombuffer(t, np.uint64) for t in batch.column("tokens").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(t) for t in tokens], pa.int64()), pa.array([sketch(t) for t in tokens], pa.binary())], names=["node", "n", "sketch"])
+
+    def compare(table):
+        block, low, high = table.column("block").to_pylist(), table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        lists = dict(zip(block, table.column("rows").to_pylist(), strict=True))
+        left, right = lists.get(low, []), lists.get(high, [])
+        sizes = [np.array([r["n"] for r in part], np.int64) for part in (left, right)]
+        i, j = close_pairs(sizes, [[r["sketch"] for r in part] for part in (left, right)], o.percent)
+        (x, p), (y, q) = ((np.array([r["node"] for r in part], np.int64)[k], np.array([r["label"] for r in part], np.int64)[k]) for part, k in ((left, i), (right, j)))
+        x, y = x[p != q], y[p != q]
+        both = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
+        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+
+    members = first.select("a", F.col("b").alias("node")).unionByName(first.select("a", F.col("a").alias("node")).distinct())
+    named = stored(members.join(labels, "node", "left").select("a", "node", F.coalesce("label", "node").alias("label")), "members")
+    lists = named.groupBy("a").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi and size > 2")
+    parted = stored(lists.select("a", F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.ceil(F.col("size") / BLOCK))).cast("int").alias("blocks")), "parted")
+    known = stored(sets.mapInArrow(sketched, "node long, n long, sketch binary"), "sketches")
+    dealt = named.join(parted, "a").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(known, "node")
+    # a block goes to each other one as one row
+    packed = dealt.groupBy("a", "blocks", "block").agg(F.collect_list(F.struct("node", "label", "n", "sketch")).alias("rows"))
+    met = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("a", "block", "rows", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return met.groupBy("a", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+
+
 def similar_groups(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, rid, kept (one row of each component).
 
@@ -308,20 +436,19 @@ def similar_groups(docs: DataFrame, options: Options = Options()) -> DataFrame:
     costly = (keys[order], np.array([r[1] for r in top], np.int64)[order])
     tokens = known.agg(F.sum("n")).first()[0] or 0
     buckets = min(1 << 24, max(LEAST_BUCKETS, tokens // BUCKET_KEYS))
-    indexed = rows.select("text").mapInArrow(_index(o, how, costly, buckets), "bucket long, keys binary, nodes binary")
-    shared = stored(indexed.groupBy("bucket").applyInArrow(_meet, "key long, node long"), "shared")
+    sent = docs.sparkSession.sparkContext.broadcast(costly)  # bounded by NOTED
+    entries = rows.select("text").mapInArrow(_index(o, how, sent, buckets), "kind int, bucket long, keys binary, nodes binary, extra binary")
+    met = stored(entries.groupBy("bucket").applyInArrow(_meet, "key long, node long, cost long, need long, parity long"), "met")
+    shared = stored(_allocated(met), "shared")
 
     least = stored(shared.groupBy("key").agg(F.min("node").alias("a")), "least")
     first = stored(shared.join(least, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    sets = _sets_of(rows, shared.select("node").distinct(), o)
+    several = shared.join(least, "key").where("node <> a")
+    sets = _sets_of(rows, several.select("node").unionByName(several.select(F.col("a").alias("node"))).distinct(), o)
     links = stored(_verified(first, sets, o), "links")
     labels = components(links)
 
-    # members of a list that are in different components are compared too; most lists are one component
-    named = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    parted = stored(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "parted")
-    rest = stored(named.join(parted, "key"), "rest")
-    pairs = rest.alias("p").join(rest.alias("q"), F.expr("p.key = q.key and p.label < q.label")).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+    pairs = _across(first, labels, sets, o)
     more = stored(_verified(pairs.join(first, ["a", "b"], "left_anti"), sets, o), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))

@@ -76,12 +76,33 @@ def test_similar_sets_always_share_a_key():
                 hows = [J.shortage(x, band, 75, **options) or (0, 0) for x in sets]
                 how = max(h[0] for h in hows), max(h[1] for h in hows)
                 short.add(how)
-                none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                met |= bool(set.intersection(*(set(J.allocate(x, band, how, none, 75, **options).tolist()) for x in sets)))
+                taken = []
+                for x in sets:  # any order of all keys will do
+                    keys, need = J.indexed(x, band, how, 75, **options)
+                    taken.append(set(sorted(keys.tolist(), key=lambda k: k * 0x9E3779B1 % 1000003)[: max(0, need + len(keys))]))
+                met |= bool(set.intersection(*taken))
             assert met
     assert (0, 1) in short  # deletions were tried
 
 
+def test_sketches_never_exclude_a_similar_pair():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 260).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: int(rng.integers(40, 260))], rng.integers(0, 2**63, int(rng.integers(0, 60))).astype(np.uint64)])) for _ in range(80)]
+    sizes, bits = np.array([len(s) for s in sets]), [J.sketch(s) for s in sets]
+    found = set(zip(*(x.tolist() for x in J.close_pairs([sizes, sizes], [bits, bits], 75))))
+    want = {(i, j) for i, s in enumerate(sets) for j, t in enumerate(sets) if 100 * (n := len(np.intersect1d(s, t))) >= 75 * (len(s) + len(t) - n)}
+    assert want <= found and len(found) < 2 * len(want) + 20
+
+
+def test_chains_through_members_that_are_not_the_least(spark):
+    """Each text links with its neighbours only, and all share a passage that is in nobody's way."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i * 9 : i * 9 + 100])) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {(r.doc_id, r.component_id) for r in J.similar_groups(df).collect()} == {(d, c) for d, _, c in brute(rows)}
+
+
 def test_nothing(no_docs, spark):
     assert J.similar_groups(no_docs).count() == 0
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
