@@ -13,9 +13,8 @@ from kerbside.llm.common import stored, without
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that have no letters; the model learns from the lang of the documents themselves."""
-    model = language_id.train(docs)
-    return language_id.accepted(language_id.predict(docs, model, keep=docs.columns)).drop("lang_pred", "score")
+    """Without the documents that are predicted und, which are those without letters; the model learns from the lang of the documents themselves."""
+    return language_id.accepted(docs, language_id.train(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,9 @@ FEATURES = 1 << 16
 #: Labelled rows per language, and languages, that training takes at most.
 SAMPLE_ROWS, LANGUAGES = 1000, 256
 
+#: Columns of a prediction, and what is predicted of a text with letters where there is nothing to learn from.
+NAMES, UNKNOWN = ("lang_pred", "score"), "unknown"
+
 _SCALE = 64.0
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -126,13 +129,14 @@ def train(docs: DataFrame, may_learn=None, sample_rows: int = SAMPLE_ROWS) -> Mo
     """A model from text and lang of the rows that may be learnt from; None if there are none.
 
     At most sample_rows rows of each language are taken, those with the least hash of doc_id and text; their whole
-    texts count. Every fifth of them only calibrates. Rows without lang or without a letter are left out.
+    texts count. Every fifth of them only calibrates. Rows without lang, with lang und (which names no language) or
+    without a letter are left out.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    rows = rows.where("lang is not null and text rlike '\\\\p{L}'")
+    rows = rows.where("lang <> 'und' and text rlike '\\\\p{L}'")
     if may_learn is not None:
         rows = rows.where(may_learn)
-    sizes = docs.where("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = docs.where("lang <> 'und'").groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return None
     order = F.xxhash64("doc_id", F.col("lang"))
@@ -160,11 +164,11 @@ def train(docs: DataFrame, may_learn=None, sample_rows: int = SAMPLE_ROWS) -> Mo
     return Model(languages, (weights * idf[:, None] * _SCALE).astype(np.float32), bias, temperature(scores, np.array([y for _, _, y in rest])))
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns named in keep), lang_pred, score for every whole text.
+def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None, names: tuple[str, str] = NAMES, unnamed: str = "und") -> DataFrame:
+    """doc_id (or the columns named in keep), lang_pred, score (or other names) for every whole text.
 
-    A text that is null or has no letter is und with score 0, as is every text if there is no model. Repeated rows are
-    each predicted; other columns are ignored whatever their names unless kept.
+    A text that is null or has no letter is und with score 0. If there is no model, every other text is what unnamed
+    says, with score 0. Repeated rows are each predicted; other columns are ignored whatever their names unless kept.
     """
     import pyarrow as pa
 
@@ -172,10 +176,10 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # bounded by features x languages
     rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    taken = {"lang_pred", "score"} & set(keep)
+    taken = set(names) & set(keep)
     if taken:
         raise ValueError(f"columns {sorted(taken)} can't be kept")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in keep) + "lang_pred string, score double"
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in keep) + "`{}` string, `{}` double".format(*names)
 
     def run(batches):
         m = sent.value
@@ -183,9 +187,9 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
             texts = utf8(whole.column("text"))
             for a, b in chunks(texts):
                 batch, part = whole.slice(a, b - a), texts[a:b]
-                pred, score = ["und"] * len(part), np.zeros(len(part))
+                grams, lens, has = ngrams(part)
+                pred, score = [unnamed if h else "und" for h in has], np.zeros(len(part))
                 if m is not None:
-                    grams, lens, has = ngrams(part)
                     ends = np.cumsum(lens)
                     sums = np.zeros((len(part), len(m.languages)))
                     for i in range(len(m.languages)):
@@ -197,11 +201,20 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
                     best = p.argmax(1)
                     pred = [m.languages[k] if h else "und" for k, h in zip(best, has, strict=True)]
                     score = np.where(has, p[np.arange(len(part)), best], 0.0)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, *names])
 
     return rows.mapInArrow(run, schema)
 
 
-def accepted(predicted: DataFrame) -> DataFrame:
-    """The rows whose language is known: what has no letters is rejected."""
-    return predicted.where("lang_pred <> 'und'")
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs, with all their columns, whose prediction isn't und: those whose text has a letter.
+
+    Every text with a letter is predicted to be in some language that the model knows, or in an unknown one if there is
+    no model, and stays however low its score. The prediction's columns have names that docs doesn't.
+    """
+    taken, names = {c.lower() for c in docs.columns}, []
+    for name in NAMES:
+        while name in taken:
+            name = "_" + name
+        names.append(name)
+    return predict(docs, model, docs.columns, tuple(names), UNKNOWN).where(F.col(names[0]) != "und").drop(*names)

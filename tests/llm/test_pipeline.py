@@ -48,3 +48,13 @@ def test_registered():
 
     assert "pipeline" in __spark_entry__.queries() and len([q for q in __spark_entry__.queries() if q.startswith("op")]) == 10
     assert [n for n, _ in P.STAGES] == ["language_id", "exact_dedup", "jaccard_join", "pii", "best_fit_packing"] and language_id
+
+
+def test_language_without_labels_and_with_clashing_columns(spark):
+    texts = ["some quiet words", "?!? 12 --", "été", None]
+    kind = "doc_id long, text string, lang string, Score double, lang_pred string, _lang_pred string"
+    for langs in ([None] * 4, [None, "en", None, "en"], ["und"] * 4, ["en", None, "und", None]):
+        rows = [(i, t, lang, 0.5, "x", "y") for i, (t, lang) in enumerate(zip(texts, langs))]
+        docs = spark.createDataFrame(rows, kind)
+        out = P.language(spark, docs, "")
+        assert out.columns == docs.columns and sorted(tuple(r) for r in out.collect()) == [rows[0], rows[2]]
