@@ -10,7 +10,9 @@ more finely. What meets is verified exactly.
 
 Sets that are the same are one class. Within a segment's list, members are first compared with the least one only;
 links then make components, and only members of different components are compared further. So a list of near copies
-costs as many comparisons as it has members, and no link between different texts is lost.
+costs as many comparisons as it has members. That is enough for components, and similar_groups() computes these only:
+links between members of one component, of which one list of near copies has as many as the square of its length, are
+neither all found nor given. similar_links() gives all links between different sets, and costs and holds as much.
 """
 
 from __future__ import annotations
@@ -416,16 +418,13 @@ def _across(first: DataFrame, labels: DataFrame, sets: DataFrame, o: Options) ->
     return met.groupBy("a", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, options: Options = Options()) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, rid, kept (one row of each component).
+class Candidates(NamedTuple):
+    rows: DataFrame  # rid, doc_id, node, n: node names the set, n is its size
+    first: DataFrame  # pairs (a, b) of nodes that share a key of which a is the least node
+    sets: DataFrame  # node, tokens
 
-    Texts link when 100 * (size of the intersection) >= percent * (size of the union) of their shingle sets; component_id
-    is the least doc_id that links reach, the row's own included. A null or empty text, or one of white space, has no
-    shingle and links with nothing, not even its like. Repeated rows have equal sets and link. A null doc_id counts as
-    larger than any other, so that component_id is null only if all of a component are. An empty table gives an empty
-    table. Columns other than doc_id and text are ignored, whatever their names.
-    """
-    o = options
+
+def _candidates(docs: DataFrame, o: Options) -> Candidates:
     rows = with_row_id(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     survey = stored(rows.mapInArrow(_survey(o), "rid long, doc_id long, node long, n long, key long, band int, finer int, deletions int"), "survey")
     known = survey.where("rid is not null").select("rid", "doc_id", "node", "n")
@@ -445,6 +444,20 @@ def similar_groups(docs: DataFrame, options: Options = Options()) -> DataFrame:
     first = stored(shared.join(least, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     several = shared.join(least, "key").where("node <> a")
     sets = _sets_of(rows, several.select("node").unionByName(several.select(F.col("a").alias("node"))).distinct(), o)
+    return Candidates(known, first, sets)
+
+
+def similar_groups(docs: DataFrame, options: Options = Options()) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, rid, kept (one row of each component).
+
+    Texts link when 100 * (size of the intersection) >= percent * (size of the union) of their shingle sets; component_id
+    is the least doc_id that links reach, the row's own included. A null or empty text, or one of white space, has no
+    shingle and links with nothing, not even its like. Repeated rows have equal sets and link. A null doc_id counts as
+    larger than any other, so that component_id is null only if all of a component are. An empty table gives an empty
+    table. Columns other than doc_id and text are ignored, whatever their names.
+    """
+    o = options
+    known, first, sets = _candidates(docs, o)
     links = stored(_verified(first, sets, o), "links")
     labels = components(links)
 
@@ -460,3 +473,20 @@ def similar_groups(docs: DataFrame, options: Options = Options()) -> DataFrame:
     return placed.join(names, "label", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), "rid", (alone | (F.col("rid") == F.col("first.rid"))).alias("kept")
     )
+
+
+def similar_links(docs: DataFrame, options: Options = Options()) -> DataFrame:
+    """Every link between different sets once: doc_a, doc_b, rid_a, rid_b, rid_a < rid_b.
+
+    Rows with equal sets link as in similar_groups(); one of them, with the least doc_id and then rid, stands for all.
+    Members of a list are all compared with each other here, also within a component.
+    """
+    o = options
+    known, first, sets = _candidates(docs, o)
+    alone = first.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)  # each node is its own component
+    links = _verified(first.unionByName(_across(first, alone, sets, o)).distinct(), sets, o)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("r")
+    names = stored(known.where("node is not null").groupBy("node").agg(least).select("node", "r.doc_id", "r.rid"), "names")
+    side = lambda k: names.select(F.col("node").alias(k), F.struct("rid", "doc_id").alias(f"r{k}"))
+    both = links.join(side("a"), "a").join(side("b"), "b").select(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"))
+    return both.select(F.col("x.doc_id").alias("doc_a"), F.col("y.doc_id").alias("doc_b"), F.col("x.rid").alias("rid_a"), F.col("y.rid").alias("rid_b"))

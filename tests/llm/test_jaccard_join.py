@@ -112,3 +112,21 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (300, 200), (200, 300)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 150), 100), 200: 200, 300: 200}
+
+
+def test_links_within_a_component(spark, no_docs):
+    rows = [(d, t) for d, t in corpus(1) if t] + [(5000, corpus(1)[20][1])]
+    base = [f"w{i}" for i in range(80)]
+    rows += [(6000 + i, " ".join(base[: 80 - i])) for i in range(12)]  # a list in which all link with each other, or nearly
+    of = {}
+    for d, t in rows:
+        if s := shingles(t):
+            of[frozenset(s)] = min(d, of.get(frozenset(s), d))
+    sets = list(of)
+    want = {tuple(sorted((of[s], of[t]))) for i, s in enumerate(sets) for t in sets[:i] if 100 * len(s & t) >= 75 * len(s | t)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for options in (J.Options(), J.Options(costly=2)):
+        got = [tuple(sorted((r.doc_a, r.doc_b))) for r in J.similar_links(df, options).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert sum(a >= 6000 and b >= 6000 for a, b in want) > 40
+    assert J.similar_links(no_docs).count() == 0
