@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbside.adapter import OBSERVATIONS_SQL, TRACKS_SQL, boxes, observations, tracks
@@ -533,15 +533,40 @@ def planned_pipeline(spark, d):
         SELECT *, row_number() OVER w idx, CAST(sum(length(event_type)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) s, length(event_type) len FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"""
 )
 def batch_slices(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.struct("event_id", "event_type").alias("e"))
-    lists = e.groupBy(F.col("user_id").cast("string").alias("session_id")).agg(F.array_sort(F.collect_list("e")).alias("l"))
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("session_id"), "event_id", F.col("event_type").alias("content"))
+    return _sliced(e).select("session_id", "idx", "start", "size", "content")
+
+
+#: Frames and bytes of a batch at most, but for the bytes of its last frame.
+BATCH_FRAMES, BATCH_BYTES = 256, 1 << 18
+
+
+def _sliced(events: DataFrame) -> DataFrame:
+    """session_id, idx, start, size, content of events (session_id, event_id, content), a session's joined by event_id.
+
+    start and size count characters. A session is cut into batches of bounded size, which go through split_batches()
+    each; what is null or too long for a payload is a slice as it stands.
+    """
+    w = Window.partitionBy("session_id").orderBy("event_id", "content").rowsBetween(Window.unboundedPreceding, 0)
+    size, octets = F.length("content").cast("bigint"), F.octet_length("content").cast("bigint")
+    placed = events.select(
+        "session_id", "event_id", "content", (F.row_number().over(w) - 1).alias("at"), (F.sum(size).over(w) - size).alias("start"), F.coalesce(F.sum(octets).over(w) - octets, F.lit(0)).alias("before"), octets.alias("octets")
+    )
+    fits = F.coalesce(F.col("octets") <= readers.MAX_PAYLOAD - BATCH_BYTES, F.lit(False))
+    frame = F.struct("at", "start", "event_id", "octets", "content")
+    batch = [F.floor(F.col("at") / BATCH_FRAMES).alias("_frames"), F.floor(F.col("before") / BATCH_BYTES).alias("_bytes")]
+    lists = placed.where(fits).groupBy("session_id", *batch).agg(F.array_sort(F.collect_list(frame)).alias("l"))
+    of = lambda f: F.transform("l", f)
     batches = lists.select(
         "session_id",
-        F.transform("l", lambda e: F.struct(e["event_id"].cast("string").alias("request_id"), e["event_id"].cast("int").alias("frame_id"))).alias("frames"),
-        F.transform("l", lambda e: F.length(e["event_type"]).cast("bigint")).alias("sizes"),
-        F.encode(F.array_join(F.transform("l", lambda e: e["event_type"]), ""), "UTF-8").alias("content"),
+        of(lambda e: F.struct(e["event_id"].cast("string").alias("request_id"), (e["at"] + 1).alias("frame_id"))).alias("frames"),
+        of(lambda e: e["octets"]).alias("sizes"),
+        of(lambda e: e["start"]).alias("starts"),
+        F.encode(F.array_join(of(lambda e: e["content"]), ""), "UTF-8").alias("content"),
     )
-    return readers.split_batches(batches).select("session_id", "idx", "start", "size", F.decode("content", "UTF-8").alias("content"))
+    cut = readers.split_batches(batches).withColumn("text", F.decode("content", "UTF-8"))
+    cut = cut.select("session_id", (F.col("frame_id") - 1).alias("idx"), F.get("starts", F.col("idx")).alias("start"), F.length("text").cast("bigint").alias("size"), F.col("text").alias("content"))
+    return cut.unionByName(placed.where(~fits).select("session_id", F.col("at").alias("idx"), "start", size.alias("size"), "content"))
 
 
 _MESSAGES = {

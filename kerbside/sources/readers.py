@@ -65,15 +65,16 @@ def payload_code(content, sizes=None, limit: int = MAX_PAYLOAD) -> Column:
 def split_batches(batches: DataFrame) -> DataFrame:
     """A row per frame of batches (session_id, frames, sizes, content): idx, request_id, frame_id, start, size, content.
 
-    A frame's bytes begin where those of the frames before it end. Batches whose sizes don't fit give no rows.
+    Other columns of batches come along. A frame's bytes begin where those of the frames before it end. Batches whose sizes don't fit give no rows.
     """
     fits = (F.size("frames") == F.size("sizes")) & payload_code("content", "sizes").isNull()
     parts = F.transform(
         F.arrays_zip("frames", "sizes"), lambda z, i: F.struct(z["frames"].alias("f"), z["sizes"].alias("size"), F.aggregate(F.slice(F.col("sizes"), F.lit(1), i), F.lit(0).cast("bigint"), lambda a, s: a + s).alias("start"))
     )
-    each = batches.where(fits).select("session_id", "content", F.posexplode(parts).alias("idx", "p"))
+    rest = [c for c in batches.columns if c not in ("session_id", "frames", "sizes", "content")]
+    each = batches.where(fits).select("session_id", *rest, "content", F.posexplode(parts).alias("idx", "p"))
     data = F.expr("substring(content, cast(p.start + 1 as int), cast(p.size as int))")
-    return each.select("session_id", "idx", "p.f.request_id", "p.f.frame_id", "p.start", "p.size", data.alias("content"))
+    return each.select("session_id", *rest, "idx", "p.f.request_id", "p.f.frame_id", "p.start", "p.size", data.alias("content"))
 
 
 def gather_batches(results: DataFrame, keys: Sequence[str] = ("session_id", "batch_id")) -> DataFrame:

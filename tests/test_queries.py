@@ -5,7 +5,9 @@ import math
 
 import duckdb
 import pytest
+from kerbside import queries as Q
 from kerbside.queries import QUERIES, SQL
+from kerbside.sources import readers
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,3 +47,21 @@ def test_query(spark, duck, name):
         flags = [c for c, t in df.dtypes if t == "boolean"]
         for c in flags:  # a test that is always the same tests nothing
             assert len({r[sorted(df.columns).index(c)] for r in got}) > 1
+
+
+def test_slices_of_a_session_beyond_the_payload_limit(spark, monkeypatch):
+    """All rows stay: of a hot session, with text beyond ASCII, null, empty and longer than a payload."""
+    monkeypatch.setattr(readers, "MAX_PAYLOAD", 300)
+    monkeypatch.setattr(readers.payload_code, "__defaults__", (None, 300))
+    monkeypatch.setattr(Q, "BATCH_BYTES", 100)
+    monkeypatch.setattr(Q, "BATCH_FRAMES", 7)
+    texts = ["view", "été", "", None, "x" * 150, "y" * 400, "z" * 199]
+    events = [(u, i * 3, texts[(i + len(u)) % 7]) for u, n in (("hot", 200), ("b", 3)) for i in range(n)] + [(None, 2**40, "w")]
+    got = Q._sliced(spark.createDataFrame(events, "session_id string, event_id long, content string").repartition(3)).collect()
+    want = []
+    for u in ("hot", "b", None):
+        start = 0
+        for idx, t in enumerate(t for s, _, t in sorted((e for e in events if e[0] == u), key=lambda e: e[1])):
+            want.append((u, idx, None if t is None else start, None if t is None else len(t), t))
+            start += len(t or "")
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
