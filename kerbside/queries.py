@@ -643,7 +643,17 @@ _GROUND = f"SELECT *, {persp_sql('px', 'py')[0]} gx, {persp_sql('px', 'py')[1]}
 
 @query(with_tracks(f"SELECT track_id, frame_id, printf('%.1f', px) pixel_x, printf('%.1f', py) pixel_y, CASE WHEN track_id % 2 = 0 THEN printf('%.3f', gx) END ground_x, CASE WHEN track_id % 2 = 0 THEN printf('%.3f', gy) END ground_y, NULL::VARCHAR lat, NULL::VARCHAR lon FROM ({_GROUND}) WHERE px * 10 % 1 = 0"))
 def vehicle_csv(spark, d):
-    t = tracks(spark, d).where("px * 10 % 1 = 0").withColumn("g", geo.perspective("px", "py", H))
+    return _vehicles(tracks(spark, d).where("px * 10 % 1 = 0"))
+
+
+@query()
+def vehicle_csv_all(spark, d):
+    """Every track point. No SQL: printf and format_string round numbers half-way between two texts differently."""
+    return _vehicles(tracks(spark, d))
+
+
+def _vehicles(t):
+    t = t.withColumn("g", geo.perspective("px", "py", H))
     return sinks.vehicle_rows(t.withColumns({"ground_x": F.when(F.col("track_id") % 2 == 0, F.col("g.x")), "ground_y": F.when(F.col("track_id") % 2 == 0, F.col("g.y"))}))
 
 
@@ -709,5 +719,16 @@ def rmse(spark, d):
 @query(f"WITH {_VALID} SELECT a.frame \"first\", b.frame \"second\", round(sqrt(power(a.pgx - b.pgx, 2) + power(a.pgy - b.pgy, 2)), 4) pred_m, round(sqrt(power(a.tgx - b.tgx, 2) + power(a.tgy - b.tgy, 2)), 4) true_m FROM valid a JOIN valid b ON b.frame = a.frame + 7 WHERE a.frame % 10 = 0")
 def pair_distances(spark, d):
     v = _validated(spark, d)
-    pairs = v.where("frame % 10 = 0").select(F.col("frame").alias("first"), (F.col("frame") + 7).alias("second"))
+    return _pairs(v, v.where("frame % 10 = 0"))
+
+
+@query()
+def pair_distances_all(spark, d):
+    """A pair begins with every validated point that has one seven frames later."""
+    v = _validated(spark, d)
+    return _pairs(v, v)
+
+
+def _pairs(v, starts):
+    pairs = starts.select(F.col("frame").alias("first"), (F.col("frame") + 7).alias("second"))
     return calibrate.pair_distances(v, pairs).select("first", "second", r("pred_m", 4).alias("pred_m"), r("true_m", 4).alias("true_m"))

@@ -6,6 +6,7 @@ import math
 import duckdb
 import pytest
 from kerbside import queries as Q
+from kerbside.adapter import tracks
 from kerbside.queries import QUERIES, SQL
 from kerbside.sources import readers
 
@@ -65,3 +66,27 @@ def test_slices_of_a_session_beyond_the_payload_limit(spark, monkeypatch):
             want.append((u, idx, None if t is None else start, None if t is None else len(t), t))
             start += len(t or "")
     assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_vehicle_csv_of_every_row(spark):
+    t = tracks(spark, DATA).collect()
+    got = {(r.track_id, r.frame_id): r for r in QUERIES["vehicle_csv_all"](spark, DATA).collect()}
+    assert set(got) == {(r.track_id, r.frame_id) for r in t} and len(got) == len(t) > 900
+    for p in t:
+        row, w = got[p.track_id, p.frame_id], Q.H[6] * p.px + Q.H[7] * p.py + Q.H[8]
+        ground = [(Q.H[i] * p.px + Q.H[i + 1] * p.py + Q.H[i + 2]) / w for i in (0, 3)]
+        values = [(row.pixel_x, p.px, 1), (row.pixel_y, p.py, 1), (row.ground_x, ground[0], 3), (row.ground_y, ground[1], 3)]
+        for text, v, places in values[: 4 if p.track_id % 2 == 0 else 2]:
+            assert len(text.split(".")[1]) == places and abs(float(text) - v) <= 0.5 * 10**-places + 1e-9
+        assert p.track_id % 2 == 0 or row.ground_x is row.ground_y is None
+        assert row.lat is row.lon is None
+
+
+def test_pairs_begin_at_every_point(spark):
+    v = {r.frame: r for r in Q._validated(spark, DATA).collect()}
+    got = {(r.first, r.second): r for r in QUERIES["pair_distances_all"](spark, DATA).collect()}
+    assert set(got) == {(f, f + 7) for f in v if f + 7 in v} and len(got) > 900
+    for (a, b), row in got.items():
+        for k in ("pred", "true"):
+            want = math.hypot(v[a][f"{k}_gx"] - v[b][f"{k}_gx"], v[a][f"{k}_gy"] - v[b][f"{k}_gy"])
+            assert abs(row[f"{k}_m"] - want) <= 0.00005 + 1e-9 * want
