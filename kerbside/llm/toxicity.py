@@ -184,7 +184,7 @@ def _word_counts(batches):
             words = set(_TOKEN.findall((text or "").lower()))
             counts[bool(toxic)].update(words | {"^" + w[:k] for w in words for k in PREFIX if len(w) >= k})
     bad, good = counts[True], counts[False]
-    terms = [t for t in bad]  # what no toxic text has can't be learnt
+    terms = list(bad | good)  # what only other texts of a partition have may be in toxic ones of another
     yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([bad[t] for t in terms], pa.int64()), pa.array([good[t] for t in terms], pa.int64())], names=["term", "bad", "good"])
 
 
@@ -194,7 +194,6 @@ def learn_lexicon(sample: DataFrame, least: int = 3) -> dict[str, float]:
     bad, good = sizes.get(True, 0), sizes.get(False, 0)
     if not bad or not good:
         return {}
-    # partitions that hold a term only in texts that aren't toxic don't tell of it: the others' counts are scaled in the smoothing
     counts = sample.coalesce(8).mapInArrow(_word_counts, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.1) / (bad + 1.0) / ((F.col("good") + 1.0) / (good + 1.0)))
     found = counts.withColumn("odds", odds).where((F.col("bad") >= least) & (F.col("odds") > 2.5))

@@ -56,3 +56,13 @@ def test_held_out_accuracy(spark, odd_docs, no_docs):
     assert T.score(no_docs, model).count() == 0
     empty = T.train(no_docs, labels.limit(0))
     assert T.score(odd_docs, empty).count() == odd_docs.count()
+
+
+def test_lexicon_does_not_depend_on_partitions(spark):
+    """A word of all texts is no sign of toxic ones, however these are laid out."""
+    rows = [(f"common zorkon{i % 3} only" if i < 40 else f"common quiet{i % 5}", int(i < 40)) for i in range(200)]
+    df = spark.createDataFrame(rows, "text string, toxic int").coalesce(1)
+    one = T.learn_lexicon(df)
+    parts = [df.where("toxic = 1"), df.where("toxic = 0")]
+    assert T.learn_lexicon(parts[0].unionByName(parts[1])) == one and T.learn_lexicon(df.repartition(8)) == one
+    assert "zorkon1" in one and "common" not in one
