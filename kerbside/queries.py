@@ -505,16 +505,20 @@ def corners_and_centre(spark, d):
     return t.select("track_id", "frame_id", r("c.x").alias("x"), r("c.y").alias("y"))
 
 
-def _scene(spark, d):
-    """Boxes that move slowly along their rows, so that tracks form: four per session and frame."""
-    return spark.range(2400).select((F.col("id") % 3).cast("string").alias("session_id"), (F.floor(F.col("id") / 12) + 1).cast("int").alias("frame_id"), (F.floor(F.col("id") / 3) % 4).cast("int").alias("det_idx")).withColumns(
-        {"cx": F.col("frame_id") * 1.5 + F.col("det_idx") * 3, "cy": F.col("det_idx") * 100.0, "w": F.lit(40.0), "h": F.lit(20.0), "angle": F.lit(0.0), "confidence": F.lit(0.9), "class_id": F.col("det_idx") % 2}
-    )
+#: Users whose events are a session's detections; sessions grow in number with the table.
+SESSION_USERS = 16
+
+
+def _detections(spark, d):
+    """All of events as boxes, so wide that those of successive frames overlap and tracks form."""
+    o = observations(spark, d).withColumns({"session_id": F.floor(F.col("track_id") / SESSION_USERS).cast("string"), "cx": F.col("px"), "cy": F.col("py"), "w": F.lit(200.0), "h": F.lit(600.0), "angle": F.lit(0.0), "class_id": (F.crc32("event_type") % 2).cast("int")})
+    order = Window.partitionBy("session_id", "frame_id").orderBy("event_id")
+    return o.withColumn("det_idx", F.row_number().over(order) - 1).select("session_id", "frame_id", "det_idx", "event_id", *tracker.BOX, "confidence", "class_id")
 
 
 @query()
 def track_objects(spark, d):
-    return tracker.track(_scene(spark, d)).select("session_id", "frame_id", "det_idx", "track_id")
+    return tracker.track(_detections(spark, d)).select("session_id", "frame_id", "det_idx", "event_id", "track_id")
 
 
 @query()

@@ -4,11 +4,14 @@ import datetime
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from kerbside import queries as Q
 from kerbside.adapter import tracks
+from kerbside.operators import tracker
 from kerbside.queries import QUERIES, SQL
 from kerbside.sources import readers
+from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -90,3 +93,34 @@ def test_pairs_begin_at_every_point(spark):
         for k in ("pred", "true"):
             want = math.hypot(v[a][f"{k}_gx"] - v[b][f"{k}_gx"], v[a][f"{k}_gy"] - v[b][f"{k}_gy"])
             assert abs(row[f"{k}_m"] - want) <= 0.00005 + 1e-9 * want
+
+
+def plainly_tracked(rows):
+    """(session_id, frame_id, det_idx): track_id, by one tracker per session."""
+    out, at = {}, {}
+    for r in sorted(rows, key=lambda r: (r.session_id, r.frame_id, r.det_idx)):
+        at.setdefault((r.session_id, r.frame_id), []).append(r)
+    trackers = {}
+    for (session, frame), found in at.items():
+        t = trackers.setdefault(session, tracker.Tracker())
+        ids = t.update(frame, np.array([[r[c] for c in tracker.BOX] for r in found], np.float32), np.array([r.confidence for r in found]), np.array([r.class_id for r in found]))
+        out |= {(session, frame, r.det_idx): int(i) for r, i in zip(found, ids)}
+    return out
+
+
+def test_all_events_are_tracked(spark):
+    data = DATA.replace("0.001", "0.01")
+    got = QUERIES["track_objects"](spark, data).collect()
+    want = plainly_tracked(Q._detections(spark, data).collect())
+    assert {(r.session_id, r.frame_id, r.det_idx): r.track_id for r in got} == want
+    assert sorted(r.event_id for r in got) == sorted(r.event_id for r in spark.read.parquet(f"{data}/events.parquet").select("event_id").collect())
+    assert len({r.session_id for r in got}) > 5 and len({(r.session_id, r.track_id) for r in got if r.track_id > 0}) > 20
+
+
+def test_straight_lines_keep_their_tracks(spark):
+    """Four boxes of each of three sessions move slowly along their rows."""
+    scene = spark.range(2400).select((F.col("id") % 3).cast("string").alias("session_id"), (F.floor(F.col("id") / 12) + 1).cast("int").alias("frame_id"), (F.floor(F.col("id") / 3) % 4).cast("int").alias("det_idx")).withColumns(
+        {"cx": F.col("frame_id") * 1.5 + F.col("det_idx") * 3, "cy": F.col("det_idx") * 100.0, "w": F.lit(40.0), "h": F.lit(20.0), "angle": F.lit(0.0), "confidence": F.lit(0.9), "class_id": F.col("det_idx") % 2}
+    )
+    rows = tracker.track(scene).collect()
+    assert len(rows) == 2400 and all(r.track_id == (r.det_idx + 1 if r.frame_id > 2 else -1) for r in rows)
