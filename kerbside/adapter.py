@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Seconds of a frame, and the first second.
 FRAME_SECONDS, EPOCH = 3600, 1704067200
 
+#: Successive vectors that are the frames of a session.
+SESSION_FRAMES = 128
+
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as observations: several may share a track and frame."""
@@ -48,6 +51,6 @@ TRACKS_SQL = OBSERVATIONS_SQL + """, tracks AS (
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as raw tensors of 8 boxes x 8 features: frame_id, data, dims."""
+    """embeddings as raw tensors of 8 boxes x 8 features: session_id, frame_id, data, shape; a session is a range of vec_id."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return e.select(F.lit("s0").alias("session_id"), F.col("vec_id").alias("frame_id"), F.col("embedding").cast("array<double>").alias("data"), F.array(F.lit(1), F.lit(8), F.lit(8)).alias("shape"))
+    return e.select(F.concat(F.lit("s"), F.floor(F.col("vec_id") / SESSION_FRAMES)).alias("session_id"), F.col("vec_id").alias("frame_id"), F.col("embedding").cast("array<double>").alias("data"), F.array(F.lit(1), F.lit(8), F.lit(8)).alias("shape"))

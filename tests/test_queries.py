@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 from kerbside import queries as Q
-from kerbside.adapter import tracks
+from kerbside.adapter import boxes, tracks
 from kerbside.operators import tracker
 from kerbside.queries import QUERIES, SQL
 from kerbside.sources import readers
@@ -124,3 +124,13 @@ def test_straight_lines_keep_their_tracks(spark):
     )
     rows = tracker.track(scene).collect()
     assert len(rows) == 2400 and all(r.track_id == (r.det_idx + 1 if r.frame_id > 2 else -1) for r in rows)
+
+
+def test_vectors_are_dealt_to_sessions(spark):
+    """Sessions hold a bounded range of vectors each, in order."""
+    rows = boxes(spark, DATA).select("session_id", "frame_id").collect()
+    of = {}
+    for r in rows:
+        of.setdefault(r.session_id, []).append(r.frame_id)
+    assert len(rows) == 500 and len(of) > 1 and all(max(f) - min(f) < 128 for f in of.values())
+    assert len({r.session_id for r in QUERIES["planned_pipeline"](spark, DATA).collect()}) == len(of)
