@@ -67,12 +67,14 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     widths = np.array([h[1] for h in heads])
     for w in np.unique(widths[widths > 0]):
         at, size = np.flatnonzero(widths == w), -(-block_ids * int(w) // 8)
-        raw = np.stack([np.frombuffer(data, np.uint8, size, starts[lo + i] + 10) for i in at])
-        spread = np.unpackbits(raw, axis=1, count=block_ids * int(w), bitorder="little").reshape(len(at), block_ids, int(w))
-        wide = np.zeros((len(at), block_ids, 4), np.uint8)
-        part = np.packbits(spread, axis=2, bitorder="little")
-        wide[:, :, : part.shape[2]] = part
-        out[at] = wide.view("<u4")[:, :, 0]
+        raw = np.zeros((len(at), size + 5), np.uint8)
+        for row, i in enumerate(at):
+            raw[row, :size] = np.frombuffer(data, np.uint8, size, starts[lo + i] + 10)
+        bit = np.arange(block_ids) * int(w)
+        value = np.zeros((len(at), block_ids), np.uint64 if w > 25 else np.uint32)
+        for j in range((int(w) + 14) // 8):  # the bytes that a difference reaches into
+            value |= raw[:, (bit >> 3) + j].astype(value.dtype) << value.dtype.type(8 * j)
+        out[at] = value >> (bit & 7).astype(value.dtype) & value.dtype.type((1 << int(w)) - 1)
     for i, (least, w, k) in enumerate(heads):
         if k:
             p = starts[lo + i] + 10 + -(-block_ids * w // 8)
@@ -115,11 +117,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
     """Encodes every whole text, appends end_id to each, and writes the ids to path in ascending doc_id order.
 
     A null text is empty: it has end_id alone. Null doc_ids come first; rows that repeat a doc_id follow each other in
-    the order of their texts. An empty table writes no segment. Texts are dealt out by ranges of doc_id, each range
-    is sorted and encoded by one task, which writes one file.
+    the order of a hash of their texts. An empty table writes no segment. Texts are dealt out by ranges of doc_id, and
+    rows that repeat one by that hash and a number of the row, so that they needn't be in one range; each range is
+    sorted and encoded by one task, which writes one file.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))  # _row only parts rows that are the same
+    ordered = rows.repartitionByRange("doc_id", "_hash", "_row").sortWithinPartitions("doc_id", "_hash", "_row").select("doc_id", "text")
     ordered.mapInArrow(_writer(tokenizer_path, spaces_dropped, end_id, segment_ids), SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
 
 

@@ -2,25 +2,43 @@
 
 A text is cut where white space follows something else. No match of either tokenizer's split pattern
 goes over such a place, so a text's ids are those of its pieces. Texts with white space other than
-ASCII, which the patterns treat differently, are encoded whole.
+ASCII, which the patterns treat differently, and texts with something like a special token, which the
+library looks for first, are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 
-#: Pieces that a worker remembers at most, and the longest that it remembers.
-CACHE_PIECES, CACHE_BYTES = 1_000_000, 48
+#: Pieces that a worker remembers at most, about, the longest that it remembers, and how many bytes of longer ones it holds.
+CACHE_PIECES, CACHE_BYTES, LONG_BYTES = 800_000, 48, 8 << 20
 
 #: Pieces whose bounds show in the ids are encoded so many at a time, as one text.
 TOGETHER = 64
 
-_PIECE = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+_PIECE = re.compile(rb"\s*\S+|\s+")
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8f\xa8-\xaf]|\x81[\x9f-\xaf])|\xe3\x80\x80|\xef\xbb\xbf")
+#: What white space other than ASCII begins with, and special tokens; few texts have any of them.
+_WHOLE = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80", b"\xef\xbb", b"<|")
+#: A word and the marks after it: two matches of either split pattern. Times and division signs are no letters.
+_MARKED = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc9][\x80-\xbf])+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+
+
+def _spaced(text: bytes) -> list[bytes]:
+    if not any(x in text for x in (b"\t", b"\r", b"\x0b", b"\x0c")):
+        pieces = text.replace(b" ", b"\xff ").replace(b"\n", b"\xff\n\xff").split(b"\xff")  # no byte of UTF-8 is 255
+        if b"" not in pieces and b" " not in pieces:  # no white space next to white space
+            return pieces
+    return _PIECE.findall(text)
+
+
+def _unspaced(text: bytes) -> list[bytes]:
+    return (text.lower() if text.isascii() else text).split()  # the tokenizer lower-cases, too
 
 
 class CachedTokenizer:
@@ -32,72 +50,91 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pieces = bytes.split if spaces_dropped else _PIECE.findall
-        # in a text of pieces like these, such ids end each (a piece of letters is one match of the split pattern) or begin each
+        self.pieces = _unspaced if spaces_dropped else _spaced
+        # several pieces are encoded as one text: words, each of which ends in an id that only ends words, or what new lines divide
         vocabulary, self.by_end = self.tokenizer.get_vocab(), spaces_dropped
         self.bound = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.bound[[i for t, i in vocabulary.items() if (t.endswith("</w>") if spaces_dropped else t.startswith("\u0120"))]] = True
-        self.alone = re.compile(rb"[A-Za-z\xc3-\xc9\x80-\xbf]+" if spaces_dropped else rb" [^\t-\r ]+").fullmatch
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.bound[[i for t, i in vocabulary.items() if (t.endswith("</w>") if spaces_dropped else t == "Ċ")]] = True
+        self.alone = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc9][\x80-\xbf])+" if spaces_dropped else rb" ?[^\t-\r ]+").fullmatch
+        self.now, self.long = 0, 0
+        self.index: dict[bytes, int] = defaultdict(count().__next__)  # the number of each piece, a new one's included
         self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.starts, self.lens, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids and lengths of pieces, or None if their bounds don't show."""
-        join = (b" " if self.by_end else b"").join
-        ids = np.fromiter(chain.from_iterable(self._encoded([join(pieces[i : i + TOGETHER]).decode() for i in range(0, len(pieces), TOGETHER)])), np.uint32)
+        parts = [b"\n".join(pieces[i : i + TOGETHER]).decode() + ("" if self.by_end else "\n") for i in range(0, len(pieces), TOGETHER)]
+        ids = np.fromiter(chain.from_iterable(self._encoded(parts)), np.uint32)
         at = np.flatnonzero(self.bound[ids])
         if len(at) != len(pieces):
             return None
-        return ids, np.diff(at, prepend=-1) if self.by_end else np.diff(np.append(at, len(ids)))
+        lens = np.diff(at, prepend=-1)
+        return (ids, lens) if self.by_end else (ids[~self.bound[ids]], lens - 1)
 
-    def add(self, pieces: list[bytes]) -> None:
-        letters = [p for p in pieces if self.alone(p)]
-        made = self._together(letters) if len(letters) > TOGETHER else None
-        if made:
-            self._keep(letters, *made)
-            pieces = [p for p in pieces if not self.alone(p)]
-        if pieces:
-            lists = self._encoded([p.decode() for p in pieces])
-            lens = np.fromiter(map(len, lists), np.int64, len(lists))
-            self._keep(pieces, np.fromiter(chain.from_iterable(lists), np.uint32, int(lens.sum())), lens)
+    def _of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of the pieces with these numbers."""
+        starts, lens = self.starts[codes], self.lens[codes]
+        return self.ids[np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))], lens
 
-    def _keep(self, pieces: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
-        n, total = len(self.index), len(ids)
-        while self.n_ids + total > len(self.ids):
+    def _keep(self, codes: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
+        while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(pieces) > len(self.lens):
-            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
-        self.ids[self.n_ids : self.n_ids + total] = ids
-        self.lens[n : n + len(pieces)] = lens
-        self.starts[n : n + len(pieces)] = self.n_ids + np.cumsum(lens) - lens
-        self.n_ids += total
-        self.index.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.lens[codes] = lens
+        self.starts[codes] = self.n_ids + np.cumsum(lens) - lens
+        self.n_ids += len(ids)
+
+    def _learn(self, first: int) -> None:
+        """The ids of all pieces from this number on."""
+        new = list(islice(reversed(self.index), len(self.index) - first))[::-1]
+        marked = {k: m.groups() for k, p in enumerate(new, first) if (m := _MARKED(p))}
+        parts = np.fromiter(map(self.index.__getitem__, chain.from_iterable(marked.values())), np.int64, 2 * len(marked))
+        new += list(islice(reversed(self.index), len(self.index) - first - len(new)))[::-1]  # parts that are new, too
+        while len(self.index) > len(self.lens):
+            self.starts, self.lens, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.used))
+        some = {k: p for k, p in enumerate(new, first) if k not in marked and self.alone(p)}
+        made = self._together(list(some.values())) if len(some) > TOGETHER else None
+        if made:
+            self._keep(np.fromiter(some, np.int64, len(some)), *made)
+        done = marked.keys() | some.keys() if made else marked.keys()
+        if rest := {k: p for k, p in enumerate(new, first) if k not in done}:
+            lists = self._encoded([p.decode() for p in rest.values()])
+            lens = np.fromiter(map(len, lists), np.int64, len(lists))
+            self._keep(np.fromiter(rest, np.int64, len(rest)), np.fromiter(chain.from_iterable(lists), np.uint32, int(lens.sum())), lens)
+        if marked:
+            ids, lens = self._of(parts)
+            self._keep(np.fromiter(marked, np.int64, len(marked)), ids, lens[0::2] + lens[1::2])
+        self.long += sum(n for n in map(len, new) if n > CACHE_BYTES)
+
+    def _forget(self) -> None:
+        """Of pieces that aren't too long, those that were used last stay, half of what may be."""
+        pieces, used = list(self.index), self.used[: len(self.index)].copy()
+        used[[i for i, p in enumerate(pieces) if len(p) > CACHE_BYTES]] = -1
+        keep = np.flatnonzero(used >= max(0, np.sort(used)[-min(len(used), CACHE_PIECES // 2)]))
+        ids, lens = self._of(keep)
+        self.index = defaultdict(count(len(keep)).__next__, zip(map(pieces.__getitem__, keep.tolist()), range(len(keep)), strict=True))
+        self.used[: len(keep)] = used[keep]
+        self.ids, self.n_ids, self.long = np.zeros(1 << 16, np.uint32), 0, 0
+        self._keep(np.arange(len(keep)), ids, lens)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [[t] if _OTHER_SPACE.search(t) else self.pieces(t) for t in texts]
-        pieces = list(chain.from_iterable(lists))
-        new = set(pieces) - self.index.keys()
-        if len(self.index) + len(new) > CACHE_PIECES and self.index:
-            self.clear()
-            new = set(pieces)
-        if new:
-            self.add(list(new))
-        codes = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        starts, lens = self.starts[codes], self.lens[codes]
-        total = int(lens.sum())
-        flat = self.ids[np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(total)]
-        ends = np.cumsum([len(x) for x in lists])
-        upto = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], ends])]
-        if any(len(p) > CACHE_BYTES for p in new) and sum(len(p) for p in new) > (8 << 20):
-            self.clear()  # long pieces aren't worth keeping
-        return flat, np.diff(upto)
+        if len(self.index) > CACHE_PIECES or self.long > LONG_BYTES:
+            self._forget()
+        self.now += 1
+        some = b"\n".join(texts)
+        odd = any(x in some for x in _WHOLE)
+        lists = [[t] if odd and (b"<|" in t or _OTHER_SPACE.search(t)) else self.pieces(t) for t in texts]
+        each = np.fromiter(map(len, lists), np.int64, len(lists))
+        known = len(self.index)
+        codes = np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int64, int(each.sum()))
+        if len(self.index) > known:
+            self._learn(known)
+        self.used[codes] = self.now
+        flat, lens = self._of(codes)
+        return flat, np.diff(np.concatenate([[0], np.cumsum(lens)])[np.cumsum(each)], prepend=0)
 
 
 _MADE: dict[tuple, CachedTokenizer] = {}

@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from kerbside.llm import bpe, packing, token_files
+from kerbside.llm import bpe, packing, token_files, tokens
 from kerbside.llm.common import scratch
 from tokenizers import Tokenizer
 
@@ -22,6 +22,26 @@ def plain(path):
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
+PLAIN, CACHED = {path: plain(path) for path in (WORD, BYTE)}, {}
+
+BITS = ["a", "The", "don't", "'s", "word", "ß", "é", "É", "H\u0331", "×", "x.", "!!", "***", "12", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\u00a0", "\x1c", "\u3000", "«", "»", "日本", "\U0001f600", "<|", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>"]
+
+
+@given(st.lists(st.lists(st.sampled_from(BITS), max_size=12).map("".join), max_size=30))
+@settings(max_examples=150, deadline=None)
+@pytest.mark.parametrize(("path", "spaces_dropped"), [(WORD, True), (BYTE, False)])
+def test_pieces_give_the_ids_of_whole_texts(path, spaces_dropped, texts):
+    # one tokenizer for all examples, which forgets again and again
+    cached = CACHED.setdefault(path, tokens.CachedTokenizer(path, spaces_dropped))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tokens, "CACHE_PIECES", 60)
+        m.setattr(tokens, "TOGETHER", 3)
+        ids, counts = cached.encode([t.encode() for t in texts])
+    want = [PLAIN[path](t) for t in texts]
+    assert counts.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
