@@ -19,6 +19,9 @@ from kerbside.llm.common import stored, with_row_id
 #: Code bits per component, and how many standard deviations an error bound spans.
 BITS_PER_DIM, EPSILON, SEED = 4, 2.5, 20240607
 
+#: Stands for a null vec_id among candidates: such come last of equal ones.
+NO_ID = (1 << 63) - 1
+
 #: Partial results of so many index blocks are merged at a time.
 MERGE = 64
 
@@ -124,7 +127,7 @@ def _search(centre: np.ndarray, turn: np.ndarray, k: int, epsilon: float):
         x = _matrix(index.column("vector"), np.float64, dim)
         signs = np.unpackbits(_matrix(index.column("code"), np.uint8, bits // 8), axis=1).astype(np.float32) * 2 - 1
         length, fit = (index.column(c).to_numpy() for c in ("length", "fit"))
-        rid, vec_id = index.column("rid").to_numpy(), np.array([-(1 << 63) if v is None else v for v in index.column("vec_id").to_pylist()], np.int64)
+        rid, vec_id = index.column("rid").to_numpy(), np.array([NO_ID if v is None else v for v in index.column("vec_id").to_pylist()], np.int64)
         scale = (length / fit / np.sqrt(bits)).astype(np.float32)
         spread = length * np.sqrt(np.maximum(0, 1 - fit * fit)) / fit * epsilon / np.sqrt(max(1, bits - 1))
         every = _matrix(queries.column("query"), np.float64, dim)
@@ -151,7 +154,8 @@ def nearest(index: Index, is_query, k: int = 20, query_rows: int | None = None,
     """query_id, rank (from 1), vec_id, score: the k rows of the index with the largest inner product with each query.
 
     Queries are the index rows for which the condition is_query holds; a row is no neighbour of its own, but a row with
-    equal vector is. Ties go to the smaller vec_id. With fewer than k candidates all are returned.
+    equal vector is. Ties go to the smaller vec_id, and rows with a null vec_id, which are candidates like all others
+    and stay null, come last of equal ones. With fewer than k candidates all are returned.
     """
     import pyarrow as pa  # noqa: F401  (the tasks need it)
 
@@ -164,7 +168,7 @@ def nearest(index: Index, is_query, k: int = 20, query_rows: int | None = None,
     found = left.groupBy("block", "piece").cogroup(right.groupBy("block", "piece")).applyInArrow(_search(index.centre, index.rotation, k, epsilon), schema)
     best = F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top")
     merged = found.groupBy("qrid", "query_id", F.floor(F.col("block") / MERGE)).agg(best).groupBy("qrid", "query_id").agg(best)
-    return merged.select("query_id", F.posexplode("top").alias("pos", "near")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("near.vec_id").alias("vec_id"), (-F.col("near.down")).alias("score"))
+    return merged.select("query_id", F.posexplode("top").alias("pos", "near")).select("query_id", (F.col("pos") + 1).alias("rank"), F.when(F.col("near.vec_id") != NO_ID, F.col("near.vec_id")).alias("vec_id"), (-F.col("near.down")).alias("score"))
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:

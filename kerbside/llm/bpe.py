@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.llm.common import texts_of
+
 #: Texts longer than this many characters are cut at safe places before they are encoded.
 SPLIT_CHARS = 200_000
 
@@ -64,7 +66,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, split_chars:
             values = pa.array(np.concatenate(made) if made else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -97,4 +99,4 @@ def digests(docs: DataFrame, rank_path: str, pattern: str, split_chars: int = SP
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return texts_of(docs).mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -9,9 +10,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
-#: Bytes of text that a task handles at a time.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that a task handles at a time, rows of an Arrow batch at most, and bytes of a row group of stored tables, about.
+CHUNK_BYTES, BATCH_ROWS, GROUP_BYTES = 1 << 20, 2000, 16 << 20
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
@@ -19,9 +21,11 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir). Where none is set, as in tests, one is made."""
+    """A new path in the folder that all executors share (spark.checkpoint.dir). Where none is set and all run on one machine, as in tests, one is made."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="kerbside-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -31,17 +35,51 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder: later reads survive lost executors and don't compute it again."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session hold at most BATCH_ROWS rows: with many long texts each, they fill executors' memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def texts_of(docs: DataFrame, *more) -> DataFrame:
+    """doc_id and text of docs, and further columns, in batches of few rows."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A name like the given one that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
-    """A number for each row, the same whenever the same files are scanned; doc_id may repeat or be null, this doesn't.
+    """df, a table of Parquet files, with a number for each row; doc_id may repeat or be null, this doesn't.
 
-    df has to give the same rows in the same order each time, as tables of files do; to read it with fewer columns
-    counts as another table, if a shuffle is part of it.
+    It is made of the number of the row's file and the row's place in it, so that it's the same whenever and by however
+    many tasks the files are read. What is no table of files is written first.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    spark, file = df.sparkSession, unused(df, "_file")
+    try:
+        meta = df.metadataColumn("_metadata")
+        placed = df.select("*", F.regexp_replace(meta.getField("file_path"), "^([^:/]+):/+", "$1:/").alias(file), meta.getField("row_index").alias(name))
+        placed.schema  # noqa: B018  (Spark says only here that there is no such column)
+        files = {re.sub("^([^:/]+):/+", r"\1:/", f) for f in df.inputFiles()}
+    except AnalysisException:
+        return with_row_id(stored(df, "rows"), name)
+    if len(files) > 1:  # a row per file, all of which the driver lists for each scan anyway
+        numbers = spark.createDataFrame(list(enumerate(sorted(files))), f"_number long, `{file}` string")
+        placed = placed.join(F.broadcast(numbers), file, "left")
+        number = F.coalesce("_number", F.raise_error(F.concat(F.lit("not among the files of the table: "), F.col(file))).cast("long"))
+        placed = placed.withColumn(name, F.shiftleft(number, 40) + F.col(name))
+    return placed.select(*df.columns, name)
 
 
 def utf8(column) -> list[bytes]:
@@ -155,27 +193,30 @@ def unblob(table, column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
 
-#: Bits of a bitmap, whatever the number of values.
-BITMAP_BITS = 1 << 23
+#: Bits of a bitmap for each value, and of a bitmap at least and at most.
+BITMAP_SHARE, BITMAP_LEAST, BITMAP_MOST = 16, 1 << 20, 1 << 26
 _BITMAP_PART = 1 << 15
 
 
-def _bits_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bits_of(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(values.astype(np.int64).view(np.uint64))
-    return (h % np.uint64(BITMAP_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(BITMAP_BITS)).astype(np.int64)
+    return (h % np.uint64(size)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
 
 
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size (1 MB) by which in_bitmap() finds all values of a column again, and a few others.
+    """A bitmap by which in_bitmap() finds all values of a column of a stored table again, and a few others.
 
-    Tasks build it and merge it part by part; only the whole of that size comes to the driver.
+    Its size follows the number of rows up to 8 MB; with more rows it finds more others. Tasks build it and merge it
+    part by part; only the whole comes to the driver.
     """
     import pyarrow as pa
 
+    size = min(BITMAP_MOST, max(BITMAP_LEAST, 1 << (BITMAP_SHARE * df.count()).bit_length()))
+
     def mark(batches):
-        bits = np.zeros(BITMAP_BITS // 8, np.uint8)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            for at in _bits_of(batch.column("v").to_numpy(zero_copy_only=False)):
+            for at in _bits_of(batch.column("v").to_numpy(zero_copy_only=False), size):
                 np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
         parts = bits.reshape(-1, _BITMAP_PART)
         some = np.flatnonzero(parts.any(1))
@@ -185,14 +226,14 @@ def bitmap(df: DataFrame, column: str) -> np.ndarray:
         bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()])
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    bits = np.zeros(BITMAP_BITS // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     for part, data in df.select(F.col(column).alias("v")).mapInArrow(mark, "part long, bits binary").groupBy("part").applyInArrow(merge, "part long, bits binary").collect():
         bits[part * _BITMAP_PART : (part + 1) * _BITMAP_PART] = np.frombuffer(data, np.uint8)
     return bits
 
 
 def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    a, b = _bits_of(values)
+    a, b = _bits_of(values, 8 * len(bits))
     return ((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
 
 
@@ -203,15 +244,17 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """
     import pyarrow as pa
 
-    rows = with_row_id(docs, "_rid")
+    small_batches(docs.sparkSession)
+    rid = unused(docs, "rid")
+    rows = with_row_id(docs, rid)
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(dropped, "rid"))
 
     def those(found: bool):
         def run(batches):
             for batch in batches:
-                yield batch.filter(pa.array(in_bitmap(sent.value, batch.column("_rid").to_numpy()) == found))
+                yield batch.filter(pa.array(in_bitmap(sent.value, batch.column(rid).to_numpy()) == found))
 
         return rows.mapInArrow(run, rows.schema)
 
-    gone = dropped.select(F.col("rid").alias("_rid"))
-    return those(False).unionByName(those(True).join(gone, "_rid", "left_anti")).drop("_rid")
+    gone = dropped.select(F.col("rid").alias(rid))
+    return those(False).unionByName(those(True).join(gone, rid, "left_anti")).select(*docs.columns)

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import stored, utf8, with_row_id
+from kerbside.llm.common import stored, texts_of, utf8, with_row_id
 
 BLOCK_BYTES = 4096
 
@@ -75,7 +75,7 @@ def _named(batches):
 
 def block_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """rid, doc_id, sha (digest of the text), depth, name: one row per row of docs, (depth, name) equal where the texts' bytes are equal."""
-    rows = with_row_id(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    rows = with_row_id(texts_of(docs))
     cut = rows.mapInArrow(_blocks(block_bytes), "rid long, doc_id long, pos long, blocks long, gen long, no int, block binary, sha binary")
     blocks = stored(cut, "blocks")  # each distinct block of a map task once
     # sorted by a hash first, so that the sample which settles the ranges holds no contents; equal blocks are neighbours still

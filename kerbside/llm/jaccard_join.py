@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import bitmap, blobs, by_bytes, chunks, gram_hashes, in_bitmap, mix, stored, unblob, utf8, with_row_id, word_hashes
+from kerbside.llm.common import bitmap, blobs, by_bytes, chunks, gram_hashes, in_bitmap, mix, stored, texts_of, unblob, utf8, with_row_id, word_hashes
 from kerbside.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -425,7 +425,7 @@ class Candidates(NamedTuple):
 
 
 def _candidates(docs: DataFrame, o: Options) -> Candidates:
-    rows = with_row_id(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    rows = with_row_id(texts_of(docs))
     survey = stored(rows.mapInArrow(_survey(o), "rid long, doc_id long, node long, n long, key long, band int, finer int, deletions int"), "survey")
     known = survey.where("rid is not null").select("rid", "doc_id", "node", "n")
     how = {r[0]: (r[1], r[2]) for r in survey.where("band is not null").groupBy("band").agg(F.max("finer"), F.max("deletions")).collect()}  # a row per band
@@ -443,7 +443,7 @@ def _candidates(docs: DataFrame, o: Options) -> Candidates:
     least = stored(shared.groupBy("key").agg(F.min("node").alias("a")), "least")
     first = stored(shared.join(least, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     several = shared.join(least, "key").where("node <> a")
-    sets = _sets_of(rows, several.select("node").unionByName(several.select(F.col("a").alias("node"))).distinct(), o)
+    sets = _sets_of(rows, stored(several.select("node").unionByName(several.select(F.col("a").alias("node"))).distinct(), "nodes"), o)
     return Candidates(known, first, sets)
 
 

@@ -11,15 +11,16 @@ from functools import cache
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import chunks, utf8
+from kerbside.llm.common import chunks, small_batches, texts_of, unused, utf8
 
 FEATURES = 1 << 16
 
-#: Labelled rows per language, and languages, that training takes at most.
-SAMPLE_ROWS, LANGUAGES = 1000, 256
+#: Labelled rows that training takes at most of a language, of all languages together (but one of each at least), and
+#: different n-grams that such a row may have. Weights that training holds; with very many languages n-grams share features.
+SAMPLE_ROWS, ALL_ROWS, SAMPLE_GRAMS, WEIGHTS = 1000, 16_000, 8192, 1 << 25
 
 #: Columns of a prediction, and what is predicted of a text with letters where there is nothing to learn from.
 NAMES, UNKNOWN = ("lang_pred", "score"), "unknown"
@@ -30,7 +31,7 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 
 class Model(NamedTuple):
     languages: list[str]
-    weights: np.ndarray  # FEATURES x languages, with the inverse document frequencies
+    weights: np.ndarray  # features x languages, with the inverse document frequencies
     bias: np.ndarray
     temperature: float
 
@@ -47,7 +48,7 @@ def _letters() -> np.ndarray:
     return out
 
 
-def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def ngrams(texts: list[bytes], features: int = FEATURES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed n-grams of all texts one after the other, how many each has, and whether it has a letter."""
     points = np.frombuffer("\0".join(["", *(t.decode() for t in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     mapped = _letters()[points]
@@ -62,7 +63,7 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.concatenate([[0], np.cumsum(keep)])[ends]  # of the separators
     two = c[:-1] * _A + c[1:] * _B
     three = two[:-1] + c[2:] * _C
-    shift, mask = np.uint64(40), np.uint64(FEATURES - 1)
+    shift, mask = np.uint64(40), np.uint64(features - 1)
     two = ((two ^ two >> np.uint64(29)) * _C >> shift & mask).astype(np.int64)
     three = ((three ^ three >> np.uint64(31)) * _A >> shift & mask).astype(np.int64)
     # at position i: the pair and the triple that begin there; a text's run from its separator up to the next
@@ -74,26 +75,27 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pairs[2 * at[0] : 2 * at[-1]], 2 * np.diff(at), has
 
 
-def _counts(batches):
-    """doc_id, lang, distinct n-grams and their counts of each text; a text has at most FEATURES of them."""
-    import pyarrow as pa
+def _counts(features: int):
+    """order, lang, distinct n-grams and their counts of each text; a text has at most so many features."""
+
+    def run(batches):
+        import pyarrow as pa
 
-    for batch in batches:
-        texts = utf8(batch.column("text"))
-        for a, b in chunks(texts):
-            grams, lens, _ = ngrams(texts[a:b])
-            ids, counts = [], []
-            for part in np.split(grams, np.cumsum(lens)[:-1]):
-                i, n = np.unique(part, return_counts=True)
-                ids.append(i)
-                counts.append(n)
-            part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([part.column("order"), part.column("lang"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["order", "lang", "ids", "counts"])
+        for batch in batches:
+            texts = utf8(batch.column("text"))
+            for a, b in chunks(texts):
+                grams, lens, _ = ngrams(texts[a:b], features)
+                made = [np.unique(part, return_counts=True) for part in np.split(grams, np.cumsum(lens)[:-1])]
+                part = batch.slice(a, b - a)
+                ids, counts = (pa.array([m[k] for m in made], pa.list_(pa.int32())) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column("order"), part.column("lang"), ids, counts], names=["order", "lang", "ids", "counts"])
+
+    return run
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, features: int = FEATURES, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias. rows: features, values, class."""
-    z, n, bz, bn = np.zeros((FEATURES, classes)), np.zeros((FEATURES, classes)), np.zeros(classes), np.zeros(classes)
+    z, n, bz, bn = np.zeros((features, classes)), np.zeros((features, classes)), np.zeros(classes), np.zeros(classes)
 
     def solved(z, n, l1):
         return np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2), 0.0)
@@ -128,28 +130,29 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, may_learn=None, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model from text and lang of the rows that may be learnt from; None if there are none.
 
-    At most sample_rows rows of each language are taken, those with the least hash of doc_id and text; their whole
-    texts count. Every fifth of them only calibrates. Rows without lang, with lang und (which names no language) or
-    without a letter are left out.
+    At most sample_rows rows of each language and about ALL_ROWS of all are taken, those with the least hash of doc_id
+    and lang; their whole texts count, and one with more than SAMPLE_GRAMS different n-grams is not taken. Every fifth
+    of them only calibrates. Every language is learnt of which such a row is left. Rows without lang, with lang und
+    (which names no language) or without a letter are left out.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    rows = rows.where("lang <> 'und' and text rlike '\\\\p{L}'")
+    rows = texts_of(docs, F.col("lang").cast("string")).where("lang <> 'und' and text rlike '\\\\p{L}'")
     if may_learn is not None:
         rows = rows.where(may_learn)
-    sizes = docs.where("lang <> 'und'").groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
+    languages = rows.select("lang").distinct().count()
+    if not languages:
         return None
-    order = F.xxhash64("doc_id", F.col("lang"))
-    share = F.lit(None).cast("double")
-    for lang, count in sizes:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * sample_rows / count))).otherwise(share)
-    picked = rows.withColumn("order", order).where(F.col("order") < (share * 2 - 1) * float(1 << 63))
-    counted = picked.select("order", "lang", "text").mapInArrow(_counts, "order long, lang string, ids array<int>, counts array<int>")
-    sample = counted.orderBy("order", "lang").limit(2 * sample_rows * len(sizes)).collect()
+    each = max(1, min(sample_rows, ALL_ROWS // languages))
+    features = min(FEATURES, max(1 << 10, 1 << (WEIGHTS // languages).bit_length() - 1))
+    # candidates by language, then the first of each; what counts the rows of a language goes nowhere else
+    sizes = rows.groupBy("lang").agg((F.least(F.lit(1.0), 2.0 * each / F.count(F.lit(1))) * 2 - 1).alias("share"))
+    picked = rows.withColumn("order", F.xxhash64("doc_id", "lang")).join(sizes, "lang").where(F.col("order") <= F.col("share") * float(1 << 63))
+    counted = picked.select("order", "lang", "text").mapInArrow(_counts(features), "order long, lang string, ids array<int>, counts array<int>")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("order", "ids"))
+    sample = counted.where(F.size("ids") <= SAMPLE_GRAMS).withColumn("nth", first).where(F.col("nth") <= each).orderBy("order", "lang", "nth").collect()
     languages = sorted({r["lang"] for r in sample})
     if not languages:
         return None
-    df = np.zeros(FEATURES)
+    df = np.zeros(features)
     for r in sample:
         df[r["ids"]] += 1
     idf = np.log((1 + len(sample)) / (1 + df)) + 1
@@ -159,7 +162,7 @@ def train(docs: DataFrame, may_learn=None, sample_rows: int = SAMPLE_ROWS) -> Mo
         made.append((ids, counts / counts.sum() * idf[ids] * _SCALE, languages.index(r["lang"])))
     kept = [m for i, m in enumerate(made) if i % 5 or len(made) < 20]
     rest = [m for i, m in enumerate(made) if not i % 5]
-    weights, bias = ftrl(kept, len(languages))
+    weights, bias = ftrl(kept, len(languages), features)
     scores = np.array([x @ weights[ids] + bias for ids, x, _ in rest])
     return Model(languages, (weights * idf[:, None] * _SCALE).astype(np.float32), bias, temperature(scores, np.array([y for _, _, y in rest])))
 
@@ -174,6 +177,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None,
 
     keep = keep or ["doc_id"]
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)  # bounded by features x languages
     rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
     taken = set(names) & set(keep)
@@ -187,7 +191,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None,
             texts = utf8(whole.column("text"))
             for a, b in chunks(texts):
                 batch, part = whole.slice(a, b - a), texts[a:b]
-                grams, lens, has = ngrams(part)
+                grams, lens, has = ngrams(part, FEATURES if m is None else len(m.weights))
                 pred, score = [unnamed if h else "und" for h in has], np.zeros(len(part))
                 if m is not None:
                     ends = np.cumsum(lens)
@@ -212,9 +216,5 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     Every text with a letter is predicted to be in some language that the model knows, or in an unknown one if there is
     no model, and stays however low its score. The prediction's columns have names that docs doesn't.
     """
-    taken, names = {c.lower() for c in docs.columns}, []
-    for name in NAMES:
-        while name in taken:
-            name = "_" + name
-        names.append(name)
+    names = [unused(docs, name) for name in NAMES]
     return predict(docs, model, docs.columns, tuple(names), UNKNOWN).where(F.col(names[0]) != "und").drop(*names)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import stored
+from kerbside.llm.common import stored, texts_of
 
 CAPACITY = 1024
 
@@ -113,7 +113,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, spaces_dro
     each. Documents longer than capacity are cut so that the first piece takes what is over. An empty table gives an
     empty table. Columns other than doc_id and text are ignored, whatever their names.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = texts_of(docs)
     cut = rows.mapInArrow(_cut(tokenizer_path, spaces_dropped, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, nth long, part long")
     pieces = stored(cut, "pieces")
     each = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))

@@ -16,11 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.llm.common import chunks, small_batches, texts_of
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0 is none
 
 #: Texts that training takes at most; of these only such with at most so many tokens.
-SAMPLE_ROWS, SAMPLE_TOKENS = 2000, 2000
+SAMPLE_ROWS, SAMPLE_TOKENS = 2000, 500
 #: Marginal probability from which on a token's label adds a span.
 CONFIDENCE = 0.9
 ROUNDS = 8
@@ -243,7 +245,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
     """A field from at most sample_rows of the texts with a digit or @, those with the least hash of doc_id and length."""
     import pyarrow as pa
 
-    rows = docs.select(F.xxhash64("doc_id", F.length("text")).alias("order"), F.col("text").cast("string")).where("text rlike '[0-9@]'")
+    rows = texts_of(docs, F.xxhash64("doc_id", F.length("text")).alias("order")).select("order", "text").where("text rlike '[0-9@]'")
     n = rows.count()
     if n > 2 * sample_rows:
         rows = rows.where(F.col("order") < (4.0 * sample_rows / n - 1) * float(1 << 63))
@@ -302,7 +304,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digest, pa.array([_pack(s) for _, s in found], pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return texts_of(docs).mapInArrow(run, schema)
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -317,10 +319,12 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def masked(docs: DataFrame, field: Field) -> DataFrame:
     """docs with all spans in text masked and n_chars, where there is such a column, as it then is. A null text stays null."""
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def hide(texts: pd.Series) -> pd.Series:
         whole = [t or "" for t in texts]
-        found = [x for at in range(0, len(whole), 500) for x in found_in(whole[at : at + 500], field)]
+        found = [x for a, b in chunks(whole) for x in found_in(whole[a:b], field)]
         return pd.Series([None if t is None else mask(t, s) for t, (_, s) in zip(texts, found, strict=True)], dtype=object)
 
     out = docs.withColumn("text", hide(F.col("text").cast("string")))

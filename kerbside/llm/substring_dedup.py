@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import CHUNK_BYTES, bitmap, blobs, gram_hashes, in_bitmap, mix, stored, utf8, unblob, with_row_id, word_hashes
+from kerbside.llm.common import CHUNK_BYTES, bitmap, blobs, gram_hashes, in_bitmap, mix, stored, texts_of, unblob, utf8, with_row_id, word_hashes
 
 WINDOW, SEED_WORDS = 35, 16
 
@@ -222,7 +222,7 @@ def _picked(rows: DataFrame, bits, wanted: bool = True) -> DataFrame:
 
 def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> tuple[DataFrame, DataFrame]:
     """The rows of docs with rid, and a stored table rid, places: starts and ends of the maximal repeats of a row's words."""
-    rows = with_row_id(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    rows = with_row_id(texts_of(docs))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(1 << 24, max(LEAST_BUCKETS, size // BUCKET_BYTES))
     places = stored(_gather(rows.mapInArrow(_seeds(buckets, window, seed), _SENT)), "anchors")

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kerbside.llm.common import texts_of
+
 MAGIC = b"KPF1"
 BLOCK_IDS = 1024
 PERCENTILE = 0.9
@@ -121,7 +123,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
     rows that repeat one by that hash and a number of the row, so that they needn't be in one range; each range is
     sorted and encoded by one task, which writes one file.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = texts_of(docs)
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))  # _row only parts rows that are the same
     ordered = rows.repartitionByRange("doc_id", "_hash", "_row").sortWithinPartitions("doc_id", "_hash", "_row").select("doc_id", "text")
     ordered.mapInArrow(_writer(tokenizer_path, spaces_dropped, end_id, segment_ids), SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import stored
+from kerbside.llm.common import stored, texts_of
 
 # Symbols of the grammar.
 OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, QUOTE = range(8)
@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn=None, sample_rows: int =
     if may_learn is not None:
         known = known.where(may_learn)
     picked = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")  # bounded by sample_rows
+    rows = texts_of(docs).join(F.broadcast(picked), "doc_id")  # bounded by sample_rows
     sample = stored(rows, "toxicity-sample")
     lexicon = learn_lexicon(sample)
 
@@ -245,4 +245,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ model.weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return texts_of(docs).mapInArrow(run, "doc_id long, score double, predicted int")
