@@ -31,15 +31,15 @@ WORDS, PERCENT = 5, 75
 #: Segments of a band as a multiple of its least size; bands below this size have a segment for each token.
 SPREAD, THICK = 1.5, 32
 
-#: A key that so many sets of a task share is noted as costly, and its list isn't gathered in a task; so many keys are
-#: noted at most, the costliest.
-COSTLY, NOTED = 64, 1 << 16
+#: A key that about so many sets of all share is costly: its list isn't gathered in a task. How many share a key is told
+#: by a sketch of two rows of so many counters, which all tasks fill and whose parts are merged.
+COSTLY, COUNTERS, PART = 1000, 1 << 20, 1 << 15
 
 #: Keys that are compared in a task at a time, about.
 BUCKET_KEYS = 500_000
 
 #: Keys that a map task gathers before it counts or sends them.
-HELD = 1_000_000
+HELD = 500_000
 LEAST_BUCKETS = 1024
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -132,23 +132,44 @@ class Options(NamedTuple):
     costly: int = COSTLY
 
 
+def _counters(keys: np.ndarray) -> list[np.ndarray]:
+    """The counter of each key in each row of the sketch."""
+    h = mix(keys ^ _OTHER)
+    return [(h % np.uint64(COUNTERS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(COUNTERS)).astype(np.int64) + COUNTERS]
+
+
+def _summed(table):
+    """A part of the sketch from those of the tasks."""
+    import pyarrow as pa
+
+    total = np.zeros(PART, np.uint32)
+    for data in table.column("counts").to_pylist():
+        total += np.frombuffer(data, f"u{len(data) // PART}")
+    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def shared_by(keys: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """About how many sets have each key: the lesser of its counters, less what a counter holds on average."""
+    a, b = _counters(keys)
+    return np.minimum(sketch[a], sketch[b]).astype(np.int64) - int(sketch.sum(dtype=np.int64) // (2 * COUNTERS))
+
+
 def _survey(o: Options):
-    """Rows of each text (rid, doc_id, node, n), of costly keys (key, n), and of bands that need more (band, how)."""
+    """Rows of each text (rid, doc_id, node, n), of counters of keys (part, counts), and of bands that need more (band, how)."""
     import pyarrow as pa
 
     def rows(**columns):
         n = max(len(v) for v in columns.values())
-        kinds = {"rid": pa.int64(), "doc_id": pa.int64(), "node": pa.int64(), "n": pa.int64(), "key": pa.int64(), "band": pa.int32(), "finer": pa.int32(), "deletions": pa.int32()}
+        kinds = {"rid": pa.int64(), "doc_id": pa.int64(), "node": pa.int64(), "n": pa.int64(), "part": pa.int32(), "counts": pa.binary(), "band": pa.int32(), "finer": pa.int32(), "deletions": pa.int32()}
         return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns.get(c, [None] * n), t) for c, t in kinds.items()], names=list(kinds))
 
     def run(batches):
         seen: set[int] = set()
-        held, size = [], 0
+        held, size, sketch = [], 0, np.zeros(2 * COUNTERS, np.uint32)
 
-        def noted():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            hot = counts >= o.costly
-            return rows(key=keys[hot].view(np.int64).tolist(), n=counts[hot].tolist())
+        def count():
+            for at in _counters(np.concatenate(held)):
+                np.add.at(sketch, at, np.uint32(1))
 
         for batch, texts in by_bytes(batches):
             node, n, short = [], [], {}
@@ -167,12 +188,15 @@ def _survey(o: Options):
             if short:
                 yield rows(band=[x[0] for x in short], finer=[x[1] for x in short], deletions=[x[2] for x in short])
             if size > HELD:
-                yield noted()
+                count()
                 held, size = [], 0
             if len(seen) > 1_000_000:
                 seen.clear()
         if held:
-            yield noted()
+            count()
+        for part, counts in enumerate(sketch.reshape(-1, PART)):
+            if most := counts.max():  # in as few bytes as they need
+                yield rows(part=[part], counts=[counts.astype(np.min_scalar_type(most)).tobytes()])
 
     return run
 
@@ -181,26 +205,25 @@ def _survey(o: Options):
 COMPARED, COSTS, NEEDS = range(3)
 
 
-def _index(o: Options, how: dict[int, tuple[int, int]], costly, buckets: int):
+def _index(o: Options, how: dict[int, tuple[int, int]], sketch, buckets: int):
     """kind, bucket, keys, nodes, extra (bytes) of what a task's sets are indexed under."""
     import pyarrow as pa
 
     def run(batches):
-        noted, costs = costly.value
         seen: set[int] = set()
         keys, nodes, counts, needs, size = [], [], [], [], 0
 
         def rows():
             k, node = np.concatenate(keys), np.array(nodes, np.int64)
             v = np.repeat(node, counts)
-            at = np.minimum(np.searchsorted(noted, k), max(len(noted) - 1, 0))
-            hot = noted[at] == k if len(noted) else np.zeros(len(k), bool)
+            cost = shared_by(k, sketch.value)
+            hot = cost >= o.costly
             home = (mix(node.view(np.uint64)) >> np.uint64(20)).astype(np.int64) % buckets
             cold = k[~hot]
             five = cold.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # the rest is in the bucket or doesn't matter
             for kind, bucket, columns in (
                 (COMPARED, (cold >> np.uint64(40)).astype(np.int64) * buckets >> 24, (five, v[~hot], five[:, :0])),
-                (COSTS, np.repeat(home, counts)[hot], (k[hot], v[hot], costs[at[hot]] if len(noted) else v[hot])),
+                (COSTS, np.repeat(home, counts)[hot], (k[hot], v[hot], cost[hot])),
                 (NEEDS, home, (np.array(parity, np.int8), node, np.array(needs, np.int64))),
             ):
                 batch = blobs(bucket, dict(zip(("keys", "nodes", "extra"), columns, strict=True)))
@@ -426,16 +449,15 @@ class Candidates(NamedTuple):
 
 def _candidates(docs: DataFrame, o: Options) -> Candidates:
     rows = with_row_id(texts_of(docs))
-    survey = stored(rows.mapInArrow(_survey(o), "rid long, doc_id long, node long, n long, key long, band int, finer int, deletions int"), "survey")
+    survey = stored(rows.mapInArrow(_survey(o), "rid long, doc_id long, node long, n long, part int, counts binary, band int, finer int, deletions int"), "survey")
     known = survey.where("rid is not null").select("rid", "doc_id", "node", "n")
     how = {r[0]: (r[1], r[2]) for r in survey.where("band is not null").groupBy("band").agg(F.max("finer"), F.max("deletions")).collect()}  # a row per band
-    top = survey.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(NOTED).collect()
-    keys = np.array([r[0] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    costly = (keys[order], np.array([r[1] for r in top], np.int64)[order])
+    sketch = np.zeros(2 * COUNTERS, np.uint32)
+    for part, counts in survey.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect():
+        sketch[part * PART : (part + 1) * PART] = np.frombuffer(counts, np.uint32)
     tokens = known.agg(F.sum("n")).first()[0] or 0
     buckets = min(1 << 24, max(LEAST_BUCKETS, tokens // BUCKET_KEYS))
-    sent = docs.sparkSession.sparkContext.broadcast(costly)  # bounded by NOTED
+    sent = docs.sparkSession.sparkContext.broadcast(sketch)  # 8 MB
     entries = rows.select("text").mapInArrow(_index(o, how, sent, buckets), "kind int, bucket long, keys binary, nodes binary, extra binary")
     met = stored(entries.groupBy("bucket").applyInArrow(_meet, "key long, node long, cost long, need long, parity long"), "met")
     shared = stored(_allocated(met), "shared")

@@ -132,20 +132,21 @@ def train(docs: DataFrame, may_learn=None, sample_rows: int = SAMPLE_ROWS) -> Mo
 
     At most sample_rows rows of each language and about ALL_ROWS of all are taken, those with the least hash of doc_id
     and lang; their whole texts count, and one with more than SAMPLE_GRAMS different n-grams is not taken. Every fifth
-    of them only calibrates. Every language is learnt of which such a row is left. Rows without lang, with lang und
+    of them only calibrates. Every language of the ALL_ROWS commonest is learnt of which such a row is left. Rows without lang, with lang und
     (which names no language) or without a letter are left out.
     """
     rows = texts_of(docs, F.col("lang").cast("string")).where("lang <> 'und' and text rlike '\\\\p{L}'")
     if may_learn is not None:
         rows = rows.where(may_learn)
-    languages = rows.select("lang").distinct().count()
-    if not languages:
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(ALL_ROWS).collect()
+    if not sizes:
         return None
-    each = max(1, min(sample_rows, ALL_ROWS // languages))
-    features = min(FEATURES, max(1 << 10, 1 << (WEIGHTS // languages).bit_length() - 1))
-    # candidates by language, then the first of each; what counts the rows of a language goes nowhere else
-    sizes = rows.groupBy("lang").agg((F.least(F.lit(1.0), 2.0 * each / F.count(F.lit(1))) * 2 - 1).alias("share"))
-    picked = rows.withColumn("order", F.xxhash64("doc_id", "lang")).join(sizes, "lang").where(F.col("order") <= F.col("share") * float(1 << 63))
+    each = max(1, min(sample_rows, ALL_ROWS // len(sizes)))
+    features = min(FEATURES, max(1 << 10, 1 << (WEIGHTS // len(sizes)).bit_length() - 1))
+    # about twice as many candidates of each language, then the first of them
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, 2.0 * each / n) * 2 - 1) for lang, n in sizes], "lang string, share double")
+    picked = rows.withColumn("order", F.xxhash64("doc_id", "lang")).join(F.broadcast(shares), "lang")  # bounded by ALL_ROWS
+    picked = picked.where(F.col("order") <= F.col("share") * float(1 << 63))
     counted = picked.select("order", "lang", "text").mapInArrow(_counts(features), "order long, lang string, ids array<int>, counts array<int>")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("order", "ids"))
     sample = counted.where(F.size("ids") <= SAMPLE_GRAMS).withColumn("nth", first).where(F.col("nth") <= each).orderBy("order", "lang", "nth").collect()

@@ -85,23 +85,24 @@ def _cut(tokenizer_path: str, spaces_dropped: bool, end_id: int, capacity: int):
         from kerbside.llm.tokens import tokenizer
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch, texts in by_bytes(batches):
-            flat, counts = tokenizer(tokenizer_path, spaces_dropped).encode(texts)
-            ids = np.insert(flat, np.cumsum(counts), np.uint32(end_id)).astype("<u4")
-            ends = np.cumsum(counts + 1)
-            doc, piece, start, length, crc, nth = [], [], [], [], [], []
-            for d, a, b in zip(batch.column("doc_id").to_pylist(), ends - counts - 1, ends, strict=True):
-                n = int(b - a)
-                stops = list(range(n % capacity or min(n, capacity), n + 1, capacity))
-                for i, stop in enumerate(stops):
-                    begin = stops[i - 1] if i else 0
-                    size = stop - begin
-                    for column, v in ((doc, d), (piece, i), (start, begin), (length, size), (crc, zlib.crc32(ids[a + begin : a + stop].tobytes())), (nth, seen[size])):
-                        column.append(v)
-                    seen[size] += 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            columns = [doc, piece, start, length, crc, nth, [part] * len(doc)]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "nth", "part"])
+        with tokenizer(tokenizer_path, spaces_dropped) as t:
+            for batch, texts in by_bytes(batches):
+                flat, counts = t.encode(texts)
+                ids = np.insert(flat, np.cumsum(counts), np.uint32(end_id)).astype("<u4")
+                ends = np.cumsum(counts + 1)
+                doc, piece, start, length, crc, nth = [], [], [], [], [], []
+                for d, a, b in zip(batch.column("doc_id").to_pylist(), ends - counts - 1, ends, strict=True):
+                    n = int(b - a)
+                    stops = list(range(n % capacity or min(n, capacity), n + 1, capacity))
+                    for i, stop in enumerate(stops):
+                        begin = stops[i - 1] if i else 0
+                        size = stop - begin
+                        for column, v in ((doc, d), (piece, i), (start, begin), (length, size), (crc, zlib.crc32(ids[a + begin : a + stop].tobytes())), (nth, seen[size])):
+                            column.append(v)
+                        seen[size] += 1
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                columns = [doc, piece, start, length, crc, nth, [part] * len(doc)]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "nth", "part"])
 
     return run
 

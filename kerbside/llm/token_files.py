@@ -103,14 +103,15 @@ def _writer(tokenizer_path: str, spaces_dropped: bool, end_id: int, segment_ids:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["shard", "seq", "base", "n_ids", "doc_ids", "lengths", "payload"])
 
-        for batch, texts in by_bytes(batches):
-            flat, counts = tokenizer(tokenizer_path, spaces_dropped).encode(texts)
-            ids = np.insert(flat, np.cumsum(counts), np.uint32(end_id))
-            held.append((batch.column("doc_id").to_pylist(), counts + 1, ids))
-            if sum(len(x[2]) for x in held) >= segment_ids:
+        with tokenizer(tokenizer_path, spaces_dropped) as t:
+            for batch, texts in by_bytes(batches):
+                flat, counts = t.encode(texts)
+                ids = np.insert(flat, np.cumsum(counts), np.uint32(end_id))
+                held.append((batch.column("doc_id").to_pylist(), counts + 1, ids))
+                if sum(len(x[2]) for x in held) >= segment_ids:
+                    yield segment()
+            if held:
                 yield segment()
-        if held:
-            yield segment()
 
     return run
 

@@ -11,12 +11,14 @@ from __future__ import annotations
 import os
 import re
 from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain, count, islice
 
 import numpy as np
 
-#: Pieces that a worker remembers at most, about, the longest that it remembers, and how many bytes of longer ones it holds.
-CACHE_PIECES, CACHE_BYTES, LONG_BYTES = 800_000, 48, 8 << 20
+#: Pieces that a worker remembers at most, about, and between tasks; the longest, and how many bytes of longer ones it holds.
+CACHE_PIECES, KEPT_PIECES, CACHE_BYTES, LONG_BYTES = 400_000, 100_000, 48, 8 << 20
 
 #: Pieces whose bounds show in the ids are encoded so many at a time, as one text.
 TOGETHER = 64
@@ -56,7 +58,7 @@ class CachedTokenizer:
         self.bound = np.zeros(max(vocabulary.values()) + 1, bool)
         self.bound[[i for t, i in vocabulary.items() if (t.endswith("</w>") if spaces_dropped else t == "Ċ")]] = True
         self.alone = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc9][\x80-\xbf])+" if spaces_dropped else rb" ?[^\t-\r ]+").fullmatch
-        self.now, self.long = 0, 0
+        self.long = 0
         self.index: dict[bytes, int] = defaultdict(count().__next__)  # the number of each piece, a new one's included
         self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lens, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -109,21 +111,23 @@ class CachedTokenizer:
             self._keep(np.fromiter(marked, np.int64, len(marked)), ids, lens[0::2] + lens[1::2])
         self.long += sum(n for n in map(len, new) if n > CACHE_BYTES)
 
-    def _forget(self) -> None:
-        """Of pieces that aren't too long, those that were used last stay, half of what may be."""
+    def forget(self, most: int) -> None:
+        """Of pieces that aren't too long, so many stay: those that most calls have used, of late above all."""
         pieces, used = list(self.index), self.used[: len(self.index)].copy()
-        used[[i for i, p in enumerate(pieces) if len(p) > CACHE_BYTES]] = -1
-        keep = np.flatnonzero(used >= max(0, np.sort(used)[-min(len(used), CACHE_PIECES // 2)]))
+        used[[i for i, p in enumerate(pieces) if len(p) > CACHE_BYTES]] = 0
+        keep = np.sort(np.argsort(-used, kind="stable")[:most])
+        keep = keep[used[keep] > 0]
         ids, lens = self._of(keep)
         self.index = defaultdict(count(len(keep)).__next__, zip(map(pieces.__getitem__, keep.tolist()), range(len(keep)), strict=True))
-        self.used[: len(keep)] = used[keep]
+        kept, size = (used[keep] + 1) // 2, 1 << max(14, len(keep).bit_length())
+        self.starts, self.lens, self.used = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.used[: len(keep)] = kept
         self.ids, self.n_ids, self.long = np.zeros(1 << 16, np.uint32), 0, 0
         self._keep(np.arange(len(keep)), ids, lens)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > CACHE_PIECES or self.long > LONG_BYTES:
-            self._forget()
-        self.now += 1
+            self.forget(CACHE_PIECES // 2)
         some = b"\n".join(texts)
         odd = any(x in some for x in _WHOLE)
         lists = [[t] if odd and (b"<|" in t or _OTHER_SPACE.search(t)) else self.pieces(t) for t in texts]
@@ -132,7 +136,7 @@ class CachedTokenizer:
         codes = np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int64, int(each.sum()))
         if len(self.index) > known:
             self._learn(known)
-        self.used[codes] = self.now
+        self.used[codes] += 1  # once for all occurrences in these texts
         flat, lens = self._of(codes)
         return flat, np.diff(np.concatenate([[0], np.cumsum(lens)])[np.cumsum(each)], prepend=0)
 
@@ -140,8 +144,12 @@ class CachedTokenizer:
 _MADE: dict[tuple, CachedTokenizer] = {}
 
 
-def tokenizer(path: str, spaces_dropped: bool) -> CachedTokenizer:
-    """The tokenizer of this Python worker."""
-    if (path, spaces_dropped) not in _MADE:
-        _MADE[path, spaces_dropped] = CachedTokenizer(path, spaces_dropped)
-    return _MADE[path, spaces_dropped]
+@contextmanager
+def tokenizer(path: str, spaces_dropped: bool) -> Iterator[CachedTokenizer]:
+    """The tokenizer of this Python worker, for one task: later ones find its commonest pieces, and memory for other work."""
+    made = _MADE.setdefault((path, spaces_dropped), None) or CachedTokenizer(path, spaces_dropped)
+    _MADE[path, spaces_dropped] = made
+    try:
+        yield made
+    finally:
+        made.forget(KEPT_PIECES)
