@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -165,12 +166,26 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return mix(total)
 
 
+def release() -> None:
+    """Gives back what memory a task has left free: Python workers live on, and an executor has several."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # other systems have no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_bytes(batches: Iterable, limit: int = CHUNK_BYTES) -> Iterator[tuple]:
     """(record batch slice, its texts as bytes) for about limit bytes of text at a time."""
+    texts = batch = None
     for batch in batches:
         texts = utf8(batch.column("text"))
         for a, b in chunks(texts, limit):
             yield batch.slice(a, b - a), texts[a:b]
+    del texts, batch
+    release()
 
 
 def blobs(bucket: np.ndarray, columns: dict[str, np.ndarray]):

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import chunks, small_batches, texts_of, unused, utf8
+from kerbside.llm.common import by_bytes, chunks, small_batches, texts_of, unused, utf8
 
 FEATURES = 1 << 16
 
@@ -188,25 +188,22 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None,
 
     def run(batches):
         m = sent.value
-        for whole in batches:
-            texts = utf8(whole.column("text"))
-            for a, b in chunks(texts):
-                batch, part = whole.slice(a, b - a), texts[a:b]
-                grams, lens, has = ngrams(part, FEATURES if m is None else len(m.weights))
-                pred, score = [unnamed if h else "und" for h in has], np.zeros(len(part))
-                if m is not None:
-                    ends = np.cumsum(lens)
-                    sums = np.zeros((len(part), len(m.languages)))
-                    for i in range(len(m.languages)):
-                        run_ = np.concatenate([[0.0], np.cumsum(m.weights[:, i][grams], dtype=np.float64)])
-                        sums[:, i] = run_[ends] - run_[ends - lens]
-                    s = (sums / np.maximum(lens, 1)[:, None] + m.bias) / m.temperature
-                    p = np.exp(s - s.max(1, keepdims=True))
-                    p /= p.sum(1, keepdims=True)
-                    best = p.argmax(1)
-                    pred = [m.languages[k] if h else "und" for k, h in zip(best, has, strict=True)]
-                    score = np.where(has, p[np.arange(len(part)), best], 0.0)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, *names])
+        for batch, part in by_bytes(batches):
+            grams, lens, has = ngrams(part, FEATURES if m is None else len(m.weights))
+            pred, score = [unnamed if h else "und" for h in has], np.zeros(len(part))
+            if m is not None:
+                ends = np.cumsum(lens)
+                sums = np.zeros((len(part), len(m.languages)))
+                for i in range(len(m.languages)):
+                    run_ = np.concatenate([[0.0], np.cumsum(m.weights[:, i][grams], dtype=np.float64)])
+                    sums[:, i] = run_[ends] - run_[ends - lens]
+                s = (sums / np.maximum(lens, 1)[:, None] + m.bias) / m.temperature
+                p = np.exp(s - s.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                best = p.argmax(1)
+                pred = [m.languages[k] if h else "und" for k, h in zip(best, has, strict=True)]
+                score = np.where(has, p[np.arange(len(part)), best], 0.0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, *names])
 
     return rows.mapInArrow(run, schema)
 

@@ -17,6 +17,8 @@ from itertools import chain, count, islice
 
 import numpy as np
 
+from kerbside.llm.common import release
+
 #: Pieces that a worker remembers at most, about, and between tasks; the longest, and how many bytes of longer ones it holds.
 CACHE_PIECES, KEPT_PIECES, CACHE_BYTES, LONG_BYTES = 400_000, 100_000, 48, 8 << 20
 
@@ -153,3 +155,4 @@ def tokenizer(path: str, spaces_dropped: bool) -> Iterator[CachedTokenizer]:
         yield made
     finally:
         made.forget(KEPT_PIECES)
+        release()
