@@ -53,7 +53,6 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.pieces = _unspaced if spaces_dropped else _spaced
         # several pieces are encoded as one text: words, each of which ends in an id that only ends words, or what new lines divide
         vocabulary, self.by_end = self.tokenizer.get_vocab(), spaces_dropped
