@@ -17,6 +17,7 @@ neither all found nor given. similar_links() gives all links between different s
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 import numpy as np
@@ -32,8 +33,8 @@ WORDS, PERCENT = 5, 75
 SPREAD, THICK = 1.5, 32
 
 #: A key that about so many sets of all share is costly: its list isn't gathered in a task. How many share a key is told
-#: by a sketch of two rows of so many counters, which all tasks fill and whose parts are merged.
-COSTLY, COUNTERS, PART = 1000, 1 << 20, 1 << 15
+#: by a sketch of two rows of so many counters, which all tasks fill and whose parts are merged, so many tasks' at a time.
+COSTLY, COUNTERS, PART, MERGED = 1000, 1 << 20, 1 << 15, 64
 
 #: Keys that are compared in a task at a time, about.
 BUCKET_KEYS = 500_000
@@ -138,14 +139,33 @@ def _counters(keys: np.ndarray) -> list[np.ndarray]:
     return [(h % np.uint64(COUNTERS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(COUNTERS)).astype(np.int64) + COUNTERS]
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters in as few bytes as they need."""
+    return counts.astype(np.min_scalar_type(counts.max())).tobytes()
+
+
 def _summed(table):
-    """A part of the sketch from those of the tasks."""
+    """A part of the sketch from those of at most MERGED tasks."""
     import pyarrow as pa
 
-    total = np.zeros(PART, np.uint32)
+    total = np.zeros(PART, np.uint64)
     for data in table.column("counts").to_pylist():
         total += np.frombuffer(data, f"u{len(data) // PART}")
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    part, task = (pa.array([table.column(c)[0].as_py()], pa.int32()) for c in ("part", "task"))
+    return pa.table({"part": part, "task": task, "counts": pa.array([_packed(total)], pa.binary())})
+
+
+def _merged(parts: DataFrame) -> np.ndarray:
+    """The sketch of all tasks from rows of part, task, counts. No task merges more than MERGED of them; only the whole comes to the driver."""
+    sketch, tasks = np.zeros(2 * COUNTERS, np.uint64), parts.agg(F.max("task")).first()[0] or 0
+    while True:
+        parts = parts.withColumn("task", F.floor(F.col("task") / MERGED).cast("int")).groupBy("part", "task").applyInArrow(_summed, "part int, task int, counts binary")
+        tasks //= MERGED
+        if not tasks:
+            break
+    for part, _, counts in parts.collect():
+        sketch[part * PART : (part + 1) * PART] = np.frombuffer(counts, f"u{len(counts) // PART}")
+    return np.minimum(sketch, (1 << 32) - 1).astype(np.uint32)
 
 
 def shared_by(keys: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -154,16 +174,23 @@ def shared_by(keys: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return np.minimum(sketch[a], sketch[b]).astype(np.int64) - int(sketch.sum(dtype=np.int64) // (2 * COUNTERS))
 
 
+def least_costly(sketch: np.ndarray, costly: int = COSTLY) -> int:
+    """From what estimate on a key is costly: the fuller the sketch, the more its estimates are off, so as not to take rare keys for costly ones."""
+    return costly + 6 * math.isqrt(int(sketch.sum(dtype=np.int64)) // (2 * COUNTERS))
+
+
 def _survey(o: Options):
-    """Rows of each text (rid, doc_id, node, n), of counters of keys (part, counts), and of bands that need more (band, how)."""
+    """Rows of each text (rid, doc_id, node, n), of counters of keys (part, task, counts), and of bands that need more (band, how)."""
     import pyarrow as pa
+    from pyspark import TaskContext
 
     def rows(**columns):
         n = max(len(v) for v in columns.values())
-        kinds = {"rid": pa.int64(), "doc_id": pa.int64(), "node": pa.int64(), "n": pa.int64(), "part": pa.int32(), "counts": pa.binary(), "band": pa.int32(), "finer": pa.int32(), "deletions": pa.int32()}
+        kinds = {"rid": pa.int64(), "doc_id": pa.int64(), "node": pa.int64(), "n": pa.int64(), "part": pa.int32(), "task": pa.int32(), "counts": pa.binary(), "band": pa.int32(), "finer": pa.int32(), "deletions": pa.int32()}
         return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns.get(c, [None] * n), t) for c, t in kinds.items()], names=list(kinds))
 
     def run(batches):
+        task = TaskContext.get().partitionId()
         seen: set[int] = set()
         held, size, sketch = [], 0, np.zeros(2 * COUNTERS, np.uint32)
 
@@ -195,8 +222,8 @@ def _survey(o: Options):
         if held:
             count()
         for part, counts in enumerate(sketch.reshape(-1, PART)):
-            if most := counts.max():  # in as few bytes as they need
-                yield rows(part=[part], counts=[counts.astype(np.min_scalar_type(most)).tobytes()])
+            if counts.any():
+                yield rows(part=[part], task=[task], counts=[_packed(counts)])
 
     return run
 
@@ -210,6 +237,7 @@ def _index(o: Options, how: dict[int, tuple[int, int]], sketch, buckets: int):
     import pyarrow as pa
 
     def run(batches):
+        costly = least_costly(sketch.value, o.costly)
         seen: set[int] = set()
         keys, nodes, counts, needs, size = [], [], [], [], 0
 
@@ -217,7 +245,7 @@ def _index(o: Options, how: dict[int, tuple[int, int]], sketch, buckets: int):
             k, node = np.concatenate(keys), np.array(nodes, np.int64)
             v = np.repeat(node, counts)
             cost = shared_by(k, sketch.value)
-            hot = cost >= o.costly
+            hot = cost >= costly
             home = (mix(node.view(np.uint64)) >> np.uint64(20)).astype(np.int64) % buckets
             cold = k[~hot]
             five = cold.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # the rest is in the bucket or doesn't matter
@@ -449,12 +477,10 @@ class Candidates(NamedTuple):
 
 def _candidates(docs: DataFrame, o: Options) -> Candidates:
     rows = with_row_id(texts_of(docs))
-    survey = stored(rows.mapInArrow(_survey(o), "rid long, doc_id long, node long, n long, part int, counts binary, band int, finer int, deletions int"), "survey")
+    survey = stored(rows.mapInArrow(_survey(o), "rid long, doc_id long, node long, n long, part int, task int, counts binary, band int, finer int, deletions int"), "survey")
     known = survey.where("rid is not null").select("rid", "doc_id", "node", "n")
     how = {r[0]: (r[1], r[2]) for r in survey.where("band is not null").groupBy("band").agg(F.max("finer"), F.max("deletions")).collect()}  # a row per band
-    sketch = np.zeros(2 * COUNTERS, np.uint32)
-    for part, counts in survey.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect():
-        sketch[part * PART : (part + 1) * PART] = np.frombuffer(counts, np.uint32)
+    sketch = _merged(survey.where("part is not null").select("part", "task", "counts"))
     tokens = known.agg(F.sum("n")).first()[0] or 0
     buckets = min(1 << 24, max(LEAST_BUCKETS, tokens // BUCKET_KEYS))
     sent = docs.sparkSession.sparkContext.broadcast(sketch)  # 8 MB
