@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-#: Bytes of text that a task handles at a time, rows of an Arrow batch at most, and bytes of a row group of stored tables, about.
-CHUNK_BYTES, BATCH_ROWS, GROUP_BYTES = 1 << 20, 2000, 16 << 20
+#: Bytes of text that a task handles at a time, rows and bytes of an Arrow batch at most (a longer row is a batch of its
+#: own), and bytes of a row group of stored tables, about.
+CHUNK_BYTES, BATCH_ROWS, BATCH_BYTES, GROUP_BYTES = 1 << 20, 2000, 4 << 20, 16 << 20
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
@@ -41,10 +42,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From now on Arrow batches of this session hold at most BATCH_ROWS rows: with many long texts each, they fill executors' memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """From now on Arrow batches of this session hold at most BATCH_ROWS rows and BATCH_BYTES: many long texts fill executors' memory."""
+    for name, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.max{name}PerBatch"
+        if not 0 < int(re.match(r"-?\d+", spark.conf.get(key))[0]) <= most:
+            spark.conf.set(key, most)
 
 
 def texts_of(docs: DataFrame, *more) -> DataFrame:
