@@ -81,10 +81,16 @@ def occupancy(observed: DataFrame, keys: Sequence[str] = KEYS, now: int | None =
 
 
 def flow_rate(passes: DataFrame, window: float = 300.0, closed: bool = False) -> DataFrame:
-    """Adds to each first pass the rate per hour of those in the window that ends with it; closed: a pass exactly window old counts."""
-    w = Window.partitionBy("lane_id").orderBy(F.col("_us")).rangeBetween(-int(window * 1_000_000) + (0 if closed else 1), 0)
+    """Adds to each first pass the rate per hour of those in the window that ends with it; closed: a pass exactly window old counts.
+
+    Passes are dealt by stretches of time as long as the window, each to its own stretch and to the next, where it counts only.
+    """
+    width = int(window * 1_000_000)
     timed = passes.withColumn("_us", F.round(F.col("first_time") * 1_000_000).cast("long"))
-    return timed.withColumn("flow_rate", F.count(F.lit(1)).over(w) * (3600.0 / window)).drop("_us")
+    dealt = timed.withColumn("_later", F.explode(F.sequence(F.lit(0), F.when(F.col("_us").isNull(), 0).otherwise(1))))
+    dealt = dealt.withColumn("_stretch", F.expr(f"_us div {width} - if(_us % {width} < 0, 1, 0) + _later"))
+    w = Window.partitionBy("lane_id", "_stretch").orderBy("_us").rangeBetween(-width + (0 if closed else 1), 0)
+    return dealt.withColumn("flow_rate", F.count(F.lit(1)).over(w) * (3600.0 / window)).where("_later = 0").drop("_us", "_later", "_stretch")
 
 
 def flow_rate_at(passes: DataFrame, now: float, window: float = 300.0, closed: bool = False) -> DataFrame:
@@ -103,13 +109,22 @@ def lane_paths(observed: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return new.groupBy(*keys).agg(F.array_join(F.transform(steps, lambda s: s["lane_name"]), " → ").alias("lane_path"))
 
 
-def summary(observed: DataFrame, lanes: DataFrame, now: float, keys: Sequence[str] = KEYS) -> DataFrame:
-    """lane_id, name, pass_count, current_in_lane, queue_count, flow_rate_veh_h of every lane."""
-    parts = pass_counts(observed, keys), occupancy(observed, keys), flow_rate_at(first_passes(observed, keys), now)
-    out = lanes.select("lane_id", "name")
-    for p in parts:
-        out = out.join(p, "lane_id", "left")
-    return out.select("lane_id", "name", *(F.coalesce(c, F.lit(0)).alias(n) for c, n in (("pass_count", "pass_count"), ("flow_count", "current_in_lane"), ("queue_count", "queue_count"), ("flow_rate", "flow_rate_veh_h"))))
+def summary(observed: DataFrame, lanes: DataFrame, now: float, keys: Sequence[str] = KEYS, window: float = 300.0) -> DataFrame:
+    """lane_id, name, pass_count, current_in_lane, queue_count, flow_rate_veh_h of every lane, from one pass over what is observed.
+
+    The figures are those of pass_counts(), occupancy() and flow_rate_at().
+    """
+    standing = F.col("stationary") if "stationary" in observed.columns else F.lit(False)
+    each = observed.groupBy("lane_id", *keys).agg(
+        F.bool_or("inside").alias("passed"), F.min(F.when(F.col("inside"), F.col("frame_time"))).alias("first_time"), F.max_by(F.struct("inside", standing.alias("stationary")), "frame_id").alias("r")
+    )
+    age = F.lit(now) - F.col("first_time")
+    counts = each.groupBy("lane_id").agg(
+        F.count_if("passed").alias("pass_count"), F.count_if("r.inside").alias("current_in_lane"), F.count_if(F.col("r.inside") & F.col("r.stationary")).alias("queue_count"),
+        (F.count_if((age >= 0) & (age < window)) * (3600.0 / window)).alias("flow_rate_veh_h"),
+    )
+    figures = ("pass_count", "current_in_lane", "queue_count", "flow_rate_veh_h")
+    return lanes.select("lane_id", "name").join(counts, "lane_id", "left").select("lane_id", "name", *(F.coalesce(c, F.lit(0)).alias(c) for c in figures))
 
 
 def next_free_number(lanes: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from kerbside.functions import geo, geometry
 from kerbside.operators import calibrate, decode, kinematics, lanes, nms, tracker
 from kerbside.plans import config, registry
 from kerbside.sources import readers, sinks
+from kerbside.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -233,8 +234,7 @@ def flow_rate(spark, d):
 def lane_csv(spark, d):
     table = lanes.lane_table(spark, LANES)
     observed = lanes.lane_observations(kinematics.stationary(tracks(spark, d), max_path=10000), table)
-    out = lanes.summary(observed, table, 0.0).drop("flow_rate_veh_h").join(lanes.flow_rate_at(lanes.first_passes(observed), 1704153600.0, 86400.0), "lane_id", "left")
-    return sinks.lane_rows(out.withColumn("flow_rate_veh_h", F.coalesce("flow_rate", F.lit(0.0))))
+    return sinks.lane_rows(lanes.summary(observed, table, 1704153600.0, window=86400.0))
 
 
 @query("SELECT min(i) next_number FROM range(1, 100) t(i) WHERE i NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey <> 7)")
@@ -598,6 +598,34 @@ def payload_guards(spark, d):
     return t.select("doc_id", readers.payload_code("text", "sizes", 5000).alias("code"))
 
 
+# Of each user's events: clicks and views are headers (views without an id), purchases payloads.
+_MESSAGES_OF_USERS = {"click": ("header", None), "view": ("header", "invalid_request"), "purchase": ("payload", None)}
+
+
+@query(
+    """WITH m AS (SELECT user_id, event_id, event_type, event_type = 'purchase' AS payload, event_type = 'click' AS header, props FROM events),
+    runs AS (SELECT *, coalesce(sum(payload::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) run FROM m),
+    f AS (SELECT *, min(event_id) FILTER (header) OVER (PARTITION BY user_id, run) waiting FROM runs)
+    SELECT user_id AS connection_id, event_id AS seq, CASE WHEN payload THEN waiting END AS header_seq,
+        CASE WHEN payload AND waiting IS NULL THEN 'unexpected_binary' WHEN payload AND strlen(coalesce(props, '')) > 8 THEN 'payload_too_large'
+            WHEN header AND event_id > waiting THEN 'previous_header_unpaired' WHEN event_type = 'view' THEN 'invalid_request' END AS code FROM f"""
+)
+def message_pairs(spark, d):
+    kind, code = (F.create_map(*(F.lit(x) for k, v in _MESSAGES_OF_USERS.items() for x in (k, v[i])))[F.col("event_type")] for i in (0, 1))
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("connection_id"), F.col("event_id").alias("seq"), kind.alias("kind"), code.alias("code"), F.coalesce("props", F.lit("")).alias("content"))
+    return readers.pair_messages(e, limit=8).select("connection_id", "seq", "header_seq", "code")
+
+
+@query(
+    """WITH gone AS (SELECT user_id, max(event_id) // 2 AS last FROM events WHERE event_type = 'error' GROUP BY 1)
+    SELECT CAST(e.user_id AS VARCHAR) session_id, CAST(event_id AS INT) frame_id, event_id epoch, 'stale_session' code FROM events e JOIN gone g ON g.user_id = e.user_id WHERE event_id <= last"""
+)
+def stale_sessions(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").cast("int").alias("frame_id"), F.col("event_id").alias("epoch"), "event_type")
+    retired = e.where("event_type = 'error'").groupBy("session_id").agg(F.floor(F.max("epoch") / 2).alias("epoch"))
+    return stateful.stale(e, retired)
+
+
 @query("""SELECT 'r' || event_id request_id, '{"type":"error","request_id":"r' || event_id || '","error":"' || CASE event_type WHEN 'error' THEN 'the queue is full","code":"queue_full"}' WHEN 'click' THEN 'invalid request","code":"invalid_request"}' ELSE 'Processing failed"}' END message FROM events""")
 def error_messages(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("r"), "event_id").alias("request_id"), F.when(F.col("event_type") == "error", "queue_full").when(F.col("event_type") == "click", "invalid_request").alias("code"))

@@ -62,15 +62,51 @@ def payload_code(content, sizes=None, limit: int = MAX_PAYLOAD) -> Column:
     return out
 
 
+#: Messages of a connection that are numbered together.
+STRETCH = 100_000
+
+
+def pair_messages(messages: DataFrame, limit: int = MAX_PAYLOAD) -> DataFrame:
+    """Adds to the messages of connections header_seq and code: which header a payload belongs to, and what is refused.
+
+    messages: connection_id, seq (place in the connection), kind (header, payload; others pass), code (why a header is
+    refused already, see parse_headers(), or null), content (a payload's). A header waits for the next payload; one
+    that comes while another waits is refused (previous_header_unpaired), and so is a payload for which none waits
+    (unexpected_binary) or that is too large; the header of that is used up. Refused headers don't wait. Rows with a
+    null connection_id or seq, or of another kind, keep their code and have no header_seq.
+
+    Runs between payloads are numbered by stretches of seq, so that a long connection isn't one task's.
+    """
+    payload, header = F.col("kind") == "payload", (F.col("kind") == "header") & F.col("code").isNull()
+    known = F.col("connection_id").isNotNull() & F.col("seq").isNotNull()
+    placed = messages.withColumn("_stretch", F.floor(F.col("seq") / STRETCH))
+    totals = placed.where(known & payload).groupBy("connection_id", "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    stretches = placed.where(known).select("connection_id", "_stretch").distinct().join(totals, ["connection_id", "_stretch"], "left")
+    through = Window.partitionBy("connection_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = stretches.select("connection_id", "_stretch", F.coalesce(F.sum("_n").over(through), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("connection_id", "_stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = placed.join(before, ["connection_id", "_stretch"], "left").withColumn("_run", F.col("_before") + F.coalesce(F.count_if(payload).over(within), F.lit(0)))
+    waits = numbered.where(known & header).groupBy("connection_id", "_run").agg(F.min("seq").alias("_first"))
+    met = numbered.join(waits, ["connection_id", "_run"], "left")
+    code = (
+        F.when(~known, F.col("code"))
+        .when(payload, F.when(F.col("_first").isNull(), "unexpected_binary").otherwise(payload_code("content", limit=limit)))
+        .when(header & (F.col("seq") > F.col("_first")), "previous_header_unpaired")
+        .otherwise(F.col("code"))
+    )
+    return met.select(*(F.col(c) for c in messages.columns if c != "code"), F.when(known & payload, F.col("_first")).alias("header_seq"), code.alias("code"))
+
+
 def split_batches(batches: DataFrame) -> DataFrame:
     """A row per frame of batches (session_id, frames, sizes, content): idx, request_id, frame_id, start, size, content.
 
     Other columns of batches come along. A frame's bytes begin where those of the frames before it end. Batches whose sizes don't fit give no rows.
     """
     fits = (F.size("frames") == F.size("sizes")) & payload_code("content", "sizes").isNull()
-    parts = F.transform(
-        F.arrays_zip("frames", "sizes"), lambda z, i: F.struct(z["frames"].alias("f"), z["sizes"].alias("size"), F.aggregate(F.slice(F.col("sizes"), F.lit(1), i), F.lit(0).cast("bigint"), lambda a, s: a + s).alias("start"))
-    )
+    none = F.array(F.lit(0).cast("bigint"))
+    starts = F.aggregate("sizes", none, lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + s)))  # of each frame, and the end
+    parts = F.transform(F.arrays_zip("frames", "sizes", starts.alias("starts")), lambda z: F.struct(z["frames"].alias("f"), z["sizes"].alias("size"), z["starts"].alias("start")))
+    parts = F.slice(parts, F.lit(1), F.size("sizes"))
     rest = [c for c in batches.columns if c not in ("session_id", "frames", "sizes", "content")]
     each = batches.where(fits).select("session_id", *rest, "content", F.posexplode(parts).alias("idx", "p"))
     data = F.expr("substring(content, cast(p.start + 1 as int), cast(p.size as int))")

@@ -120,6 +120,13 @@ def current_epoch(tracked: DataFrame, retired: DataFrame) -> DataFrame:
     return tracked.join(last, "session_id", "left").where("_gone is null or epoch > _gone").drop("_gone")
 
 
+def stale(tracked: DataFrame, retired: DataFrame) -> DataFrame:
+    """What current_epoch() leaves out, as a refused row per frame: session_id, frame_id, epoch, code."""
+    last = retired.groupBy("session_id").agg(F.max("epoch").alias("_gone"))
+    gone = tracked.join(last, "session_id").where("epoch <= _gone")
+    return gone.select("session_id", "frame_id", "epoch", F.lit("stale_session").alias("code")).distinct()
+
+
 def paired(headers: DataFrame, payloads: DataFrame, wait: str = "60 seconds") -> DataFrame:
     """Headers (request_id, header_time, ...) with their payloads (request_id, payload_time, content).
 

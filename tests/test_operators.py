@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import warnings
 
 import numpy as np
@@ -135,6 +136,48 @@ def test_flow_rate_boundaries(spark):
     assert {r.lane_id: r.flow_rate for r in lanes.flow_rate_at(p, 300.0).collect()} == {1: 12.0, 2: 12.0}
 
 
+def test_flow_rate_by_stretches_of_time(spark):
+    times = random.Random(5).choices(range(-900, 3000), k=400)
+    p = spark.createDataFrame([(k % 2, k, float(t)) for k, t in enumerate(times)] + [(0, 400, None), (0, 401, None)], "lane_id int, id int, first_time double")
+    for closed in (False, True):
+        got = {r.id: r.flow_rate for r in lanes.flow_rate(p, closed=closed).where("first_time is not null").collect()}
+        assert got == {k: 12.0 * sum(k % 2 == j % 2 and (0 <= t - u < 300 or closed and t - u == 300) for j, u in enumerate(times)) for k, t in enumerate(times)}
+        assert lanes.flow_rate(p, closed=closed).count() == 402
+
+
+def test_messages_are_paired_in_order(spark, monkeypatch):
+    monkeypatch.setattr(readers, "STRETCH", 7)
+    pick = random.Random(8)
+    rows = [(c, s, *pick.choice([("header", None), ("header", None), ("header", "invalid_request"), ("payload", None), ("payload", None), ("ping", None), (None, None)]), "x" * pick.randrange(12)) for c in range(6) for s in range(90)]
+    rows += [(None, 5, "payload", None, "x"), (3, None, "header", None, "x"), (9, 0, "payload", None, "")]
+    want = []
+    for c in {r[0] for r in rows}:
+        waiting = None
+        for _, s, kind, code, content in sorted((r for r in rows if r[0] == c), key=lambda r: -1 if r[1] is None else r[1]):
+            paired = None
+            if c is not None and s is not None and kind == "payload":
+                paired, waiting = waiting, None
+                code = "unexpected_binary" if paired is None else "payload_too_large" if len(content) > 10 else None
+            elif c is not None and s is not None and kind == "header" and code is None:
+                code, waiting = ("previous_header_unpaired", waiting) if waiting is not None else (None, s)
+            want.append((c, s, paired, code))
+    kinds = "connection_id int, seq int, kind string, code string, content string"
+    got = [tuple(r) for r in readers.pair_messages(spark.createDataFrame(rows, kinds), limit=10).select("connection_id", "seq", "header_seq", "code").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert readers.pair_messages(spark.createDataFrame([], kinds)).count() == 0
+
+
+def test_summary_is_that_of_its_parts(spark):
+    pick = random.Random(3)
+    t = tracks(spark, [(k, f, f / 30, pick.uniform(-5, 15), pick.uniform(-5, 15)) for k in range(8) for f in range(1, 20)]).withColumn("stationary", F.col("track_id") % 2 == 0)
+    table = lanes.lane_table(spark, [(1, "a", SQUARE), (2, "empty", [(90, 90), (99, 90), (99, 99)])])
+    seen = lanes.lane_observations(t, table)
+    parts = lanes.pass_counts(seen).join(lanes.occupancy(seen), "lane_id").join(lanes.flow_rate_at(lanes.first_passes(seen), 100.0), "lane_id", "left").fillna(0.0)
+    rows = lanes.summary(seen, table, 100.0).select("lane_id", "pass_count", "current_in_lane", "queue_count", "flow_rate_veh_h")
+    assert sorted(tuple(r) for r in rows.collect()) == sorted(tuple(r) for r in parts.select("lane_id", "pass_count", "flow_count", "queue_count", "flow_rate").collect())
+    assert {r.lane_id: r.flow_rate_veh_h > 0 for r in rows.collect()} == {1: True, 2: False}
+
+
 def test_lanes_keep_what_vanishes_and_may_forget_it(spark):
     t = tracks(spark, [(1, 1, 0.0, 5.0, 5.0), (2, 90, 9.0, 5.0, 5.0), (2, 91, 9.1, 50.0, 5.0), (0, 92, 9.2, 5.0, 5.0)])
     seen = lanes.lane_observations(t, lanes.lane_table(spark, [(1, "a", SQUARE)]))

@@ -85,6 +85,8 @@ def test_results_of_ended_sessions_are_dropped(spark):
     rows = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "session_id string, epoch int")
     retired = spark.createDataFrame([("a", 0)], "session_id string, epoch int")
     assert sorted(tuple(r) for r in stateful.current_epoch(rows, retired).collect()) == [("a", 1), ("b", 0)]
+    rows = rows.unionByName(rows).withColumn("frame_id", F.lit(7))
+    assert [tuple(r) for r in stateful.stale(rows, retired).collect()] == [("a", 7, 0, "stale_session")]
 
 
 @pytest.mark.parametrize("f", ["rate", "sessions"])
