@@ -22,9 +22,8 @@ WINDOW, SEED_WORDS = 35, 16
 #: Anchors or windows that a map task gathers before it sends them.
 HELD = 1_000_000
 
-#: Bytes of text for each bucket, and the least number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 10 << 20, 1024
-DOC_BUCKETS = 256
+#: Bytes of text for each bucket, the least number of buckets, and how many of them go to one bucket of documents.
+BUCKET_BYTES, LEAST_BUCKETS, SHARED = 10 << 20, 1024, 4
 
 
 def anchors(words: np.ndarray, lens: np.ndarray, window: int = WINDOW, seed: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +87,7 @@ def _rows(known, sent, buckets: int):
     import pyarrow as pa
 
     rid, pos = known[0].astype(np.int64), known[1].astype(np.int32)
-    for batch, flag in ((sent, False), (blobs(_doc_bucket(rid) % buckets, {"keys": np.zeros((len(rid), 0), np.uint8), "rids": rid, "places": pos}), True)):
+    for batch, flag in ((sent, False), (blobs(_doc_bucket(rid, buckets), {"keys": np.zeros((len(rid), 0), np.uint8), "rids": rid, "places": pos}), True)):
         if batch.num_rows:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flag] * batch.num_rows), *batch.columns[1:]], names=["bucket", "known", "keys", "rids", "places"])
 
@@ -135,24 +134,28 @@ def _extended(buckets: int, window: int, seed: int):
     return run
 
 
-def _repeated(table):
+def _repeated(buckets: int):
     """Rows and places of a bucket's keys that several tasks hold, and of those known before, dealt by document."""
-    import pyarrow as pa
 
-    told = table.column("known").to_numpy()
-    sure, table = table.filter(pa.array(told)), table.filter(pa.array(~told))
-    key, rid, place = unblob(table, "keys", np.uint64), unblob(table, "rids", np.int64), unblob(table, "places", np.int32)
-    order = np.argsort(key, kind="stable")
-    key, rid, place = key[order], rid[order], place[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    count = np.diff(np.append(first, len(key)))
-    some = (np.repeat(count, count) > 1) & (place >= 0)  # marked ones are known
-    rid, place = np.concatenate([rid[some], unblob(sure, "rids", np.int64)]), np.concatenate([place[some], unblob(sure, "places", np.int32)])
-    return pa.Table.from_batches([blobs(_doc_bucket(rid), {"rids": rid, "places": place})])
+    def run(table):
+        import pyarrow as pa
+
+        told = table.column("known").to_numpy()
+        sure, table = table.filter(pa.array(told)), table.filter(pa.array(~told))
+        key, rid, place = unblob(table, "keys", np.uint64), unblob(table, "rids", np.int64), unblob(table, "places", np.int32)
+        order = np.argsort(key, kind="stable")
+        key, rid, place = key[order], rid[order], place[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(key)))
+        some = (np.repeat(count, count) > 1) & (place >= 0)  # marked ones are known
+        rid, place = np.concatenate([rid[some], unblob(sure, "rids", np.int64)]), np.concatenate([place[some], unblob(sure, "places", np.int32)])
+        return pa.Table.from_batches([blobs(_doc_bucket(rid, buckets), {"rids": rid, "places": place})])
+
+    return run
 
 
-def _doc_bucket(rid: np.ndarray) -> np.ndarray:
-    return (mix(rid.astype(np.int64).view(np.uint64)) % np.uint64(DOC_BUCKETS)).astype(np.int64)
+def _doc_bucket(rid: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(rid.astype(np.int64).view(np.uint64)) % np.uint64(max(1, buckets // SHARED))).astype(np.int64)
 
 
 def _by_document(spans_of: int):
@@ -179,9 +182,9 @@ def _by_document(spans_of: int):
     return run
 
 
-def _gather(sent: DataFrame, spans_of: int = 0) -> DataFrame:
+def _gather(sent: DataFrame, buckets: int, spans_of: int = 0) -> DataFrame:
     """rid, places for what a step's tasks have sent."""
-    met = sent.groupBy("bucket").applyInArrow(_repeated, "bucket long, rids binary, places binary")
+    met = sent.groupBy("bucket").applyInArrow(_repeated(buckets), "bucket long, rids binary, places binary")
     return met.groupBy("bucket").applyInArrow(_by_document(spans_of), "rid long, places array<int>")
 
 
@@ -225,11 +228,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> tu
     rows = with_row_id(texts_of(docs))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(1 << 24, max(LEAST_BUCKETS, size // BUCKET_BYTES))
-    places = stored(_gather(rows.mapInArrow(_seeds(buckets, window, seed), _SENT)), "anchors")
+    places = stored(_gather(rows.mapInArrow(_seeds(buckets, window, seed), _SENT), buckets), "anchors")
     bits = rows.sparkSession.sparkContext.broadcast(bitmap(places, "rid"))
     texts = _picked(rows, bits).join(places, "rid").select("rid", "text", "places")
     windows = texts.mapInArrow(_extended(buckets, window, seed), _SENT)
-    return rows, stored(_gather(windows, window), "repeats")
+    return rows, stored(_gather(windows, buckets, window), "repeats")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
