@@ -18,6 +18,7 @@ neither all found nor given. similar_links() gives all links between different s
 from __future__ import annotations
 
 import math
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -140,8 +141,13 @@ def _counters(keys: np.ndarray) -> list[np.ndarray]:
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """Counters in as few bytes as they need."""
-    return counts.astype(np.min_scalar_type(counts.max())).tobytes()
+    """Counters in as few bytes as they need, compressed: most are 0 or hold few."""
+    return zlib.compress(counts.astype(np.min_scalar_type(counts.max())).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = zlib.decompress(data)
+    return np.frombuffer(raw, f"u{len(raw) // PART}")
 
 
 def _summed(table):
@@ -150,7 +156,7 @@ def _summed(table):
 
     total = np.zeros(PART, np.uint64)
     for data in table.column("counts").to_pylist():
-        total += np.frombuffer(data, f"u{len(data) // PART}")
+        total += _unpacked(data)
     part, task = (pa.array([table.column(c)[0].as_py()], pa.int32()) for c in ("part", "task"))
     return pa.table({"part": part, "task": task, "counts": pa.array([_packed(total)], pa.binary())})
 
@@ -164,7 +170,7 @@ def _merged(parts: DataFrame) -> np.ndarray:
         if not tasks:
             break
     for part, _, counts in parts.collect():
-        sketch[part * PART : (part + 1) * PART] = np.frombuffer(counts, f"u{len(counts) // PART}")
+        sketch[part * PART : (part + 1) * PART] = _unpacked(counts)
     return np.minimum(sketch, (1 << 32) - 1).astype(np.uint32)
 
 
