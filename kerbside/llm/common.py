@@ -63,13 +63,24 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _plain(df: DataFrame) -> bool:
+    """Whether df is one table with columns and rows left out at most, so that no row is there twice."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName().startswith("LogicalRelation") or node.nodeName().startswith("Relation")
+
+
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     """df, a table of Parquet files, with a number for each row; doc_id may repeat or be null, this doesn't.
 
     It is made of the number of the row's file and the row's place in it, so that it's the same whenever and by however
-    many tasks the files are read. What is no table of files is written first.
+    many tasks the files are read. What is no table of files, or more than a selection of one's columns and rows (an
+    exploded, joined or united table repeats the places of its rows), is written first.
     """
     spark, file = df.sparkSession, unused(df, "_file")
+    if not _plain(df):
+        return with_row_id(stored(df, "rows"), name)
     try:
         meta = df.metadataColumn("_metadata")
         placed = df.select("*", F.regexp_replace(meta.getField("file_path"), "^([^:/]+):/+", "$1:/").alias(file), meta.getField("row_index").alias(name))

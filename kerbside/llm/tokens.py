@@ -29,8 +29,9 @@ _PIECE = re.compile(rb"\s*\S+|\s+")
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8f\xa8-\xaf]|\x81[\x9f-\xaf])|\xe3\x80\x80|\xef\xbb\xbf")
 #: What white space other than ASCII begins with, and special tokens; few texts have any of them.
 _WHOLE = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80", b"\xef\xbb", b"<|")
-#: A word and the marks after it: two matches of either split pattern. Times and division signs are no letters.
-_MARKED = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc9][\x80-\xbf])+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+#: A word and the marks after it: two matches of either split pattern. Times and division signs are no letters, and lower case
+#: turns U+0130 into a letter and a mark, which goes with what follows.
+_MARKED = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc9][\x80-\xbf])+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
 
 def _spaced(text: bytes) -> list[bytes]:

@@ -5,8 +5,10 @@ import zlib
 
 import corpus_pipeline
 import pytest
+from kerbside.llm.exact_dedup import exact_duplicates
 from kerbside.llm import queries as Q
 from kerbside.llm.common import stored, texts_of, with_row_id, without
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rid long, _rid long, score double, lang_pred string, places string, kept boolean"
 TEXTS = [None, "", " \n", "one two three four five six seven", "You are a stupid idiot. " * 8, "write to someone@example.com or call +1 (555) 555-0199 " * 3, "some quiet words " * 40, "日本語 é", "x" * 30000]
@@ -102,3 +104,16 @@ def test_row_ids_do_not_depend_on_how_files_are_read(spark, tmp_path):
     left = without(docs, gone)
     assert left.columns == docs.columns and {r.rid for r in left.collect()} == {i for i in range(2000) if i % 3}
     assert with_row_id(spark.range(9).toDF("doc_id")).select("rid").distinct().count() == 9  # no table of files
+
+
+def test_row_ids_of_derived_tables(spark, tmp_path):
+    path = f"{tmp_path}/t.parquet"
+    spark.range(10).selectExpr("id doc_id", "concat('text ', id) text").write.parquet(path)
+    docs = spark.read.parquet(path)
+    twice = docs.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    joined = docs.join(twice.select(F.col("doc_id").alias("other"), "copy"), F.col("other") == F.col("doc_id"))
+    for derived in (twice, joined, docs.union(docs)):
+        assert {(r.rid, 1) for r in with_row_id(derived).collect()} == {(r.rid, r["count"]) for r in with_row_id(derived).groupBy("rid").count().collect()}
+        found = exact_duplicates(derived).collect()
+        assert len(found) == 20 and len({r.rid for r in found}) == 20
+        assert sum(r.kept for r in found) == 10 and all(r.group_size == 2 for r in found)

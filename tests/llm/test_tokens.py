@@ -41,6 +41,14 @@ def test_pieces_give_the_ids_of_whole_texts(path, spaces_dropped, texts):
     assert ids.tolist() == [i for w in want for i in w]
 
 
+@pytest.mark.parametrize(("path", "spaces_dropped"), [(WORD, True), (BYTE, False)])
+def test_marks_after_every_latin_letter(path, spaces_dropped):
+    texts = [f"{a}{chr(c)}{b}{marks}" for c in range(0xC0, 0x250) for a in ("", "x") for b in ("", "y") for marks in ("--", ".", "'s")]
+    ids, counts = tokens.CachedTokenizer(path, spaces_dropped).encode([t.encode() for t in texts])
+    want = [PLAIN[path](t) for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
