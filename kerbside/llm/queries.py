@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +95,51 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(docs, dictionary(docs))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm.manifest import build, checked
+
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.translate("text", string.ascii_uppercase, string.ascii_lowercase))
+    return checked(build(_documents(spark, sf_dir), tampered)).drop("position")
+
+
+#: Levels of a source's tree, and of the tree over the sources, that the SQL has: 16 ** 6 rows a source, 16 ** 4 sources.
+_SQL_LEVELS, _SQL_UPPER = 6, 4
+
+
+def _tree_sql(name: str, leaves: str, levels: int) -> str:
+    """Tables name0 to name{levels} of nodes (g, i, d, m: how many there are) over leaves (g, i, d, m), with left and right siblings l, r."""
+    run = "PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN"
+    sides = f"SELECT *, coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') l, coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') r"
+    out = [f"{name}0 AS ({sides} FROM ({leaves}))"]
+    for k in range(1, levels + 1):
+        up = f"SELECT g, i // 16 i, CASE WHEN max(m) = 1 THEN max(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END d, (max(m) + 15) // 16 m FROM {name}{k - 1} GROUP BY g, i // 16"
+        out.append(f"{name}{k} AS ({sides} FROM ({up}))")
+    return ", ".join(out)
+
+
+def _manifest_sql() -> str:
+    value = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(({x})::VARCHAR) || ':' || {x} END"
+    digest = lambda text: "sha256(" + " || ".join(map(value, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    # the unsigned crc32 of the decimal doc_id: each byte comes in, then eight bits go out
+    steps = f"flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT{', -1' * 8}]))"
+    crc = f"xor(list_reduce({steps}, lambda v, s: CASE WHEN s >= 0 THEN xor(v, s) ELSE xor(v >> 1, v % 2 * 3988292384) END, 4294967295::BIGINT), 4294967295)"
+    low = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    fold, proof = "leaf2", []
+    for tree, levels in (("t", _SQL_LEVELS), ("u", _SQL_UPPER)):
+        for k in range(levels):
+            fold = f"CASE WHEN {tree}{k}.m = 1 THEN {fold} ELSE sha256({tree}{k}.l || {fold} || {tree}{k}.r) END"
+            proof.append(f"{tree}{k}.l || {tree}{k}.r")
+    joins = " ".join(f"JOIN t{k} ON t{k}.g = n.g AND t{k}.i = n.i // {16**k}" for k in range(_SQL_LEVELS))
+    joins += " JOIN u0 ON u0.name = n.g " + " ".join(f"JOIN u{k} ON u{k}.i = u0.i // {16**k}" for k in range(1, _SQL_UPPER))
+    return f"""
+        WITH n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 i, count(*) OVER (PARTITION BY g) m FROM (
+            SELECT doc_id, coalesce('+' || source, '') g, {digest('text')} leaf, CASE WHEN {crc} % 5 = 0 THEN {digest(low)} ELSE {digest('text')} END leaf2 FROM documents)),
+        {_tree_sql('t', 'SELECT g, i, leaf d, m FROM n', _SQL_LEVELS)},
+        {_tree_sql('u', f"SELECT 0 g, row_number() OVER (ORDER BY g) - 1 i, d, count(*) OVER () m, g AS name FROM t{_SQL_LEVELS}", _SQL_UPPER)}
+        SELECT *, folded_root = root verified FROM (
+            SELECT doc_id, leaf, u0.d subroot, (SELECT d FROM u{_SQL_UPPER}) root, sha256({' || '.join(proof)}) proof_sha256, {fold} folded_root FROM n {joins})"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -105,4 +151,5 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
         """,
+        "op13_merkle_manifest": _manifest_sql(),
     }
