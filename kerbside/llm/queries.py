@@ -88,6 +88,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbside.llm.tiered_search import search
+
+    return search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("tier")
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerbside.llm.guess_cost import dictionary, digests
 
@@ -102,6 +108,23 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked(build(_documents(spark, sf_dir), tampered)).drop("position")
 
 
+def _search_sql() -> str:
+    low = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    words = f"unnest(regexp_extract_all({low}, '{term}'))"
+    return f"""
+        WITH words AS (SELECT doc_id, {words} term FROM documents),
+        counts AS (SELECT doc_id, term, count(*) tf FROM words GROUP BY ALL),
+        docs AS (SELECT doc_id, sum(tf)::BIGINT n FROM counts GROUP BY ALL),
+        whole AS (SELECT count(*) nn, sum(n)::BIGINT ll FROM docs),
+        wanted AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {words} term FROM benchmark)),
+        weights AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT w FROM counts, whole GROUP BY term, nn),
+        scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::BIGINT score
+            FROM wanted JOIN counts USING (term) JOIN weights USING (term) JOIN docs USING (doc_id), whole GROUP BY ALL),
+        ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS "rank", doc_id, score FROM scores WHERE score > 0)
+        SELECT item_id, "rank", doc_id, score FROM ranked WHERE "rank" <= 50"""
+
+
 #: Levels of a source's tree, and of the tree over the sources, that the SQL has: 16 ** 6 rows a source, 16 ** 4 sources.
 _SQL_LEVELS, _SQL_UPPER = 6, 4
 
@@ -151,5 +174,6 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
         """,
+        "op11_tiered_search": _search_sql(),
         "op13_merkle_manifest": _manifest_sql(),
     }
