@@ -408,8 +408,15 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((mix(s ^ _OTHER) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+#: Bytes of sketches that are compared at a time.
+COMPARED_BYTES = 4 << 20
+
+
 def close_pairs(sizes: list[np.ndarray], sketches: list[list[bytes]], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the first sets may be similar to which of the second, by their sizes and sketches."""
+    """Which of the first sets may be similar to which of the second, by their sizes and sketches.
+
+    Sketches stay packed: the bits in which two differ are those of their words' exclusive or.
+    """
     found = []
     widths = [np.array([len(x) for x in part]) for part in sketches]
     for w in np.unique(widths[0]):
@@ -417,19 +424,19 @@ def close_pairs(sizes: list[np.ndarray], sketches: list[list[bytes]], percent: i
             i, j = np.flatnonzero(widths[0] == w), np.flatnonzero(widths[1] == v)
             if not len(i) or not len(j):
                 continue
-            least = min(w, v)
-            sides = []
+            least, sides = int(min(w, v)), []
             for part, at, wide in ((sketches[0], i, w), (sketches[1], j, v)):
                 x = np.frombuffer(b"".join(part[k] for k in at), np.uint8).reshape(len(at), wide)
-                x = np.unpackbits(x, axis=1)
                 if wide > least:  # a wide sketch folds into that of half as many bits
-                    x = x[:, : least * 8] ^ x[:, least * 8 :]
-                sides.append(1 - 2 * x.astype(np.float32))
-            apart = (least * 8 - sides[0] @ sides[1].T) / 2
-            n, m = sizes[0][i][:, None], sizes[1][j][None, :]
-            good = (apart * (100 + percent) <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            x, y = np.nonzero(good)
-            found.append((i[x], j[y]))
+                    x = x[:, :least] ^ x[:, least:]
+                sides.append(np.pad(x, ((0, 0), (0, -least % 8))).view(np.uint64))
+            step = max(1, COMPARED_BYTES // (sides[1].nbytes or 1))
+            for at in range(0, len(i), step):
+                apart = np.bitwise_count(sides[0][at : at + step, None] ^ sides[1][None]).sum(2, dtype=np.int64)
+                n, m = sizes[0][i[at : at + step]][:, None], sizes[1][j][None, :]
+                good = (apart * (100 + percent) <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                x, y = np.nonzero(good)
+                found.append((i[at + x], j[y]))
     none = np.zeros(0, np.int64)
     return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (none, none)
 
