@@ -6,15 +6,14 @@ a track is small and bounded, and the frames of a session are read one at a time
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.functions.geometry import aabb, aabb_overlap, rotated_iou
+from kerbside.functions.geometry import aabb, aabb_overlap, rotated_ious
 
 
 @dataclass(frozen=True)
@@ -34,196 +33,251 @@ LEAST_SIDE = 1.0
 
 
 class Motion:
-    """Four filters of a value and its change (centre and size), which share no term, as arrays of length 4."""
+    """Filters of values and their changes (centre and size), which share no term: arrays of shape (..., 4)."""
 
-    def __init__(self, z: np.ndarray):
-        self.x, self.v = np.array(z, float), np.zeros(4)
-        self.pxx, self.pxv, self.pvv = np.full(4, FIRST_PLACE), np.zeros(4), np.full(4, FIRST_PACE)
-
-    def predict(self) -> np.ndarray:
-        self.x = self.x + self.v
-        self.pxx = self.pxx + 2 * self.pxv + self.pvv + PLACE_NOISE
-        self.pxv = self.pxv + self.pvv
-        self.pvv = self.pvv + PACE_NOISE
-        return self.x
-
-    def correct(self, z: np.ndarray) -> None:
-        total = self.pxx + MEASURE_NOISE
-        gx, gv, error = self.pxx / total, self.pxv / total, z - self.x
-        self.x, self.v = self.x + gx * error, self.v + gv * error
-        self.pvv = self.pvv - gv * self.pxv
-        self.pxv = (1 - gx) * self.pxv
-        self.pxx = (1 - gx) * self.pxx
-
-    def dump(self) -> list[float]:
-        return np.concatenate([self.x, self.v, self.pxx, self.pxv, self.pvv]).tolist()
+    PARTS = ("x", "v", "pxx", "pxv", "pvv")
 
-    @classmethod
-    def load(cls, values) -> Motion:
-        m = cls.__new__(cls)
-        m.x, m.v, m.pxx, m.pxv, m.pvv = np.array(values, float).reshape(5, 4)
+    def __init__(self, z: np.ndarray):
+        self.x = np.array(z, float)
+        self.v, self.pxx, self.pxv, self.pvv = (np.full(self.x.shape, f) for f in (0.0, FIRST_PLACE, 0.0, FIRST_PACE))
+
+    def predict(self, rows=slice(None)) -> np.ndarray:
+        self.x[rows] += self.v[rows]
+        self.pxx[rows] += 2 * self.pxv[rows] + self.pvv[rows] + PLACE_NOISE
+        self.pxv[rows] += self.pvv[rows]
+        self.pvv[rows] += PACE_NOISE
+        return self.x[rows]
+
+    def correct(self, z: np.ndarray, rows=slice(None)) -> None:
+        x, v, pxx, pxv, pvv = (getattr(self, k)[rows] for k in self.PARTS)
+        total = pxx + MEASURE_NOISE
+        gx, gv, error = pxx / total, pxv / total, z - x
+        self.x[rows], self.v[rows] = x + gx * error, v + gv * error
+        self.pvv[rows], self.pxv[rows], self.pxx[rows] = pvv - gv * pxv, (1 - gx) * pxv, (1 - gx) * pxx
+
+    def take(self, rows: np.ndarray) -> Motion:
+        m = Motion.__new__(Motion)
+        for k in self.PARTS:
+            setattr(m, k, getattr(self, k)[rows])
         return m
 
 
-@dataclass
-class Track:
-    track_id: int
-    box: np.ndarray  # cx, cy, w, h, degrees
-    class_id: int
-    frame_id: int
-    motion: Motion | None
-    hits: int = 1
-    unseen: int = 0
-
-    def predict(self) -> None:
-        if self.motion is None:
-            return
-        x = self.motion.predict()
-        if not np.isfinite(x).all():
-            self.motion = None
-            return
-        self.box = np.array([x[0], x[1], max(1.0, x[2]), max(1.0, x[3]), self.box[4]], np.float32)
-        self.unseen += 1
-
-    def update(self, box: np.ndarray, frame_id: int) -> None:
-        self.box, self.frame_id, self.unseen = box.astype(np.float32), frame_id, 0
-        self.hits += 1
-        if self.motion is not None:
-            if np.isfinite(box[:4]).all():
-                self.motion.correct(box[:4].astype(float))
-            else:
-                self.motion = None
-
-
 def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
-    """Rows matched with columns: the cheapest full assignment of a square problem, of which pairs under limit count.
+    """Rows matched with columns: the cheapest assignment of all of the shorter side, of which pairs under limit count.
 
-    The cost is padded with limit only up to a square, and pairs over it take part until the end, so this differs
-    from an assignment of allowed pairs. Rows are placed one after the other along the cheapest alternating path;
-    among equal choices the lowest column wins.
+    Pairs over the limit take part until the end, so this differs from an assignment of allowed pairs. What the longer
+    side has left over costs limit each, whichever it is, and so makes no difference. Among equal choices the lowest wins.
     """
-    n, m = cost.shape
-    if not n or not m:
+    if not cost.size:
         return []
-    size = max(n, m)
-    c = np.full((size, size), limit, np.float32)
-    c[:n, :m] = cost
-    row_price, column_price = np.zeros(size, np.float32), np.zeros(size, np.float32)
-    owner = np.full(size, -1)
-    for row in range(size):
-        slack, parent, done = np.full(size, np.float32(1e9)), np.full(size, -1), np.zeros(size, bool)
-        path_rows, path_columns = [row], []
-        i, j = row, -1
+    turned = cost.shape[0] > cost.shape[1]
+    c = (cost.T if turned else cost).astype(np.float64)
+    nearest = c.argmin(1)
+    if len(set(nearest.tolist())) == len(c):  # each has its best to itself
+        pairs = list(enumerate(nearest.tolist()))
+    else:
+        pairs = _cheapest(c)
+    pairs = [(j, i) if turned else (i, j) for i, j in pairs]
+    return [(i, j) for i, j in sorted(pairs, key=lambda p: p[1]) if cost[i, j] < np.float32(limit)]
+
+
+def _cheapest(c: np.ndarray) -> list[tuple[int, int]]:
+    """All rows with different columns at the least total, for no more rows than columns.
+
+    Rows come in one by one. A newcomer looks for the cheapest chain of moves that ends in a free column: going to a
+    taken column pushes its holder on to another one. Discounts on columns, which grow by what a chain has passed them
+    at, keep every move's price from being negative, so that the cheapest chain is found nearest first.
+    """
+    rows, columns = c.shape
+    holder, discount = [-1] * columns, np.zeros(columns)
+    for newcomer in range(rows):
+        price = c[newcomer] - discount  # of the cheapest chain so far that ends in each column
+        came_from = np.full(columns, -1)
+        settled = np.zeros(columns, bool)
         while True:
-            reduced = c[i] - row_price[i] - column_price
-            better = ~done & (reduced < slack)
-            slack[better], parent[better] = reduced[better], j
-            nearest = int(np.argmin(np.where(done, np.float32(np.inf), slack)))
-            delta = slack[nearest]
-            row_price[path_rows] += delta
-            column_price[path_columns] -= delta
-            slack[~done] -= delta
-            j = nearest
-            if owner[j] < 0:
+            column = int(np.where(settled, np.inf, price).argmin())
+            settled[column] = True
+            if holder[column] < 0:
                 break
-            done[j] = True
-            i = int(owner[j])
-            path_rows.append(i)
-            path_columns.append(j)
-        while j >= 0:
-            before = parent[j]
-            owner[j] = owner[before] if before >= 0 else row
-            j = before
-    return [(int(i), j) for j, i in enumerate(owner) if i < n and j < m and cost[i, j] < np.float32(limit)]
-
-
-def costs(tracks: list[Track], boxes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """One less the overlap where classes are equal and integer spans meet; else 1."""
+            moves = c[holder[column]] - discount
+            onward = price[column] + moves - moves[column]
+            cheaper = ~settled & (onward < price)
+            price[cheaper], came_from[cheaper] = onward[cheaper], column
+        discount[settled] += price[settled] - price[column]
+        while came_from[column] >= 0:
+            holder[column] = holder[came_from[column]]
+            column = int(came_from[column])
+        holder[column] = newcomer
+    return [(i, j) for j, i in enumerate(holder) if i >= 0]
+
+
+def costs(tracks: np.ndarray, track_classes: np.ndarray, boxes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """One less the overlap where classes are equal and integer spans meet; else 1. tracks, boxes: cx, cy, w, h, degrees."""
     out = np.ones((len(tracks), len(boxes)), np.float32)
-    if not len(tracks) or not len(boxes):
+    if not out.size:
         return out
-    with np.errstate(invalid="ignore"):
-        mine = np.array([t.box for t in tracks], float)
-        fine_t, fine_d = np.isfinite(mine).all(1), np.isfinite(boxes).all(1)
-        meet = aabb_overlap(aabb(np.where(fine_t[:, None], mine, 0)), aabb(np.where(fine_d[:, None], boxes, 0)))
-        meet &= fine_t[:, None] & fine_d[None, :] & (np.array([t.class_id for t in tracks])[:, None] == classes[None, :])
-    for i, j in zip(*np.nonzero(meet), strict=True):
-        out[i, j] = 1 - rotated_iou(mine[i], boxes[j].astype(float), LEAST_SIDE)
+    mine, yours = np.asarray(tracks, float), np.asarray(boxes, float)
+    fine_t, fine_d = np.isfinite(mine).all(1), np.isfinite(yours).all(1)
+    meet = aabb_overlap(aabb(np.where(fine_t[:, None], mine, 0)), aabb(np.where(fine_d[:, None], yours, 0)))
+    meet &= fine_t[:, None] & fine_d[None, :] & (np.asarray(track_classes)[:, None] == np.asarray(classes)[None, :])
+    i, j = np.nonzero(meet)
+    if len(i):
+        out[i, j] = 1 - rotated_ious(mine[i], yours[j], LEAST_SIDE)
     return out
 
 
+@dataclass
+class Tracks:
+    """Tracks as columns: track_id, box (cx, cy, w, h, degrees), class_id, frame_id, hits, unseen; motion counts where moving."""
+
+    track_id: np.ndarray
+    box: np.ndarray
+    class_id: np.ndarray
+    frame_id: np.ndarray
+    hits: np.ndarray
+    unseen: np.ndarray
+    moving: np.ndarray
+    motion: Motion
+
+    @classmethod
+    def born(cls, ids: np.ndarray, boxes: np.ndarray, classes: np.ndarray, frame_id: int) -> Tracks:
+        n = len(ids)
+        moving = np.isfinite(boxes).all(1)
+        return cls(np.asarray(ids, np.int64), np.array(boxes, np.float32).reshape(-1, 5), np.array(classes, np.int64), np.full(n, frame_id), np.ones(n, np.int64), np.zeros(n, np.int64), moving, Motion(np.where(moving[:, None], boxes[:, :4], 0).astype(float)))
+
+    def __len__(self) -> int:
+        return len(self.track_id)
+
+    def take(self, rows: np.ndarray) -> Tracks:
+        return Tracks(*(getattr(self, f.name).take(rows) if f.name == "motion" else getattr(self, f.name)[rows] for f in fields(Tracks)))
+
+    def with_(self, other: Tracks) -> Tracks:
+        if not len(other):
+            return self
+        motion = Motion.__new__(Motion)
+        for k in Motion.PARTS:
+            setattr(motion, k, np.concatenate([getattr(self.motion, k), getattr(other.motion, k)]))
+        return Tracks(*(motion if f.name == "motion" else np.concatenate([getattr(self, f.name), getattr(other, f.name)]) for f in fields(Tracks)))
+
+    def predict(self) -> None:
+        """Moves the tracks by a frame; those that get lost in numbers stand still from now on, and don't age."""
+        rows = np.flatnonzero(self.moving)
+        if not len(rows):
+            return
+        x = self.motion.predict(rows)
+        fine = np.isfinite(x).all(1)
+        if not fine.all():
+            self.moving[rows[~fine]] = False
+            rows, x = rows[fine], x[fine]
+        self.box[rows, :2] = x[:, :2]
+        self.box[rows, 2:4] = np.maximum(1.0, x[:, 2:])
+        self.unseen[rows] += 1
+
+    def seen(self, rows: np.ndarray, boxes: np.ndarray, frame_id: int) -> None:
+        self.box[rows], self.frame_id[rows], self.unseen[rows] = boxes, frame_id, 0
+        self.hits[rows] += 1
+        fine = np.isfinite(boxes[:, :4]).all(1)
+        self.moving[rows] &= fine
+        on = self.moving[rows]
+        if on.any():
+            self.motion.correct(boxes[on, :4].astype(float), rows[on])
+
+
+def _no_tracks() -> Tracks:
+    return Tracks.born(np.zeros(0, np.int64), np.zeros((0, 5), np.float32), np.zeros(0, np.int64), 0)
+
+
 @dataclass
 class Tracker:
+    """tracks: the followed ones, active of them, then the lost ones."""
+
     settings: Settings = field(default_factory=Settings)
-    tracked: list[Track] = field(default_factory=list)
-    lost: list[Track] = field(default_factory=list)
+    tracks: Tracks = field(default_factory=_no_tracks)
+    active: int = 0
     next_id: int = 1
 
+    @property
+    def tracked(self) -> Tracks:
+        return self.tracks.take(np.arange(self.active))
+
+    @property
+    def lost(self) -> Tracks:
+        return self.tracks.take(np.arange(self.active, len(self.tracks)))
+
     def update(self, frame_id: int, boxes: np.ndarray, scores: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Track ids of a frame's detections, -1 for those without. boxes: cx, cy, w, h, degrees."""
-        s = self.settings
-        boxes = np.asarray(boxes, np.float32).reshape(-1, 5)
+        s, tracks = self.settings, self.tracks
+        boxes, classes = np.asarray(boxes, np.float32).reshape(-1, 5), np.asarray(classes)
+        scores = np.asarray(scores, np.float32)
         ids = np.full(len(boxes), -1)
-        sure = np.asarray(scores, np.float32) >= np.float32(s.track_thresh)
+        sure = scores >= np.float32(s.track_thresh)
         high, low = np.flatnonzero(sure), np.flatnonzero(~sure)
-        for t in (*self.tracked, *self.lost):
-            t.predict()
-
-        def match(tracks, detections, limit, learn_class):
-            """Matches some tracks; gives those left over, the detections left over and the tracks matched."""
-            pairs = assign(costs(tracks, boxes[detections], classes[detections]), limit)
-            for i, j in pairs:
-                t, d = tracks[i], detections[j]
-                t.update(boxes[d], frame_id)
-                if learn_class:
-                    t.class_id = int(classes[d])
-                if t.hits >= s.min_hits:
-                    ids[d] = t.track_id
-            rows, columns = {i for i, _ in pairs}, {j for _, j in pairs}
-            return [t for i, t in enumerate(tracks) if i not in rows], np.array([d for j, d in enumerate(detections) if j not in columns], int), rows
-
-        left, high, _ = match(self.tracked, high, s.match_thresh, True)
-        left, _, _ = match(left, low, SECOND_STAGE_LIMIT, False)
-        gone = {id(t) for t in left}
-        self.lost += left  # so that the next stage may find them again in the same frame
-        _, high, found = match(self.lost, high, s.match_thresh, True)
-        back = [self.lost[i] for i in sorted(found, reverse=True)]
-        self.lost = [t for i, t in enumerate(self.lost) if i not in found]
-
-        born = []
-        for d in high:
-            if np.float32(scores[d]) >= np.float32(s.high_thresh):
-                motion = Motion(boxes[d, :4].astype(float)) if np.isfinite(boxes[d]).all() else None
-                born.append(Track(self.next_id, boxes[d].copy(), int(classes[d]), frame_id, motion))
-                self.next_id += 1
-        for t in born:
-            if t.hits >= s.min_hits:
-                near = np.flatnonzero((ids < 0) & (np.abs(boxes[:, :2] - t.box[:2]) < 1).all(1))
+        tracks.predict()
+
+        def match(rows: np.ndarray, detections: np.ndarray, limit, learn_class: bool):
+            """Matches some tracks; gives places of those matched among rows, and the detections left over."""
+            if not len(rows) or not len(detections):
+                return np.zeros(0, int), detections
+            pairs = assign(costs(tracks.box[rows], tracks.class_id[rows], boxes[detections], classes[detections]), limit)
+            if not pairs:
+                return np.zeros(0, int), detections
+            at, found = np.array(pairs).T
+            t, d = rows[at], detections[found]
+            tracks.seen(t, boxes[d], frame_id)
+            if learn_class:
+                tracks.class_id[t] = classes[d]
+            old = tracks.hits[t] >= s.min_hits
+            ids[d[old]] = tracks.track_id[t[old]]
+            return at, np.delete(detections, found)
+
+        rows = np.arange(self.active)
+        at, high = match(rows, high, s.match_thresh, True)
+        left = np.delete(rows, at)
+        at, _ = match(left, low, SECOND_STAGE_LIMIT, False)
+        gone = np.delete(left, at)
+        lost = np.concatenate([np.arange(self.active, len(tracks)), gone])  # the next stage may find them again in the same frame
+        at, high = match(lost, high, s.match_thresh, True)
+        back, lost = lost[np.sort(at)[::-1]], np.delete(lost, at)
+
+        new = high[scores[high] >= np.float32(s.high_thresh)]
+        born = Tracks.born(np.arange(self.next_id, self.next_id + len(new)), boxes[new], classes[new], frame_id)
+        self.next_id += len(new)
+        if s.min_hits <= 1:
+            for t, box in zip(born.track_id, born.box, strict=True):
+                near = np.flatnonzero((ids < 0) & (np.abs(boxes[:, :2] - box[:2]) < 1).all(1))
                 if len(near):
-                    ids[near[0]] = t.track_id
-        self.tracked = [t for t in self.tracked if id(t) not in gone] + born + back
-        self.lost = [t for t in self.lost if t.unseen <= s.max_time_lost]
+                    ids[near[0]] = t
+        lost = lost[tracks.unseen[lost] <= s.max_time_lost]
+        stay = np.setdiff1d(rows, gone, assume_unique=True)
+        if len(new) or len(gone) or len(back) or len(stay) + len(lost) < len(tracks):
+            self.tracks = tracks.take(stay).with_(born).with_(tracks.take(np.concatenate([back, lost])))
+            self.active = len(stay) + len(born) + len(back)
         return ids
 
     def dump(self) -> dict:
-        pack = lambda t: {"track_id": t.track_id, "box": [float(v) for v in t.box], "class_id": t.class_id, "frame_id": t.frame_id, "motion": t.motion.dump() if t.motion else None, "hits": t.hits, "unseen": t.unseen}
-        return {"settings": asdict(self.settings), "tracked": [pack(t) for t in self.tracked], "lost": [pack(t) for t in self.lost], "next_id": self.next_id}
+        """As values for JSON."""
+        t = self.tracks
+        motion = np.concatenate([getattr(t.motion, k) for k in Motion.PARTS], 1)
+        pack = lambda i: {"track_id": int(t.track_id[i]), "box": [float(v) for v in t.box[i]], "class_id": int(t.class_id[i]), "frame_id": int(t.frame_id[i]), "motion": motion[i].tolist() if t.moving[i] else None, "hits": int(t.hits[i]), "unseen": int(t.unseen[i])}
+        rows = [pack(i) for i in range(len(t))]
+        return {"settings": asdict(self.settings), "tracked": rows[: self.active], "lost": rows[self.active :], "next_id": self.next_id}
 
     @classmethod
     def load(cls, state: dict) -> Tracker:
-        def unpack(t):
-            return Track(t["track_id"], np.array(t["box"], np.float32), t["class_id"], t["frame_id"], Motion.load(t["motion"]) if t["motion"] else None, t["hits"], t["unseen"])
-
-        return cls(Settings(**state["settings"]), [unpack(t) for t in state["tracked"]], [unpack(t) for t in state["lost"]], state["next_id"])
+        rows = [*state["tracked"], *state["lost"]]
+        column = lambda k, kind=np.int64: np.array([r[k] for r in rows], kind)
+        tracks = Tracks.born(column("track_id"), np.array([r["box"] for r in rows], np.float32).reshape(-1, 5), column("class_id"), 0)
+        tracks.frame_id, tracks.hits, tracks.unseen = column("frame_id"), column("hits"), column("unseen")
+        tracks.moving = np.array([r["motion"] is not None for r in rows], bool)
+        motion = np.array([r["motion"] or [0.0] * 20 for r in rows], float).reshape(-1, 20)
+        for k, part in zip(Motion.PARTS, np.split(motion, 5, 1), strict=True):
+            setattr(tracks.motion, k, part.copy())
+        return cls(Settings(**state["settings"]), tracks, len(state["tracked"]), state["next_id"])
 
 
 BOX = ["cx", "cy", "w", "h", "angle"]
 
 
-def frames_of(rows: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
-    yield from rows.groupby("frame_id", sort=True)
-
-
 def track_frame(tracker: Tracker, frame_id: int, frame: pd.DataFrame) -> pd.DataFrame:
     """A frame's rows in the order of det_idx, with track_id; rows without a det_idx say that the frame is empty."""
     frame = frame.sort_values("det_idx", kind="stable")
@@ -232,6 +286,15 @@ def track_frame(tracker: Tracker, frame_id: int, frame: pd.DataFrame) -> pd.Data
     return real.assign(track_id=ids.astype(np.int32))
 
 
+#: Partitions for each core, so that long sessions and short ones even out.
+PER_CORE = 4
+
+
+def session_partitions(spark) -> int:
+    """Given as a number, so that adaptive execution, which looks at bytes and not at work, leaves it alone."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), PER_CORE * spark.sparkContext.defaultParallelism)
+
+
 def track(detections: DataFrame, settings: Settings = Settings(), key: str = "session_id") -> DataFrame:
     """Detections with track_id: every session's frames are read in order.
 
@@ -239,30 +302,45 @@ def track(detections: DataFrame, settings: Settings = Settings(), key: str = "se
     since each frame depends on the one before; its rows come sorted, and only the open frame is held.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     columns = [c for c in detections.columns if c != "track_id"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in detections.schema if f.name != "track_id") + ", track_id int"
 
-    def run(batches):
-        now, tracker, held = None, None, []
+    def numbers(batch, name, kind, none=np.nan):
+        return pc.fill_null(batch.column(name), pa.scalar(none, batch.column(name).type)).to_numpy(zero_copy_only=False).astype(kind)
 
-        def closed():
-            rows = pd.concat(held, ignore_index=True)
-            return pa.RecordBatch.from_pandas(track_frame(tracker, now[1], rows)[[*columns, "track_id"]], schema=out_schema, preserve_index=False)
+    def run(batches):
+        session, tracker, held = None, Tracker(settings), None
+
+        def followed(batch, ends):
+            """Rows of whole frames, which end at given places, with their ids."""
+            nonlocal session, tracker
+            real = batch.column("det_idx").is_valid().to_numpy(zero_copy_only=False)
+            boxes = np.column_stack([numbers(batch, c, np.float32) for c in BOX])
+            scores, classes, frames = numbers(batch, "confidence", np.float32), numbers(batch, "class_id", np.int64, -1), numbers(batch, "frame_id", np.int64, 0)
+            ids, keys = np.full(batch.num_rows, -1, np.int32), batch.column(key)
+            starts = [0, *ends[:-1]]
+            names = keys.take(pa.array(starts)).to_pylist()
+            for a, b, name in zip(starts, ends, names, strict=True):
+                if (name,) != session:
+                    session, tracker = (name,), Tracker(settings)
+                b = a + int(real[a:b].sum())  # those without a place come last
+                ids[a:b] = tracker.update(int(frames[a]), boxes[a:b], scores[a:b], classes[a:b])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids)], names=[*columns, "track_id"]).filter(pa.array(real))
 
-        out_schema = None
         for batch in batches:
-            out_schema = out_schema or pa.schema([*batch.schema, pa.field("track_id", pa.int32())])
-            for (session, frame_id), rows in batch.to_pandas().groupby([key, "frame_id"], sort=False, dropna=False):
-                if now != (session, frame_id):
-                    if held:
-                        yield closed()
-                    if now is None or now[0] != session:
-                        tracker = Tracker(settings)
-                    now, held = (session, frame_id), []
-                held.append(rows)
-        if held:
-            yield closed()
-
-    ordered = detections.select(*columns).repartition(key).sortWithinPartitions(key, "frame_id", F.col("det_idx").asc_nulls_last())
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            code = [pc.fill_null(pc.dictionary_encode(batch.column(c)).indices, -1).to_numpy(zero_copy_only=False) for c in (key, "frame_id")]
+            ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in code], axis=0)) + 1
+            held = batch.slice(ends[-1]) if len(ends) else batch  # the frame that may go on
+            if len(ends):
+                yield followed(batch.slice(0, ends[-1]), ends.tolist())
+        if held is not None:
+            yield followed(held, [held.num_rows])
+
+    ordered = detections.select(*columns).repartition(session_partitions(detections.sparkSession), key).sortWithinPartitions(key, "frame_id", F.col("det_idx").asc_nulls_last())
     return ordered.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from kerbside.operators.tracker import Motion, Settings, Track, Tracker, assign, costs, track
+from kerbside.operators.tracker import Motion, Settings, Tracker, assign, costs, track
 
 
 def run(frames, settings=None):
@@ -60,7 +60,7 @@ def test_gap_is_one_step():
     t = Tracker()
     for n in (1, 2, 3, 10):
         ids = t.update(n, np.array([[10.0 + 2 * min(n, 4), 5, 40, 20, 0]]), np.array([0.9]), np.array([0]))
-    assert ids.tolist() == [1] and t.tracked[0].unseen == 0
+    assert ids.tolist() == [1] and t.tracked.unseen.tolist() == [0]
 
 
 def test_several_lost_at_once():
@@ -77,13 +77,12 @@ def test_same_frame_revival(monkeypatch):
     """Stage 1 matches nothing; a low detection takes C; A is lost and found again with y in the same frame."""
     from kerbside.operators import tracker as module
 
-    t = Tracker()
-    t.tracked = [Track(1, np.array([0, 0, 9, 9, 0], np.float32), 0, 3, Motion(np.zeros(4)), hits=3), Track(2, np.array([0, 0, 9, 9, 0], np.float32), 0, 3, Motion(np.zeros(4)), hits=3)]
-    t.next_id = 3
+    one = {"box": [0, 0, 9, 9, 0], "class_id": 0, "frame_id": 3, "motion": [0.0] * 8 + [1.0] * 4 + [0.0] * 4 + [1e4] * 4, "hits": 3, "unseen": 0}
+    t = Tracker.load(Tracker().dump() | {"tracked": [one | {"track_id": 1}, one | {"track_id": 2}], "next_id": 3})
     tables = iter([[[0.81, 0.79], [1.0, 0.81]], [[1.0], [0.3]], [[0.81, 0.79]]])
     monkeypatch.setattr(module, "costs", lambda *a: np.array(next(tables), np.float32))
     ids = t.update(4, np.array([[0, 0, 9, 9, 0], [1, 0, 9, 9, 0], [2, 0, 9, 9, 0]]), np.array([0.55, 0.55, 0.4]), np.zeros(3, int))
-    assert ids.tolist() == [-1, 1, 2] and sorted(x.track_id for x in t.tracked) == [1, 2] and not t.lost
+    assert ids.tolist() == [-1, 1, 2] and sorted(t.tracked.track_id) == [1, 2] and not len(t.lost)
 
 
 def test_non_finite_boxes():
@@ -134,8 +133,7 @@ def test_state_survives_a_dump():
 
 
 def test_costs_need_the_same_class():
-    t = [Track(1, np.array([10, 5, 40, 20, 0], np.float32), 0, 1, None)]
-    c = costs(t, np.array([[10, 5, 40, 20, 0], [10, 5, 40, 20, 0]], np.float32), np.array([0, 1]))
+    c = costs(np.array([[10, 5, 40, 20, 0]], np.float32), np.array([0]), np.array([[10, 5, 40, 20, 0], [10, 5, 40, 20, 0]], np.float32), np.array([0, 1]))
     assert c[0, 0] == pytest.approx(0) and c[0, 1] == 1
 
 
