@@ -171,12 +171,12 @@ def convex_intersections(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.n
         after = np.where(places + 1 < count[:, None], places + 1, 0)
         d = ((p - a[:, None]) * normal[:, None]).sum(2)
         d_after, p_after = d[rows, after], p[rows, after]
-        stays, crosses = used & (d >= 0), used & (d * d_after < 0)
+        stays, crosses = used & (d >= 0), used & (np.sign(d) * np.sign(d_after) < 0)
         with np.errstate(divide="ignore", invalid="ignore"):
             cut = p + (p_after - p) * np.where(crosses, d / (d - d_after), 0)[:, :, None]
         # after each corner that stays, the point where its side leaves or comes in
-        points = np.stack([p, cut], 2).reshape(len(p), -1, 2)
-        keep = np.stack([stays, crosses], 2).reshape(len(p), -1)
+        points = np.stack([p, cut], 2).reshape(len(p), 2 * p.shape[1], 2)
+        keep = np.stack([stays, crosses], 2).reshape(len(p), points.shape[1])
         count = keep.sum(1)
         order = np.argsort(~keep, 1, kind="stable")[:, : max(1, count.max(initial=1))]
         p = points[rows, order]

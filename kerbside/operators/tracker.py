@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions.geometry import aabb, aabb_overlap, rotated_ious
+from kerbside.shared import work_partitions
 
 
 @dataclass(frozen=True)
@@ -286,15 +287,6 @@ def track_frame(tracker: Tracker, frame_id: int, frame: pd.DataFrame) -> pd.Data
     return real.assign(track_id=ids.astype(np.int32))
 
 
-#: Partitions for each core, so that long sessions and short ones even out.
-PER_CORE = 4
-
-
-def session_partitions(spark) -> int:
-    """Given as a number, so that adaptive execution, which looks at bytes and not at work, leaves it alone."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), PER_CORE * spark.sparkContext.defaultParallelism)
-
-
 def track(detections: DataFrame, settings: Settings = Settings(), key: str = "session_id") -> DataFrame:
     """Detections with track_id: every session's frames are read in order.
 
@@ -342,5 +334,5 @@ def track(detections: DataFrame, settings: Settings = Settings(), key: str = "se
         if held is not None:
             yield followed(held, [held.num_rows])
 
-    ordered = detections.select(*columns).repartition(session_partitions(detections.sparkSession), key).sortWithinPartitions(key, "frame_id", F.col("det_idx").asc_nulls_last())
+    ordered = detections.select(*columns).repartition(work_partitions(detections.sparkSession), key).sortWithinPartitions(key, "frame_id", F.col("det_idx").asc_nulls_last())
     return ordered.mapInArrow(run, schema)

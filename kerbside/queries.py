@@ -492,7 +492,24 @@ def nms_rotated(spark, d):
     return nms.suppress(_image(spark, d).drop("letterbox"), 0.1).select("frame_id", "det_idx", "class_id", r("confidence").alias("confidence"))
 
 
-@query()
+# Box after box, best first: each stays unless it overlaps one of those that stay by now.
+_KEPT = f"""{_RANKED}, bad AS (SELECT q.frame_id, q."rank" AS r, list(p."rank") better
+        FROM ranked p JOIN ranked q ON p.frame_id = q.frame_id AND p."rank" < q."rank" AND p.bx < q.bx + q.bw AND q.bx < p.bx + p.bw AND p.by_ < q.by_ + q.bh AND q.by_ < p.by_ + p.bh
+        WHERE ((least(p.bx + p.bw, q.bx + q.bw) - greatest(p.bx, q.bx)) * (least(p.by_ + p.bh, q.by_ + q.bh) - greatest(p.by_, q.by_)))::DOUBLE
+            / (p.bw * p.bh + q.bw * q.bh - (least(p.bx + p.bw, q.bx + q.bw) - greatest(p.bx, q.bx)) * (least(p.by_ + p.bh, q.by_ + q.bh) - greatest(p.by_, q.by_))) > 0.1 GROUP BY ALL),
+    steps AS (SELECT DISTINCT frame_id, 0::BIGINT r, []::BIGINT[] kept FROM ranked UNION ALL
+        SELECT s.frame_id, s.r + 1, CASE WHEN b.better IS NOT NULL AND list_has_any(s.kept, b.better) THEN s.kept ELSE list_append(s.kept, s.r + 1) END
+        FROM steps s JOIN ranked n ON n.frame_id = s.frame_id AND n."rank" = s.r + 1 LEFT JOIN bad b ON b.frame_id = s.frame_id AND b.r = s.r + 1),
+    kept AS (SELECT frame_id, unnest(kept) AS "rank" FROM (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY r DESC) = 1))
+    SELECT frame_id, CAST(det_idx AS INT) det_idx, CAST(class_id AS INT) class_id, round(confidence, 6) confidence FROM ranked JOIN kept USING (frame_id, "rank")"""
+
+
+@query(f"WITH RECURSIVE {_KEPT}")
+def nms_by_rounds(spark, d):
+    return nms.suppress_by_rounds(_image(spark, d).drop("letterbox"), 0.1, rotated=False).select("frame_id", "det_idx", "class_id", r("confidence").alias("confidence"))
+
+
+@query(f"WITH RECURSIVE {_KEPT}")
 def nms_axis_aligned(spark, d):
     return nms.suppress(_image(spark, d).drop("letterbox"), 0.1, rotated=False).select("frame_id", "det_idx", "class_id", r("confidence").alias("confidence"))
 
