@@ -15,7 +15,7 @@ from kerbside.functions import geo, geometry
 from kerbside.operators import calibrate, decode, kinematics, lanes, nms, tracker
 from kerbside.plans import config, registry
 from kerbside.sources import readers, sinks
-from kerbside.streaming import stateful
+from kerbside.streaming import connections, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -633,6 +633,42 @@ def message_pairs(spark, d):
     return readers.pair_messages(e, limit=8).select("connection_id", "seq", "header_seq", "code")
 
 
+#: Half a day: users' events are about eleven hours apart.
+_WAIT = 43_200_000
+
+
+@query(
+    f"""WITH RECURSIVE m AS (SELECT user_id::VARCHAR c, event_id seq, epoch_ms(ts) t, event_type e, event_id % 3 size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) rn FROM events),
+    s AS (SELECT DISTINCT c, 0::BIGINT rn, NULL::BIGINT seq, NULL::BIGINT h, NULL::BIGINT ht, NULL::BIGINT b, NULL::BIGINT bt, NULL::VARCHAR kind, NULL::BIGINT hseq, NULL::VARCHAR code, NULL::BIGINT lh, NULL::BIGINT lb FROM m
+    UNION ALL SELECT c, rn, seq,
+        CASE WHEN reset THEN NULL WHEN e IN ('click', 'signup') AND h1 IS NULL THEN seq WHEN e = 'purchase' AND b1 IS NULL THEN NULL ELSE h1 END,
+        CASE WHEN reset THEN NULL WHEN e IN ('click', 'signup') AND h1 IS NULL THEN t WHEN e = 'purchase' AND b1 IS NULL THEN NULL ELSE ht1 END,
+        CASE WHEN reset OR e = 'purchase' THEN NULL WHEN e = 'view' AND h1 IS NULL AND b1 IS NULL THEN seq ELSE b1 END,
+        CASE WHEN reset OR e = 'purchase' THEN NULL WHEN e = 'view' AND h1 IS NULL AND b1 IS NULL THEN t ELSE bt1 END,
+        CASE WHEN e = 'purchase' THEN 'payload' WHEN e = 'view' THEN 'infer_batch' WHEN e = 'error' THEN CASE WHEN reset THEN 'reset' ELSE 'dance' END ELSE 'infer_header' END,
+        CASE WHEN e = 'purchase' THEN coalesce(b1, h1) END,
+        CASE WHEN e = 'purchase' THEN CASE WHEN b1 IS NULL AND h1 IS NULL THEN 'unexpected_binary' WHEN size > 1 THEN 'payload_too_large' WHEN b1 IS NOT NULL AND b1 % 3 <> size THEN 'payload_size_mismatch' END
+            WHEN e = 'error' THEN CASE WHEN NOT reset THEN 'unknown_type' END WHEN h1 IS NOT NULL OR (e = 'view' AND b1 IS NOT NULL) THEN 'previous_header_unpaired' END,
+        CASE WHEN h1 IS NULL THEN h END, CASE WHEN b1 IS NULL THEN b END
+    FROM (SELECT m.*, s.h, s.b, e = 'error' AND m.seq % 2 = 0 reset, CASE WHEN t - ht <= {_WAIT} THEN h END h1, CASE WHEN t - ht <= {_WAIT} THEN ht END ht1,
+        CASE WHEN t - bt <= {_WAIT} THEN b END b1, CASE WHEN t - bt <= {_WAIT} THEN bt END bt1 FROM s JOIN m ON m.c = s.c AND m.rn = s.rn + 1)),
+    ends AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY c ORDER BY rn DESC) = 1), now AS (SELECT max(t) t FROM m),
+    late AS (SELECT c, lh AS seq FROM s UNION ALL SELECT c, lb FROM s UNION ALL SELECT c, h FROM ends, now WHERE now.t - ht > {_WAIT} UNION ALL SELECT c, b FROM ends, now WHERE now.t - bt > {_WAIT})
+    SELECT c AS connection_id, seq, kind, hseq AS header_seq, code FROM s WHERE rn > 0
+    UNION ALL SELECT c, seq, 'timeout', seq, 'header_timeout' FROM late WHERE seq IS NOT NULL"""
+)
+def connection_protocol(spark, d):
+    """Users as connections: clicks and signups send headers, views batch headers, purchases payloads, half of the errors resets."""
+    size = F.col("event_id") % 3
+    text = (
+        F.when(F.col("event_type").isin("click", "signup"), F.format_string('{"type":"infer_header","request_id":"r%d","frame_id":1}', "event_id"))
+        .when(F.col("event_type") == "view", F.format_string('{"type":"infer_batch","frames":[{"request_id":"b","frame_id":1}],"sizes":[%d]}', size))
+        .when(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 0, '{"type":"reset"}').otherwise('{"type":"dance"}'))
+    )
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("connection_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("time"), text.alias("message"), F.when(F.col("event_type") == "purchase", F.expr("cast(repeat('x', cast(event_id % 3 as int)) as binary)")).alias("content"))
+    return connections.pair_connections(e, _WAIT, limit=1).select("connection_id", "seq", "kind", "header_seq", "code")
+
+
 @query(
     """WITH gone AS (SELECT user_id, max(event_id) // 2 AS last FROM events WHERE event_type = 'error' GROUP BY 1)
     SELECT CAST(e.user_id AS VARCHAR) session_id, CAST(event_id AS INT) frame_id, event_id epoch, 'stale_session' code FROM events e JOIN gone g ON g.user_id = e.user_id WHERE event_id <= last"""
