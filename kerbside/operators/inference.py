@@ -43,6 +43,96 @@ def read_images(spark, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", True).load(path).select("image", F.col("image.width").alias("orig_w"), F.col("image.height").alias("orig_h"))
 
 
+def _png(data: bytes) -> np.ndarray | None:
+    """The pixels of a PNG of 8 bits a channel that isn't interlaced, as BGR, or None."""
+    import struct
+    import zlib
+
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        return None
+    parts, at = {}, 8
+    while at + 8 <= len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        parts[kind] = parts.get(kind, b"") + data[at + 8 : at + 8 + size]
+        at += 12 + size
+    w, h, bits, color, _, _, interlaced = struct.unpack(">IIBBBBB", parts[b"IHDR"])
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
+    if bits != 8 or interlaced:
+        return None
+    lines = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(h, 1 + w * channels)
+    out = np.zeros((h, w * channels), np.uint8)
+    above = np.zeros(w * channels, np.int64)
+    for y in range(h):
+        kind, line = lines[y, 0], lines[y, 1:].astype(np.int64)
+        if kind == 2:
+            line = line + above
+        elif kind:  # what is left of a pixel is needed first
+            for x in range(0, w * channels, channels):
+                a = line[x - channels : x] if x else np.zeros(channels, np.int64)
+                b, c = above[x : x + channels], above[x - channels : x] if x else np.zeros(channels, np.int64)
+                if kind == 1:
+                    guess = a
+                elif kind == 3:
+                    guess = (a + b) // 2
+                else:
+                    near = np.abs(np.stack([b - c, a - c, a + b - 2 * c]))
+                    guess = np.choose(near.argmin(0), [a, b, c])
+                line[x : x + channels] = (line[x : x + channels] + guess) % 256
+        above = line % 256
+        out[y] = above
+    pixels = out.reshape(h, w, channels)
+    if color == 3:
+        return np.frombuffer(parts[b"PLTE"], np.uint8).reshape(-1, 3)[pixels[:, :, 0], ::-1]
+    return np.repeat(pixels[:, :, :1], 3, 2) if channels < 3 else pixels[:, :, 2::-1]
+
+
+def decoded(data: bytes | None) -> np.ndarray | None:
+    """An image file's pixels [height, width, 3], BGR, or None where there is no image: by OpenCV or Pillow if executors have
+    one of them, else PNG only. Image files in a folder are decoded by Spark itself, see read_images()."""
+    if not data:
+        return None
+    try:
+        import cv2
+
+        return cv2.imdecode(np.frombuffer(data, np.uint8), cv2.IMREAD_COLOR)
+    except ImportError:
+        pass
+    try:
+        import io
+
+        from PIL import Image
+
+        return np.asarray(Image.open(io.BytesIO(data)).convert("RGB"))[:, :, ::-1]
+    except ImportError:
+        pass
+    except Exception:
+        return None
+    try:
+        return _png(data)
+    except Exception:  # whatever a broken file brings about
+        return None
+
+
+IMAGE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+_BGR_MODE = 16
+
+
+def decode_images(frames: DataFrame, column: str = "content") -> DataFrame:
+    """Adds image (as Spark's image source gives it), orig_w and orig_h to frames with files' bytes; null where these hold no image."""
+
+    @F.pandas_udf(IMAGE)
+    def run(files: pd.Series) -> pd.DataFrame:
+        rows = []
+        for data in files:
+            pixels = decoded(None if data is None else bytes(data))
+            rows.append((None,) * 6 if pixels is None else ("", *pixels.shape[:2], 3, _BGR_MODE, np.ascontiguousarray(pixels).tobytes()))
+        return pd.DataFrame(rows, columns=["origin", "height", "width", "nChannels", "mode", "data"]).astype({c: "Int32" for c in ("height", "width", "nChannels", "mode")})
+
+    out = frames.withColumn("_i", run(column))
+    out = out.withColumn("image", F.when(F.col("_i.data").isNotNull(), F.col("_i"))).drop("_i")
+    return out.withColumns({"orig_w": F.col("image.width"), "orig_h": F.col("image.height")})
+
+
 def preprocess(model_width: int, model_height: int) -> Callable[[Column], Column]:
     @F.pandas_udf("array<float>")
     def run(images: pd.DataFrame) -> pd.Series:
