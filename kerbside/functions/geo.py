@@ -138,6 +138,35 @@ def undistort_stage(detections: DataFrame, camera: Camera) -> DataFrame:
     return detections.withColumn("_p", p).withColumns({"cx": F.col("_p.x"), "cy": F.col("_p.y"), "undistorted": F.lit(True)}).drop("_p")
 
 
+def utm_of(lon: float, lat: float) -> tuple[float, float, int, bool]:
+    """easting, northing, zone and whether north, of one place, as to_utm() has them."""
+    zone = min(max(math.floor((lon + 180) / 6) + 1, 1), 60)
+    s = math.sin(math.radians(lat))
+    t = math.sinh(math.atanh(s) - math.atanh(s * ECCENTRICITY) * ECCENTRICITY)
+    away = math.radians(lon - (zone * 6 - 183))
+    along, across = math.atan2(t, math.cos(away)), math.atanh(math.sin(away) / math.sqrt(t * t + 1))
+    north = along + sum(w * math.sin(2 * j * along) * math.cosh(2 * j * across) for j, w in enumerate(TO_GRID, 1))
+    east = across + sum(w * math.cos(2 * j * along) * math.sinh(2 * j * across) for j, w in enumerate(TO_GRID, 1))
+    return east * (SCALE * RADIUS) + FALSE_EAST, north * (SCALE * RADIUS) + (0.0 if lat >= 0 else FALSE_NORTH), zone, lat >= 0
+
+
+def with_places(df: DataFrame, origin: tuple[float, float], x: str = "ground_x", y: str = "ground_y") -> DataFrame:
+    """Adds lon, lat of metres east and north of an origin.
+
+    from_ground() as steps: each names the columns of the one before, of which Spark computes each once. As one
+    expression, the terms of the series would hold each other and multiply, at no cost in running, but in planning.
+    """
+    east, north, zone, upper = utm_of(*map(float, origin))
+    out = df.withColumns({"_along": (F.col(y) + (north - (0.0 if upper else FALSE_NORTH))) / (SCALE * RADIUS), "_across": (F.col(x) + (east - FALSE_EAST)) / (SCALE * RADIUS)})
+    a, b = _series(F.col("_along"), F.col("_across"), FROM_GRID, -1)
+    out = out.withColumns({"_a": a, "_b": b})
+    out = out.withColumn("_chi", F.asin(F.sin("_a") / F.cosh("_b")))
+    lat = F.col("_chi")
+    for j, w in enumerate(TO_GEODETIC, 1):
+        lat = lat + F.sin(F.col("_chi") * 2 * j) * w
+    return out.withColumns({"lon": F.degrees(F.atan2(F.sinh("_b"), F.cos("_a"))) + (zone * 6 - 183), "lat": F.degrees(lat)}).drop("_along", "_across", "_a", "_b", "_chi")
+
+
 def geo_stage(detections: DataFrame, homography: Sequence[float], origin: tuple[float, float] | None = None, camera: Camera | None = None, pixel_scale: float = 1.0) -> DataFrame:
     """Adds ground_x, ground_y, lon, lat of the centres cx, cy; these are undistorted first unless they have been.
 
@@ -149,11 +178,10 @@ def geo_stage(detections: DataFrame, homography: Sequence[float], origin: tuple[
         done = F.coalesce(F.col("undistorted"), F.lit(False)) if "undistorted" in detections.columns else F.lit(False)
         out = out.withColumn("_u", undistorted("_x", "_y", camera))
         out = out.withColumns({k: F.when(done, F.col(k)).otherwise(F.col(f"_u.{k[1]}")) for k in ("_x", "_y")}).drop("_u")
-    g = perspective("_x", "_y", homography)
-    out = out.withColumns({"ground_x": g["x"], "ground_y": g["y"]})
-    lon, lat = (F.lit(None).cast("double") if origin is None else F.lit(float(v)) for v in (origin or (0, 0)))
-    p = from_ground("ground_x", "ground_y", lon, lat)
-    return out.withColumns({"lon": p["lon"], "lat": p["lat"]}).drop("_x", "_y")
+    out = out.withColumn("_g", perspective("_x", "_y", homography)).withColumns({"ground_x": F.col("_g.x"), "ground_y": F.col("_g.y")}).drop("_x", "_y", "_g")
+    if origin is None:
+        return out.withColumns({k: F.lit(None).cast("double") for k in ("lon", "lat")})
+    return with_places(out, origin)
 
 
 def ground_corners(corners, homography: Sequence[float], camera: Camera | None = None) -> Column:

@@ -58,10 +58,16 @@ def centre(corners) -> Column:
     return F.when(F.size(c) > 0, point(total["x"] / F.size(c), total["y"] / F.size(c)))
 
 
+def edges(polygon) -> Column:
+    """The sides of a polygon, array<struct<a,b>>; each begins at the corner before."""
+    p = _c(polygon)
+    return F.zip_with(p, F.concat(F.slice(p, -1, 1), F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
 def in_polygon(x, y, polygon, inclusive: bool = False) -> Column:
     """Even-odd rule with half-open edges; inclusive: points on an edge or corner are inside too. False with fewer than three corners."""
     x, y, p = _c(x), _c(y), _c(polygon)
-    edges = F.zip_with(p, F.concat(F.slice(p, -1, 1), F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    sides = edges(p)
 
     def crosses(e):
         a, b = e["a"], e["b"]
@@ -72,9 +78,9 @@ def in_polygon(x, y, polygon, inclusive: bool = False) -> Column:
         flat = (b["x"] - a["x"]) * (y - a["y"]) == (b["y"] - a["y"]) * (x - a["x"])
         return flat & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
 
-    inside = F.aggregate(edges, F.lit(False), lambda odd, e: odd != crosses(e))
+    inside = F.aggregate(sides, F.lit(False), lambda odd, e: odd != crosses(e))
     if inclusive:
-        inside = inside | F.exists(edges, touches)
+        inside = inside | F.exists(sides, touches)
     return (F.size(p) >= 3) & inside
 
 

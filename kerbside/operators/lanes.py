@@ -7,11 +7,12 @@ tasks; more are met through a grid of cells, an equi-join.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.functions.geometry import in_polygon, polygon_literal
+from kerbside.functions.geometry import edges, in_polygon, polygon_literal
 from kerbside.operators.kinematics import KEYS
 
 #: So many lanes are sent to all tasks.
@@ -37,16 +38,74 @@ def lane_observations(tracks: DataFrame, lanes: DataFrame, inclusive: bool = Fal
     return tracks.join(F.broadcast(good), F.lit(True)).withColumn("inside", in_polygon("px", "py", "polygon", inclusive)).drop("polygon")
 
 
-def inside_only(tracks: DataFrame, lanes: DataFrame, cell: float = 100.0, inclusive: bool = False) -> DataFrame:
-    """The pairs of observations and lanes that hold them, for any number of lanes: both are put into cells of a grid."""
+#: Cells of a lane along its longer side, about.
+ACROSS = 8
 
-    def cells(axis):
-        low, high = (f(F.transform("polygon", lambda p: p[axis])) for f in (F.array_min, F.array_max))
-        return F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell)))
 
-    spread = usable(lanes).select("lane_id", F.col("name").alias("lane_name"), "polygon").withColumn("_x", cells("x")).withColumn("_y", cells("y"))
-    placed = tracks.withColumns({"_x": F.floor(F.col("px") / cell), "_y": F.floor(F.col("py") / cell)})
-    return placed.join(spread, ["_x", "_y"]).where(in_polygon("px", "py", "polygon", inclusive)).drop("_x", "_y", "polygon")
+def grid(lanes: DataFrame) -> DataFrame:
+    """lane_id, lane_name, level, _x, _y, whole, polygon: the cells of each usable lane, squares of 2 ** level pixels.
+
+    Every lane has cells of its own size, an eighth of its longer side, about, so that neither a long lane has many nor a
+    short one shares its cell with many others. Cells that no edge touches are left out or lie in the lane as a whole,
+    where no point is tested any more: polygon is null.
+    """
+    sides = [(f(F.transform("polygon", lambda p: p[k])), k, n) for k in "xy" for f, n in ((F.array_min, "lo"), (F.array_max, "hi"))]
+    out = usable(lanes).select("lane_id", F.col("name").alias("lane_name"), "polygon", *(c.alias(f"_{n}{k}") for c, k, n in sides))
+    longer = F.greatest(F.col("_hix") - F.col("_lox"), F.col("_hiy") - F.col("_loy"), F.lit(2.0**-20))
+    out = out.withColumn("level", F.ceil(F.log2(longer / ACROSS)).cast("int")).withColumn("_c", F.pow(F.lit(2.0), "level"))
+    for k in "xy":
+        out = out.withColumn(f"_{k}", F.explode(F.sequence(F.floor(F.col(f"_lo{k}") / F.col("_c")), F.floor(F.col(f"_hi{k}") / F.col("_c")))))
+    out = out.withColumns({f"_{n}{k}": (F.col(f"_{k}") + d) * F.col("_c") for k in "xy" for n, d in (("lo", 0), ("hi", 1))})
+    corner = [(F.col(f"_{m}x"), F.col(f"_{n}y")) for m in ("lo", "hi") for n in ("lo", "hi")]
+
+    def touches(e):
+        """Whether an edge meets the square: their spans do, and the square's corners aren't all on one side of it."""
+        a, b = e["a"], e["b"]
+        near = (F.least(a["x"], b["x"]) <= F.col("_hix")) & (F.greatest(a["x"], b["x"]) >= F.col("_lox")) & (F.least(a["y"], b["y"]) <= F.col("_hiy")) & (F.greatest(a["y"], b["y"]) >= F.col("_loy"))
+        side = [F.signum((b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])) for x, y in corner]
+        return near & (F.abs(reduce(lambda p, q: p + q, side)) < 4)
+
+    out = out.withColumn("_touched", F.exists(edges("polygon"), touches))
+    middle = in_polygon((F.col("_lox") + F.col("_hix")) / 2, (F.col("_loy") + F.col("_hiy")) / 2, "polygon")
+    out = out.withColumn("whole", ~F.col("_touched")).where(F.col("_touched") | middle)
+    return out.select("lane_id", "lane_name", "level", "_x", "_y", "whole", F.when(F.col("_touched"), F.col("polygon")).alias("polygon"))
+
+
+def inside_only(tracks: DataFrame, lanes: DataFrame, inclusive: bool = False) -> DataFrame:
+    """The pairs of observations and lanes that hold them, for any number of lanes: both meet in the cells of grid().
+
+    A point looks up one cell for each size of cells that lanes have; adaptive execution splits what crowded cells hold.
+    """
+    cells = grid(lanes)
+    levels = sorted(r[0] for r in cells.select("level").distinct().collect())  # powers of two of pixels: some dozens at most
+    placed = tracks.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    placed = placed.withColumns({f"_{k}": F.floor(F.col(f"p{k}") / F.pow(F.lit(2.0), "level")) for k in "xy"})
+    met = placed.join(cells, ["level", "_x", "_y"]).where(F.col("whole") | in_polygon("px", "py", "polygon", inclusive))
+    return met.drop("level", "_x", "_y", "whole", "polygon")
+
+
+def lane_figures(tracks: DataFrame, lanes: DataFrame, keys: Sequence[str] = KEYS, now: int | None = None, max_age: int | None = None) -> DataFrame:
+    """lane_id, name, pass_count, flow_count, queue_count of all lanes, as pass_counts() and occupancy() have them, for any number.
+
+    No observation outside of a lane is made: a track is in those lanes that hold its last observation.
+    """
+    still = F.col("stationary") if "stationary" in tracks.columns else F.lit(False)
+    last = tracks.groupBy(*keys).agg(F.max_by(F.struct("px", "py", "frame_id", still.alias("stationary")), "frame_id").alias("r")).select(*keys, "r.*")
+    if max_age is not None:
+        last = last.where(F.lit(now) - F.col("frame_id") <= max_age)
+    # both go through the cells at once: the last row of a track is marked
+    rows = tracks.select(*keys, "px", "py", F.lit(False).alias("_last"), F.lit(False).alias("_still")).unionByName(last.select(*keys, "px", "py", F.lit(True).alias("_last"), F.col("stationary").alias("_still")))
+    each = inside_only(rows, lanes).groupBy("lane_id", *keys).agg(F.bool_or("_last").alias("_last"), F.bool_or("_still").alias("_still"))
+    counts = each.groupBy("lane_id").agg(F.count(F.lit(1)).alias("pass_count"), F.count_if("_last").alias("flow_count"), F.count_if("_still").alias("queue_count"))
+    return lanes.select("lane_id", "name").join(counts, "lane_id", "left").select("lane_id", "name", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("pass_count", "flow_count", "queue_count")))
+
+
+def entries_inside(tracks: DataFrame, lanes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """What entries() tells, for any number of lanes: a track's observations are numbered, and one inside a lane enters it if the
+    one numbered before isn't inside it, too."""
+    rows = tracks.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("frame_id")))
+    before = F.lag("_n").over(Window.partitionBy("lane_id", *keys).orderBy("_n"))
+    return inside_only(rows, lanes).withColumn("_before", before).where("_before is null or _before < _n - 1").drop("_n", "_before")
 
 
 def _lane_window(keys):

@@ -219,6 +219,42 @@ def lane_occupancy(spark, d):
     return lanes.occupancy(lanes.lane_observations(still, lanes.lane_table(spark, LANES)))
 
 
+# A lane for every order: a slanted quadrangle of 5 to 44 pixels somewhere in the image.
+_QUADS = """quads AS (SELECT o_orderkey lane_id, x, y, s, x x1, y y1, x + s x2, y + 1 y2, x + s - 2 x3, y + s y3, x + 1 x4, y + s + 2 y4
+    FROM (SELECT o_orderkey, o_orderkey * 37 % 490 x, o_orderkey * 91 % 990 y, 5 + o_orderkey % 40 s FROM orders))"""
+_IN_QUAD = "((" + " + ".join(f"CASE WHEN (y{i} > py) <> (y{j} > py) THEN CAST(px < (x{j} - x{i}) * (py - y{i}) / CAST(y{j} - y{i} AS DOUBLE) + x{i} AS INT) ELSE 0 END" for i, j in ((1, 4), (2, 1), (3, 2), (4, 3))) + ") % 2 = 1)"
+
+
+def _order_lanes(spark, d):
+    k = F.col("o_orderkey")
+    o = spark.read.parquet(f"{d}/orders.parquet").select(k.alias("lane_id"), (k * 37 % 490).alias("x"), (k * 91 % 990).alias("y"), (k % 40 + 5).alias("s"))
+    at = lambda dx, dy: geometry.point(F.col("x") + dx, F.col("y") + dy)
+    s = F.col("s")
+    return o.select("lane_id", F.concat(F.lit("lane "), "lane_id").alias("name"), F.array(at(0, 0), at(s, 1), at(s - 2, s), at(1, s + 2)).alias("polygon"), F.lit(True).alias("visible"))
+
+
+@query(
+    f"""WITH {TRACKS_SQL}, {_QUADS}, walked AS (SELECT *, coalesce(CASE WHEN row_number() OVER w >= 30 THEN sum(step) OVER (PARTITION BY session_id, track_id ORDER BY frame_id ROWS BETWEEN 28 PRECEDING AND CURRENT ROW) END < 10000, false) stationary,
+            row_number() OVER (PARTITION BY session_id, track_id ORDER BY frame_id DESC) = 1 last
+        FROM (SELECT *, sqrt(power(px - lag(px) OVER w, 2) + power(py - lag(py) OVER w, 2)) step FROM tracks WINDOW w AS (PARTITION BY session_id, track_id ORDER BY frame_id)) WINDOW w AS (PARTITION BY session_id, track_id ORDER BY frame_id)),
+    met AS (SELECT lane_id, track_id, bool_or(last) last, bool_or(last AND stationary) still FROM walked JOIN quads ON px BETWEEN x - 2 AND x + s + 2 AND py BETWEEN y AND y + s + 2 AND {_IN_QUAD} GROUP BY ALL),
+    counts AS (SELECT lane_id, count(*) pass_count, count(*) FILTER (last) flow_count, count(*) FILTER (still) queue_count FROM met GROUP BY ALL)
+    SELECT q.lane_id, coalesce(pass_count, 0) pass_count, coalesce(flow_count, 0) flow_count, coalesce(queue_count, 0) queue_count FROM quads q LEFT JOIN counts USING (lane_id)"""
+)
+def lane_figures_many(spark, d):
+    still = kinematics.stationary(tracks(spark, d), max_path=10000)
+    return lanes.lane_figures(still, _order_lanes(spark, d)).drop("name")
+
+
+@query(
+    f"""WITH {TRACKS_SQL}, {_QUADS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY session_id, track_id ORDER BY frame_id) n FROM tracks),
+    met AS (SELECT lane_id, session_id, track_id, frame_id, n FROM numbered JOIN quads ON px BETWEEN x - 2 AND x + s + 2 AND py BETWEEN y AND y + s + 2 AND {_IN_QUAD})
+    SELECT lane_id, track_id, frame_id FROM met QUALIFY coalesce(lag(n) OVER (PARTITION BY lane_id, session_id, track_id ORDER BY n) < n - 1, true)"""
+)
+def lane_entries_many(spark, d):
+    return lanes.entries_inside(tracks(spark, d), _order_lanes(spark, d)).select("lane_id", "track_id", "frame_id")
+
+
 @query(with_lanes(f", {_PASSES} SELECT lane_id, track_id, count(*) OVER (PARTITION BY lane_id ORDER BY CAST(round(first_time * 1000000) AS BIGINT) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) * (3600.0::DOUBLE / 86400) flow_rate FROM passes"))
 def flow_rate(spark, d):
     return lanes.flow_rate(lanes.first_passes(_observed(spark, d)), window=86400.0).select("lane_id", "track_id", "flow_rate")

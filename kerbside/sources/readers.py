@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions.geo import Camera
 from kerbside.functions.geometry import point, rect_corners
+from kerbside.shared import numbered
 
 MAX_PAYLOAD = 100 * 1024 * 1024
 HEADER_SCHEMA = "type string, request_id string, session_id string, frame_id int, features struct<tracker:boolean,undistort:boolean,geo_transform:boolean>, config string, frames array<struct<request_id:string,frame_id:int>>, sizes array<bigint>"
@@ -231,7 +232,7 @@ def stem(path) -> Column:
 def image_list(spark: SparkSession, folder: str) -> DataFrame:
     """path, name, frame_id of the images of a folder, by name; the names are listed, not the pixels read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png,bmp,JPG,JPEG,PNG,BMP}").load(folder).select("path").withColumn("name", stem("path"))
-    return found.withColumn("frame_id", (F.row_number().over(Window.orderBy("name")) - 1).cast("int"))  # a folder's list
+    return numbered(found, ["name", "path"], "frame_id").withColumn("frame_id", F.col("frame_id").cast("int"))
 
 
 def label_folder(spark: SparkSession, folder: str, width, height, lenient: bool = False) -> DataFrame:

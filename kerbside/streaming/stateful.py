@@ -140,10 +140,28 @@ def paired(headers: DataFrame, payloads: DataFrame, wait: str = "60 seconds") ->
     return out.select("h.*", "p.payload_time", "p.content", F.when(F.col("p.payload_time").isNull(), "header_timeout").alias("code"))
 
 
+def first_passes(observed: DataFrame, keys=("session_id", "track_id"), time: str = "pass_time", late: str = "10 minutes") -> DataFrame:
+    """The first row told of each track in each lane, of a stream of observations inside lanes (lane_id, keys, time).
+
+    What comes again, or late, within the watermark's delay after a track was told isn't told again; its state is given
+    up after that, so that a track that is away for longer passes anew.
+    """
+    return observed.withWatermark(time, late).dropDuplicatesWithinWatermark(["lane_id", *keys])
+
+
+def pass_rate(observed: DataFrame, keys=("session_id", "track_id"), time: str = "pass_time", window: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
+    """window, lane_id, passes, per_hour of observations inside lanes: each track counts once in a lane."""
+    return _rate(first_passes(observed, keys, time, late), time, window, slide)
+
+
 def sliding_rate(passes: DataFrame, time: str = "pass_time", window: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """window, lane_id, passes, per_hour."""
+    return _rate(passes.withWatermark(time, late), time, window, slide)
+
+
+def _rate(passes: DataFrame, time: str, window: str, slide: str) -> DataFrame:
     seconds = F.unix_timestamp("window.end") - F.unix_timestamp("window.start")
-    counted = passes.withWatermark(time, late).groupBy(F.window(time, window, slide), "lane_id").agg(F.count(F.lit(1)).alias("passes"))
+    counted = passes.groupBy(F.window(time, window, slide), "lane_id").agg(F.count(F.lit(1)).alias("passes"))
     return counted.withColumn("per_hour", F.col("passes") * 3600.0 / seconds)
 
 
