@@ -56,7 +56,7 @@ def scored(rows: DataFrame, is_obb: bool = True, layout: str | None = None) -> D
     e2e = F.lit(layout == END_TO_END) if layout else n == 7
     turned = layout == OBB if layout else is_obb
     scores = F.slice(f, F.lit(5), n - (5 if turned else 4))
-    top = F.array_max(scores)
+    top = F.array_max(F.transform(scores, lambda v: F.when(F.isnan(v), 0.0).otherwise(v)))  # a NaN is no score, though it sorts above any
     best = F.when(top > 0, F.array_position(scores, top).cast("int") - 1).otherwise(0)
     angle = F.degrees(F.element_at(f, -1))
     return rows.withColumns(

@@ -126,3 +126,14 @@ def sample_times(videos: DataFrame, fps: float = 10.0, tail: float = 0.05) -> Da
     """The times, t += 1 / fps, at which videos (duration in seconds) are sampled, up to tail seconds before the end."""
     n = F.greatest(F.lit(0), F.ceil((F.col("duration") - tail) * fps)).cast("int")
     return videos.withColumn("_i", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)))).withColumn("t", F.col("_i") / fps).drop("_i")
+
+
+def objects_per_frame(observations: DataFrame, keys: Sequence[str] = ("session_id", "frame_id")) -> DataFrame:
+    """keys, objects: how many observations each frame has."""
+    return observations.groupBy(*keys).agg(F.count(F.lit(1)).alias("objects"))
+
+
+def rate(times: DataFrame, column: str, keys: Sequence[str], least: float = 0.5) -> DataFrame:
+    """keys, fps: rows per second between the first time and the last, of those that are more than least seconds apart."""
+    elapsed = F.max(column) - F.min(column)
+    return times.groupBy(*keys).agg((F.count(F.lit(1)) / elapsed).alias("fps"), elapsed.alias("_s")).where(F.col("_s") > least).drop("_s")

@@ -35,6 +35,10 @@ def r(c, places: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, places)
 
 
+def _list(names) -> str:
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
 def with_tracks(rest: str) -> str:
     return f"WITH {TRACKS_SQL} {rest}"
 
@@ -112,7 +116,7 @@ def track_statistics(spark, d):
 
 @query(f"WITH {OBSERVATIONS_SQL} SELECT session_id, frame_id, count(*) objects FROM obs GROUP BY ALL")
 def objects_per_frame(spark, d):
-    return observations(spark, d).groupBy("session_id", "frame_id").agg(F.count(F.lit(1)).alias("objects"))
+    return kinematics.objects_per_frame(observations(spark, d))
 
 
 @query(f"WITH {OBSERVATIONS_SQL} SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id % 7 WHEN event_id % 3 = 1 AND event_id % 5 = 0 THEN event_id ELSE NULL END track_id FROM obs WHERE event_id % 3 = 0 OR (event_id % 3 = 1 AND event_id % 5 = 0)")
@@ -173,6 +177,21 @@ def point_in_lane(spark, d):
     return _observed(spark, d).select("lane_id", "track_id", "frame_id", "inside")
 
 
+def _on_edge_sql(points) -> str:
+    tests = [f"(({xj - xi}) * (py - {yi}) = ({yj - yi}) * (px - {xi}) AND px BETWEEN {min(xi, xj)} AND {max(xi, xj)} AND py BETWEEN {min(yi, yj)} AND {max(yi, yj)})" for (xi, yi), (xj, yj) in zip(points, [points[-1], *points[:-1]], strict=True)]
+    return f"({' OR '.join(tests)})"
+
+
+_TENS = "(SELECT * REPLACE (floor(px / 50) * 50 AS px, floor(py / 50) * 50 AS py) FROM tracks)"
+
+
+@query(with_tracks(" UNION ALL ".join(f"SELECT {i} lane_id, track_id, frame_id, {_inside_sql(p)} OR {_on_edge_sql(p)} inside FROM {_TENS}" for i, n, p, *v in LANES if len(p) > 2 and v != [False])))
+def point_on_border(spark, d):
+    """Points on a grid of 50 pixels, many of which lie on the lanes' edges and corners and count as inside."""
+    t = tracks(spark, d).withColumns({k: F.floor(F.col(k) / 50) * 50.0 for k in ("px", "py")})
+    return lanes.lane_observations(t, lanes.lane_table(spark, LANES), inclusive=True).select("lane_id", "track_id", "frame_id", "inside")
+
+
 @query(with_lanes("SELECT lane_id, track_id, frame_id FROM observed WHERE inside"))
 def point_in_lane_cells(spark, d):
     return lanes.inside_only(tracks(spark, d), lanes.lane_table(spark, LANES)).select("lane_id", "track_id", "frame_id")
@@ -440,6 +459,18 @@ def corners_on_ground(spark, d):
     return tracks(spark, d).withColumn("c", geo.ground_corners(box, H)).select("track_id", "frame_id", r(F.get("c", 2)["x"]).alias("x3"), r(F.get("c", 2)["y"]).alias("y3"))
 
 
+_UX, _UY = persp_sql("ux", "uy")
+_ALL_CORNERS = "(" + " UNION ALL ".join(f"SELECT track_id, frame_id, {i} corner, px {a} 4 cx, py {b} 2 cy FROM tracks" for i, (a, b) in enumerate((("-", "-"), ("+", "-"), ("+", "+"), ("-", "+")), 1)) + ")"
+
+
+@query(with_tracks(f"SELECT track_id, frame_id, corner, round({_UX}, 5) x, round({_UY}, 5) y FROM ({undistort_sql(_ALL_CORNERS, 'cx', 'cy')})"))
+def undistorted_corners(spark, d):
+    """All four corners, through the lens and onto the ground."""
+    box = geometry.rect_corners(F.col("px") - 4, F.col("py") - 2, F.col("px") + 4, F.col("py") + 2)
+    out = tracks(spark, d).select("track_id", "frame_id", F.posexplode(geo.ground_corners(box, H, CAMERA)).alias("i", "c"))
+    return out.select("track_id", "frame_id", (F.col("i") + 1).alias("corner"), r("c.x", 5).alias("x"), r("c.y", 5).alias("y"))
+
+
 # Detections. embeddings are 8 boxes of 4 + 3 + 1 features each.
 
 _RAW = """raw AS (SELECT vec_id frame_id, i AS det_idx, list_transform(range(1, 9), lambda k: CAST(embedding[i * 8 + k] AS DOUBLE)) f FROM embeddings, range(8) t(i)),
@@ -461,6 +492,41 @@ def decode_confidence_filter(spark, d):
     return decode.kept(_found(spark, d), 0.2).select("frame_id", F.col("det_idx").cast("long").alias("det_idx"), r("confidence").alias("confidence"))
 
 
+# The same 64 numbers as boxes of 4 + 4 features without an angle, as ten boxes of 7 end-to-end features (of the first 56: eight),
+# and as features of ten boxes, 6 rows of 10 (of the first 60).
+_LAYOUTS = """raw AS (SELECT vec_id frame_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) e FROM embeddings),
+    hbb AS (SELECT 'hbb' layout, frame_id, i det_idx, list_transform(range(1, 9), lambda k: e[i * 8 + k]) f FROM raw, range(8) t(i)),
+    e2e AS (SELECT 'end_to_end' layout, frame_id, i det_idx, list_transform(range(1, 8), lambda k: e[i * 7 + k]) f FROM raw, range(8) t(i)),
+    turned AS (SELECT 'transposed' layout, frame_id, i det_idx, list_transform(range(0, 6), lambda k: e[k * 10 + i + 1]) f FROM raw, range(10) t(i)),
+    found AS (SELECT layout, frame_id, det_idx, f[1] cx, CASE WHEN greatest(f[5], f[6], f[7], f[8]) > 0 THEN list_position(f[5:8], greatest(f[5], f[6], f[7], f[8])) - 1 ELSE 0 END class_id, greatest(f[5], f[6], f[7], f[8], 0) confidence, 0 angle FROM hbb
+        UNION ALL SELECT layout, frame_id, det_idx, f[1], trunc(f[6]), f[5], degrees(f[7]) FROM e2e
+        UNION ALL SELECT layout, frame_id, det_idx, f[1], 0, greatest(f[5], 0), degrees(f[6]) FROM turned)"""
+
+
+@query(f"WITH {_LAYOUTS} SELECT layout, frame_id, det_idx, round(cx, 6) cx, CAST(class_id AS INT) class_id, round(confidence, 6) confidence, round(angle, 6) angle FROM found")
+def decode_layouts(spark, d):
+    """Tensors without an angle, end-to-end ones, and some whose rows are features."""
+    b, parts = boxes(spark, d), []
+    for name, size, shape, is_obb, layout in (("hbb", 64, (1, 8, 8), False, "hbb"), ("end_to_end", 56, (1, 8, 7), True, "end_to_end"), ("transposed", 60, (1, 6, 10), True, None)):
+        t = b.withColumns({"data": F.slice("data", 1, size), "shape": F.array(*map(F.lit, shape))})
+        parts.append(decode.scored(decode.boxes(t, is_obb, layout), is_obb, layout).withColumn("layout", F.lit(name)))
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select("layout", "frame_id", F.col("det_idx").cast("long").alias("det_idx"), r("cx").alias("cx"), "class_id", r("confidence").alias("confidence"), r("angle").alias("angle"))
+
+
+@query(
+    """WITH raw AS (SELECT vec_id frame_id, i AS det_idx, list_transform(range(1, 9), lambda k: CASE WHEN (vec_id + i * 8 + k) % 13 = 0 THEN 'NaN'::DOUBLE ELSE CAST(embedding[i * 8 + k] AS DOUBLE) END) f FROM embeddings, range(8) t(i)),
+    s AS (SELECT *, list_transform(f[5:7], lambda v: CASE WHEN isnan(v) THEN 0 ELSE v END) scores FROM raw), top AS (SELECT *, greatest(scores[1], scores[2], scores[3]) top FROM s)
+    SELECT frame_id, det_idx, CAST(CASE WHEN top > 0 THEN list_position(scores, top) - 1 ELSE 0 END AS INT) class_id, round(greatest(top, 0), 6) confidence FROM top
+    WHERE top >= 0.05 AND NOT (isnan(f[1]) OR isnan(f[2]) OR isnan(f[3]) OR isnan(f[4]))"""
+)
+def decode_without_numbers(spark, d):
+    """A thirteenth of the features isn't a number: as a place or size it drops its box, as a score it counts for nothing."""
+    t = boxes(spark, d).withColumn("data", F.transform("data", lambda v, i: F.when((F.col("frame_id") + i + 1) % 13 == 0, float("nan")).otherwise(v)))
+    out = decode.kept(decode.scored(decode.boxes(t)), 0.05)
+    return out.select("frame_id", F.col("det_idx").cast("long").alias("det_idx"), "class_id", r("confidence").alias("confidence"))
+
+
 _NAMES = ["car", "pedestrian"]
 
 
@@ -746,6 +812,23 @@ def result_messages(spark, d):
     return sinks.results(g, frames).select("frame_id", back.alias("d")).select("frame_id", F.size("d").cast("long").alias("n"), total(lambda x: x["track_id"]).alias("idx_sum"), total(lambda x: x["bbox"][0]).alias("bx_sum"))
 
 
+@query(
+    f"""WITH {_CORNERS} SELECT 'result' AS "type", frame_id::VARCHAR request_id, frame_id, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY det_idx) - 1 AS INT) place, CAST(det_idx AS INT) track_id, CAST(class_id AS INT) class_id,
+        {_list(decode.CLASS_NAMES)}[CAST(class_id AS INT) + 1] class_name, round(confidence, 6) confidence, round(angle, 6) angle,
+        round(x0, 5) x0, round(y0, 5) y0, round(x1, 5) x1, round(y1, 5) y1, round(x2, 5) x2, round(y2, 5) y2, round(x3, 5) x3, round(y3, 5) y3, bx, by_ AS "by", bw, bh,
+        CASE WHEN det_idx % 2 = 0 THEN round(cx / 2, 5) END ground_x, 1.5::DOUBLE total_ms FROM boxed"""
+)
+def result_details(spark, d):
+    """Every field of every message, read again; every other detection has a place on the ground."""
+    g = decode.named(decode.with_geometry(_image(spark, d)), decode.CLASS_NAMES).withColumns({"track_id": F.col("det_idx"), "ground_x": F.when(F.col("det_idx") % 2 == 0, F.col("cx") / 2)})
+    frames = g.select("session_id", "frame_id").distinct().withColumns({"request_id": F.col("frame_id").cast("string"), "timing": F.struct(F.lit(1.5).alias("total_ms"))})
+    kind = "type string, request_id string, frame_id long, detections array<struct<track_id:int,class_id:int,class_name:string,confidence:double,angle:double,obb:array<double>,bbox:array<int>,ground_x:double>>, timing struct<total_ms:double>"
+    back = sinks.results(g, frames).select(F.from_json("message", kind).alias("m")).select("m.*").select("*", F.posexplode("detections").alias("place", "d"))
+    obb = [r(F.get("d.obb", 2 * i + j), 5).alias(f"{k}{i}") for i in range(4) for j, k in enumerate("xy")]
+    box = [F.get("d.bbox", i).alias(f"b{k}") for i, k in enumerate("xywh")]
+    return back.select("type", "request_id", "frame_id", "place", "d.track_id", "d.class_id", "d.class_name", r("d.confidence").alias("confidence"), r("d.angle").alias("angle"), *obb, *box, r("d.ground_x", 5).alias("ground_x"), "timing.total_ms")
+
+
 def _exchange(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     requests = e.select("user_id", F.col("event_id").alias("request_id"), (F.col("event_id") * 0.1).alias("sent"))
@@ -763,8 +846,7 @@ def response_latency(spark, d):
 
 @query(f"SELECT user_id, round(count(*) / (max(received) - min(received)), 6) fps FROM ({_EXCHANGE}) GROUP BY ALL HAVING max(received) - min(received) > 0.5")
 def response_rate(spark, d):
-    elapsed = F.max("received") - F.min("received")
-    return _exchange(spark, d).groupBy("user_id").agg(r(F.count(F.lit(1)) / elapsed).alias("fps"), elapsed.alias("s")).where("s > 0.5").drop("s")
+    return kinematics.rate(_exchange(spark, d), "received", ["user_id"]).withColumn("fps", r("fps"))
 
 
 @query(f"WITH {OBSERVATIONS_SQL} SELECT event_id, round(greatest(0.3, least(0.7, confidence)), 6) confidence FROM obs")
@@ -777,20 +859,45 @@ def clamp_overrides(spark, d):
 _GROUND = f"SELECT *, {persp_sql('px', 'py')[0]} gx, {persp_sql('px', 'py')[1]} gy FROM tracks"
 
 
-@query(with_tracks(f"SELECT track_id, frame_id, printf('%.1f', px) pixel_x, printf('%.1f', py) pixel_y, CASE WHEN track_id % 2 = 0 THEN printf('%.3f', gx) END ground_x, CASE WHEN track_id % 2 = 0 THEN printf('%.3f', gy) END ground_y, NULL::VARCHAR lat, NULL::VARCHAR lon FROM ({_GROUND}) WHERE px * 10 % 1 = 0"))
+def fixed_sql(x: str, places: int) -> str:
+    return f"CAST(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,12)) AS DECIMAL(38,{places}))::VARCHAR"
+
+
+_PIXELS = f"track_id, frame_id, {fixed_sql('px', 1)} pixel_x, {fixed_sql('py', 1)} pixel_y, CASE WHEN track_id % 2 = 0 THEN {fixed_sql('gx', 3)} END ground_x, CASE WHEN track_id % 2 = 0 THEN {fixed_sql('gy', 3)} END ground_y"
+
+
+@query(with_tracks(f"SELECT {_PIXELS}, NULL::VARCHAR lat, NULL::VARCHAR lon FROM ({_GROUND})"))
 def vehicle_csv(spark, d):
-    return _vehicles(tracks(spark, d).where("px * 10 % 1 = 0"))
+    return _vehicles(tracks(spark, d))
 
 
-@query()
+@query(with_tracks(f"SELECT {_PIXELS}, CASE WHEN track_id % 2 = 0 THEN {fixed_sql(_GG['lat'], 8)} END lat, CASE WHEN track_id % 2 = 0 THEN {fixed_sql(_GG['lon'], 8)} END lon FROM (SELECT *, {_O['easting']} oe, {_O['northing']} onn, {_O['zone']} oz FROM ({_GROUND}))"))
 def vehicle_csv_all(spark, d):
-    """Every track point. No SQL: printf and format_string round numbers half-way between two texts differently."""
-    return _vehicles(tracks(spark, d))
+    """Every track point, with its place on the earth."""
+    return _vehicles(tracks(spark, d), ORIGIN)
 
 
-def _vehicles(t):
-    t = t.withColumn("g", geo.perspective("px", "py", H))
-    return sinks.vehicle_rows(t.withColumns({"ground_x": F.when(F.col("track_id") % 2 == 0, F.col("g.x")), "ground_y": F.when(F.col("track_id") % 2 == 0, F.col("g.y"))}))
+def _vehicles(t, origin=None):
+    t = t.withColumn("g", geo.perspective("px", "py", H)).withColumns({k: F.when(F.col("track_id") % 2 == 0, F.col(f"g.{k[-1]}")) for k in ("ground_x", "ground_y")})
+    return sinks.vehicle_rows(geo.with_places(t, origin) if origin else t)
+
+
+_MOVED = f"""SELECT *, px - lag(px) OVER w dx, py - lag(py) OVER w dy, frame_time - lag(frame_time) OVER w dt, gx - lag(gx) OVER w dgx, gy - lag(gy) OVER w dgy, {_GG['lon']} lon, {_GG['lat']} lat
+    FROM (SELECT *, {_O['easting']} oe, {_O['northing']} onn, {_O['zone']} oz FROM ({_GROUND})) WINDOW w AS (PARTITION BY session_id, track_id ORDER BY frame_id)"""
+
+
+@query(
+    with_tracks(f"""SELECT track_id vehicle_id, event_type vehicle_type, frame_time "timestamp", strftime(make_timestamp(CAST(frame_time * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%g') system_time, px pixel_x, py pixel_y,
+        round(gx, 5) ground_x, round(gy, 5) ground_y, round(lon, 7) longitude, round(lat, 7) latitude, round(CASE WHEN dt > 0 THEN sqrt(dx*dx + dy*dy) / dt END, 6) speed_px_s, round(CASE WHEN dt > 0 THEN sqrt(dgx*dgx + dgy*dgy) / dt END, 6) speed_ms,
+        round(CASE WHEN dt > 0 THEN CASE WHEN degrees(atan2(dy, dx)) < 0 THEN degrees(atan2(dy, dx)) + 360 ELSE degrees(atan2(dy, dx)) END END, 6) direction_deg,
+        px - 4 corner1_x, py - 2 corner1_y, px + 4 corner2_x, py - 2 corner2_y, px + 4 corner3_x, py + 2 corner3_y, px - 4 corner4_x, py + 2 corner4_y FROM ({_MOVED})""")
+)
+def trajectory_export_all(spark, d):
+    """All 21 columns, with metres a second over the ground."""
+    t = tracks(spark, d).withColumns({"class_name": F.col("event_type"), "corners": geometry.rect_corners(F.col("px") - 4, F.col("py") - 2, F.col("px") + 4, F.col("py") + 2), "cx": F.col("px"), "cy": F.col("py")})
+    out = sinks.trajectory_rows(kinematics.kinematics(geo.geo_stage(t, H, ORIGIN)))
+    places = {"ground_x": 5, "ground_y": 5, "longitude": 7, "latitude": 7, "speed_px_s": 6, "speed_ms": 6, "direction_deg": 6}
+    return out.withColumns({c: r(c, n) for c, n in places.items()})
 
 
 @query(with_tracks(f"SELECT track_id vehicle_id, event_type vehicle_type, strftime(make_timestamp(CAST(frame_time * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%g') system_time, px pixel_x, round(CASE WHEN dt > 0 THEN sqrt(dx*dx + dy*dy) / dt END, 6) speed_px_s, px - 4 corner1_x, py + 2 corner3_y FROM ({_STEP.format(s='', f='lag')})"))
@@ -813,6 +920,24 @@ def homography_parse(spark, d):
     return p.select(F.col("p_partkey").alias("id"), readers.homography_column(text).alias("h")).select("id", r(F.get("h", 0)).alias("a"), r(F.get("h", 1)).alias("b"), F.col("h").isNotNull().alias("good"))
 
 
+@query("SELECT p_partkey id, printf('%.8e', p_size / 7.0::DOUBLE) || ' ' || printf('%.8e', p_retailprice::DOUBLE) || ' ' || printf('%.8e', -p_size::DOUBLE) || chr(10) || printf('%.8e', p_partkey / 1000000.0::DOUBLE) || ' 0.00000000e+00 0.00000000e+00' || chr(10) || '0.00000000e+00 0.00000000e+00 1.00000000e+00' AS \"text\" FROM part")
+def homography_files(spark, d):
+    """Whole files of three lines."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    h = F.array(*(c.cast("double") for c in (F.col("p_size") / 7, F.col("p_retailprice"), -F.col("p_size"), F.col("p_partkey") / 1000000)), *[F.lit(0.0)] * 4, F.lit(1.0))
+    return p.select(F.col("p_partkey").alias("id"), sinks.homography_text_column(h).alias("text"))
+
+
+@query(
+    "SELECT p_partkey id, " + ", ".join(f"CASE WHEN p_size % 5 <> 0 THEN round({v} / 4::DOUBLE, 6) END h{i}" for i, v in enumerate(("p_size", "p_partkey", "0", "0", "1", "-0.5", "0", "0", "4"))) + " FROM part"
+)
+def homography_numbers(spark, d):
+    """All nine numbers, scaled; none where there are eight."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    text = F.concat(F.lit("[["), "p_size", F.lit(", "), "p_partkey", F.lit(" 0], [0 1e0, -0.5\n"), F.when(F.col("p_size") % 5 == 0, "]").otherwise("0; 0 4]"))
+    return p.select(F.col("p_partkey").alias("id"), readers.homography_column(text).alias("h")).select("id", *(r(F.get("h", i)).alias(f"h{i}") for i in range(9)))
+
+
 @query(
     """SELECT event_id, CAST(event_id % 5 AS INT) class_id, CASE WHEN event_id % 3 = 2 THEN 1 ELSE 0.5 END::DOUBLE confidence, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 50 AS INT) END track_id,
         CASE WHEN event_id % 3 = 1 THEN (trunc(0.1::DOUBLE*640)+trunc(0.2::DOUBLE*640)+trunc(0.25::DOUBLE*640)+trunc(0.15::DOUBLE*640))/4 ELSE (trunc((x - 0.125::DOUBLE)*640) + trunc((x + 0.125::DOUBLE)*640))/2 END px
@@ -832,7 +957,8 @@ def control_point_import(spark, d):
     return readers.resolve_control_points(c.select((F.col("c_custkey") % 100 / 4).cast("string").alias(" U"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey").cast("string")).otherwise("?").alias("image_y"), F.lit("-").alias("Longitude"), F.col("c_custkey").cast("string").alias("lat")))
 
 
-_VALID = f"""valid AS (SELECT event_id frame, {persp_sql('value', 'k')[0]} pgx, {persp_sql('value', 'k')[1]} pgy, {_N['easting']} - {_O['easting']} tgx, {_N['northing']} - {_O['northing']} tgy
+_VALID = f"""valid AS (SELECT event_id frame, {persp_sql('value', 'k')[0]} pgx, {persp_sql('value', 'k')[1]} pgy, {_N['easting']} - {_O['easting']} tgx, {_N['northing']} - {_O['northing']} tgy,
+    value img_x, k img_y, lon, lat, {_O['easting']} oe, {_O['northing']} onn, {_O['zone']} oz
     FROM (SELECT event_id, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) * 10 k, 121.47::DOUBLE + value / 100000 lon, 31.23::DOUBLE + event_id % 50 / 100000::DOUBLE lat FROM events))"""
 
 
@@ -847,18 +973,32 @@ def validate_points(spark, d):
     return _validated(spark, d).select("frame", r("pred_gx", 4).alias("pred_gx"), r("true_gy", 4).alias("true_gy"), r("error_m", 4).alias("error_m"))
 
 
+_V = lonlat_sql("pgx + oe", "pgy + onn", "oz", "true")
+
+
+@query(
+    f"WITH {_VALID} SELECT frame, img_x, img_y, round(pgx, 4) pred_gx, round(pgy, 4) pred_gy, round({_V['lon']}, 7) pred_lon, round({_V['lat']}, 7) pred_lat, round(tgx, 4) true_gx, round(tgy, 4) true_gy, round(lon, 7) true_lon, round(lat, 7) true_lat, round(sqrt(power(pgx - tgx, 2) + power(pgy - tgy, 2)), 4) error_m FROM valid"
+)
+def validation_csv(spark, d):
+    """All twelve columns."""
+    places = {c: 4 for c in ("pred_gx", "pred_gy", "true_gx", "true_gy", "error_m")} | {c: 7 for c in ("pred_lon", "pred_lat", "true_lon", "true_lat")}
+    return _validated(spark, d).withColumns({c: r(c, n) for c, n in places.items()})
+
+
 @query(f"WITH {_VALID} SELECT round(sqrt(avg(power(pgx - tgx, 2) + power(pgy - tgy, 2))), 3) rmse_m, count(*) points FROM valid")
 def rmse(spark, d):
     return calibrate.rmse(_validated(spark, d)).select(r("rmse_m", 3).alias("rmse_m"), "points")
 
 
-@query(f"WITH {_VALID} SELECT a.frame \"first\", b.frame \"second\", round(sqrt(power(a.pgx - b.pgx, 2) + power(a.pgy - b.pgy, 2)), 4) pred_m, round(sqrt(power(a.tgx - b.tgx, 2) + power(a.tgy - b.tgy, 2)), 4) true_m FROM valid a JOIN valid b ON b.frame = a.frame + 7 WHERE a.frame % 10 = 0")
+_PAIRS_SQL = f"WITH {_VALID} SELECT a.frame \"first\", b.frame \"second\", round(sqrt(power(a.pgx - b.pgx, 2) + power(a.pgy - b.pgy, 2)), 4) pred_m, round(sqrt(power(a.tgx - b.tgx, 2) + power(a.tgy - b.tgy, 2)), 4) true_m FROM valid a JOIN valid b ON b.frame = a.frame + 7"
+
+
+@query(_PAIRS_SQL)
 def pair_distances(spark, d):
-    v = _validated(spark, d)
-    return _pairs(v, v.where("frame % 10 = 0"))
+    return _pairs(*[_validated(spark, d)] * 2)
 
 
-@query()
+@query(_PAIRS_SQL)
 def pair_distances_all(spark, d):
     """A pair begins with every validated point that has one seven frames later."""
     v = _validated(spark, d)

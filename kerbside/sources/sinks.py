@@ -46,9 +46,9 @@ def errors(refused: DataFrame) -> DataFrame:
 
 
 def fixed(column, places: int) -> Column:
-    """With so many decimals; null stays null, which CSV writes as nothing."""
+    """With so many decimals, rounded half away from zero as the number reads in decimal; null stays null, which CSV writes as nothing, as does what isn't finite."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.when(c.isNotNull(), F.format_string(f"%.{places}f", c))
+    return F.round(c.cast("double").try_cast("decimal(38,12)"), places).cast(f"decimal(38,{places})").cast("string")
 
 
 def vehicle_rows(tracks: DataFrame) -> DataFrame:
