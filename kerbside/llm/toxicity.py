@@ -1,9 +1,11 @@
 """Toxicity scores from a weighted finite-state grammar of clauses.
 
 Words are mapped to symbols by a lexicon: insults (whole words and word beginnings, with weights), threats, intent,
-targets, negations, verbs of reported speech and quotation marks. Five transducers read a clause's symbols in step,
-as one composed machine, and say for each insult or threat whether it is negated or reported and whether the clause
-has a target. A text's score comes from its matched clauses by a logistic regression.
+targets, negations, verbs of reported speech and quotation marks. Five weighted transducers are composed in sequence, each
+reading what the one before it writes: the threat machine turns a verb after an intent into a hit, the insult machine an
+insult, the negation machine weakens hits within its reach, the machine of reported speech those that are only told, and
+the target machine strengthens hits in clauses that are aimed at someone. Weights of the arcs multiply along the cascade and with the
+lexicon's; a clause's hits add up. A text's score comes from its matched clauses by a logistic regression.
 
 Insult words beyond the given ones and their weights are learnt from a bounded sample of labelled rows.
 """
@@ -21,8 +23,11 @@ from pyspark.sql import functions as F
 
 from kerbside.llm.common import stored, texts_of
 
-# Symbols of the grammar.
-OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, QUOTE = range(8)
+# Symbols of the grammar, and AIMED, by which the target machine says that it applies to the hits before it.
+OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, QUOTE, AIMED = range(9)
+#: Hits are symbols from here on, with marks for what the machines have found out.
+HIT, THREATENED, NEGATED, REPORTED, TARGETED = 16, 1, 2, 4, 8
+HITS = [HIT | marks for marks in range(16)]
 
 #: Given words of each symbol, in English, German, French and Spanish.
 WORDS = {
@@ -37,6 +42,10 @@ WORDS = {
 GIVEN_WEIGHT = 3.0
 NEGATION_REACH = 3
 
+#: Weights of arcs: of an insult right after another, of a hit by how many words the negation is away, of a reported hit, and
+#: of one that is aimed at someone.
+PILED, NEGATED_WEIGHT, REPORTED_WEIGHT, TARGET_WEIGHT = 1.25, (0.1, 0.2, 0.4), 0.3, 1.5
+
 #: Labelled rows that learning takes at most, and what the lexicon holds at most.
 SAMPLE_ROWS, LEXICON = 8000, 4096
 
@@ -48,44 +57,50 @@ FEATURES = 9
 
 
 class Transducer(NamedTuple):
-    """arcs[state, symbol] is (next state, outputs); a missing arc stays and gives nothing. State 0 begins a clause."""
+    """arcs[state, symbol] is (next state, symbol written, weight); where an arc is missing, otherwise[state] is the next
+    state (or the same), and the symbol is written as it is, with weight 1. State 0 begins a clause."""
 
-    arcs: dict[tuple[int, int], tuple[int, frozenset]]
+    arcs: dict[tuple[int, int], tuple[int, int, float]]
+    otherwise: dict[int, int]
 
-    def step(self, state: int, symbol: int) -> tuple[int, frozenset]:
-        return self.arcs.get((state, symbol), (state, frozenset()))
+    def step(self, state: int, symbol: int) -> tuple[int, int, float]:
+        return self.arcs.get((state, symbol)) or (self.otherwise.get(state, state), symbol, 1.0)
 
 
 def _transducers() -> list[Transducer]:
-    out = lambda *x: frozenset(x)
-    insult = Transducer({(0, INSULT): (0, out("insult"))})
-    threat = Transducer({(0, INTENT): (1, out()), (1, THREAT): (0, out("threat")), (1, QUOTE): (0, out())})
-    target = Transducer({(0, TARGET): (1, out("target"))})
-    arcs: dict[tuple[int, int], tuple[int, frozenset]] = {}
-    for state in range(NEGATION_REACH + 1):  # words that the negation still reaches
-        for symbol in range(8):
-            left = NEGATION_REACH if symbol == NEGATION else max(0, state - 1)
-            hit = symbol in (INSULT, THREAT) and state > 0
-            arcs[state, symbol] = (left, out("negated") if hit else out())
-    negation = Transducer(arcs)
-    said = {(s, x): (s, out("reported")) for s in (1, 3) for x in (INSULT, THREAT)}
-    said |= {(0, REPORT): (1, out()), (0, QUOTE): (2, out()), (2, QUOTE): (0, out()), (1, QUOTE): (3, out()), (3, QUOTE): (1, out()), (2, REPORT): (3, out())}
-    return [insult, threat, target, negation, Transducer(said)]
-
-
-def compose(machines: list[Transducer]) -> dict[tuple[int, int], tuple[int, frozenset]]:
-    """One machine whose states are those that the given ones reach together, and whose outputs are theirs together."""
+    threat = Transducer({(0, INTENT): (1, INTENT, 1.0), (0, THREAT): (0, OTHER, 1.0), (1, THREAT): (0, HIT | THREATENED, 1.0), (1, QUOTE): (0, QUOTE, 1.0)}, {})
+    insult = Transducer({(0, INSULT): (1, HIT, 1.0), (1, INSULT): (1, HIT, PILED)}, {1: 0})
+    arcs = {(state, NEGATION): (1, NEGATION, 1.0) for state in range(NEGATION_REACH + 1)}  # state: words since a negation, 0 without one
+    after = {state: state + 1 if state < NEGATION_REACH else 0 for state in range(1, NEGATION_REACH + 1)}
+    arcs |= {(state, h): (after[state], h | NEGATED, NEGATED_WEIGHT[state - 1]) for state in after for h in HITS}
+    negation = Transducer(arcs, after)
+    # 0: neither, 1: a verb of reporting, 2: quoted, 3: quoted after such a verb, or with one in the quotation
+    steps = {(0, REPORT): 1, (0, QUOTE): 2, (2, QUOTE): 0, (1, QUOTE): 3, (3, QUOTE): 1, (2, REPORT): 3}
+    said = {(state, symbol): (to, symbol, 1.0) for (state, symbol), to in steps.items()}
+    reported = Transducer(said | {(state, h): (state, h | REPORTED, REPORTED_WEIGHT) for state in (1, 3) for h in HITS}, {})
+    # 0: nothing yet, 1: a target, 2: a hit without one
+    aim = {(0, TARGET): (1, TARGET, 1.0), (2, TARGET): (1, AIMED, TARGET_WEIGHT)}
+    target = Transducer(aim | {(0, h): (2, h, 1.0) for h in HITS} | {(1, h): (1, h | TARGETED, TARGET_WEIGHT) for h in HITS}, {})
+    return [threat, insult, negation, reported, target]
+
+
+def compose(machines: list[Transducer]) -> dict[tuple[int, int], tuple[int, int, float]]:
+    """One machine for the cascade: its states are those that the machines reach together, what the last one writes is
+    written, and weights are multiplied."""
     start = (0,) * len(machines)
     number, todo, arcs = {start: 0}, [start], {}
     while todo:
         states = todo.pop()
-        for symbol in range(8):
-            steps = [m.step(s, symbol) for m, s in zip(machines, states, strict=True)]
-            after = tuple(s for s, _ in steps)
-            if after not in number:
-                number[after] = len(number)
-                todo.append(after)
-            arcs[number[states], symbol] = (number[after], frozenset().union(*(o for _, o in steps)))
+        for symbol in range(AIMED):
+            after, out, weight = [], symbol, 1.0
+            for machine, state in zip(machines, states, strict=True):
+                state, out, w = machine.step(state, out)
+                after.append(state)
+                weight *= w
+            if tuple(after) not in number:
+                number[tuple(after)] = len(number)
+                todo.append(tuple(after))
+            arcs[number[states], symbol] = (number[tuple(after)], out, weight)
     return arcs
 
 
@@ -115,42 +130,44 @@ class Lexicon:
         return found
 
 
+def hits_of(read: list[tuple[int, float]]) -> list[tuple[int, float]]:
+    """(marks, weight) of the hits among a clause's symbols with their lexical weights."""
+    state, hits = 0, []
+    for symbol, weight in read:
+        state, out, arc = GRAMMAR[state, symbol]
+        if out >= HIT:
+            hits.append((out - HIT, (weight or GIVEN_WEIGHT) * arc))
+        elif out == AIMED:
+            hits = [(marks, w) if marks & TARGETED else (marks | TARGETED, w * arc) for marks, w in hits]
+    return hits
+
+
 def clauses(text: str, lexicon: Lexicon):
-    """(weights of its insults and threats, targeted, tokens) of each clause with any; clauses without give only tokens."""
+    """(hits, tokens) of each clause; see hits_of()."""
     look = lexicon.look_up
     for clause in _CLAUSE.split(text.lower()):
-        tokens = _TOKEN.findall(clause)
-        read = [look(t) for t in tokens]
-        if not any(s in (INSULT, THREAT) for s, _ in read):
-            yield (), False, len(tokens)
-            continue
-        state, hits, targeted = 0, [], False
-        for symbol, weight in read:
-            state, said = GRAMMAR[state, symbol]
-            targeted = targeted or "target" in said
-            if "insult" in said or "threat" in said:
-                hits.append(("threat" if "threat" in said else "insult", weight or GIVEN_WEIGHT, "negated" in said, "reported" in said))
-        yield hits, targeted, len(tokens)
+        read = [look(t) for t in _TOKEN.findall(clause)]
+        yield hits_of(read) if any(s in (INSULT, THREAT) for s, _ in read) else [], len(read)
 
 
 def features(text: str, lexicon: Lexicon) -> np.ndarray:
     """Of the matched clauses: plain weight, the heaviest, targeted, negated and reported weight, threats, counts and shares."""
     plain = heaviest = target = negated = reported = threats = 0.0
     matched = tokens = hits_all = 0
-    for hits, targeted, n in clauses(text, lexicon):
+    for hits, n in clauses(text, lexicon):
         tokens += n
         weight = 0.0
-        for kind, w, no, said in hits:
-            if no:
+        for marks, w in hits:
+            if marks & NEGATED:
                 negated += w
-            elif said:
+            elif marks & REPORTED:
                 reported += w
             else:
                 weight += w
-                threats += kind == "threat"
+                target += w if marks & TARGETED else 0.0
+                threats += bool(marks & THREATENED)
         plain += weight
         heaviest = max(heaviest, weight)
-        target += weight * targeted
         matched += bool(weight)
         hits_all += len(hits)
     return np.array([*map(math.log1p, (plain, heaviest, target, negated, reported, threats, matched)), math.log1p(100 * plain / (tokens + 20)), math.log1p(1000 * hits_all / (tokens + 100))])

@@ -19,17 +19,56 @@ def test_clauses_are_scored_not_words():
     assert not T.features("", lexicon).any()
 
 
-def test_composed_machine_agrees_with_its_parts():
+def one_after_the_other(symbols):
+    """(marks, weight) of the hits: each machine reads all that the one before it has written."""
+    lines = [(s, 1.0) for s in symbols]
+    for m in T._transducers():
+        state, written = 0, []
+        for symbol, weight in lines:
+            state, out, w = m.step(state, symbol)
+            written.append((out, weight * w))
+        lines = written
+    return lines
+
+
+def plainly(symbols):
+    """What each hit comes to, told by rules instead of machines."""
+    out, intent, quoted, report, spoken = [], False, False, False, False
+    target = T.TARGET in symbols
+    for i, s in enumerate(symbols):
+        marks, weight = 0, 1.0
+        threatened = s == T.THREAT and intent
+        if threatened or s == T.INSULT:
+            marks = T.THREATENED if threatened else 0
+            weight = T.PILED if s == T.INSULT and i and symbols[i - 1] == T.INSULT else 1.0
+            near = [k for k in range(1, T.NEGATION_REACH + 1) if k <= i and symbols[i - k] == T.NEGATION]
+            if near:
+                marks, weight = marks | T.NEGATED, weight * T.NEGATED_WEIGHT[near[0] - 1]
+            if report or spoken:
+                marks, weight = marks | T.REPORTED, weight * T.REPORTED_WEIGHT
+            if target:
+                marks, weight = marks | T.TARGETED, weight * T.TARGET_WEIGHT
+            out.append((marks, weight))
+        intent = s == T.INTENT or intent and s not in (T.THREAT, T.QUOTE)
+        if s == T.REPORT:
+            report, spoken = report or not quoted, spoken or quoted
+        if s == T.QUOTE:
+            report, spoken, quoted = report or spoken, False, not quoted
+    return out
+
+
+def test_the_cascade_is_its_machines_in_turn_and_the_rules():
     rng = random.Random(2)
-    machines = T._transducers()
-    for _ in range(200):
-        states, state = [0] * len(machines), 0
-        for _ in range(12):
-            x = rng.randrange(8)
-            steps = [m.step(s, x) for m, s in zip(machines, states)]
-            states = [s for s, _ in steps]
-            state, out = T.GRAMMAR[state, x]
-            assert out == frozenset().union(*(o for _, o in steps))
+    assert T.hits_of([(T.NEGATION, 0), (T.OTHER, 0), (T.INSULT, 2.0), (T.TARGET, 0)]) == [(T.NEGATED | T.TARGETED, 2.0 * T.NEGATED_WEIGHT[1] * T.TARGET_WEIGHT)]
+    for _ in range(3000):
+        symbols = [rng.randrange(8) for _ in range(rng.randrange(14))]
+        got = T.hits_of([(s, 1.0) for s in symbols])
+        want = plainly(symbols)
+        assert [m for m, _ in got] == [m for m, _ in want] and np.allclose([w for _, w in got], [w for _, w in want]), symbols
+        written, state = one_after_the_other(symbols), 0
+        for symbol, (out, weight) in zip(symbols, written, strict=True):
+            state, o, w = T.GRAMMAR[state, symbol]
+            assert o == out and abs(w - weight) < 1e-12
 
 
 def data(spark):
