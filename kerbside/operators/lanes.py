@@ -42,17 +42,18 @@ def lane_observations(tracks: DataFrame, lanes: DataFrame, inclusive: bool = Fal
 ACROSS = 8
 
 
-def grid(lanes: DataFrame) -> DataFrame:
+def grid(lanes: DataFrame, cell: float | None = None) -> DataFrame:
     """lane_id, lane_name, level, _x, _y, whole, polygon: the cells of each usable lane, squares of 2 ** level pixels.
 
     Every lane has cells of its own size, an eighth of its longer side, about, so that neither a long lane has many nor a
     short one shares its cell with many others. Cells that no edge touches are left out or lie in the lane as a whole,
-    where no point is tested any more: polygon is null.
+    where no point is tested any more: polygon is null. cell: the least size of cells, for all lanes alike.
     """
     sides = [(f(F.transform("polygon", lambda p: p[k])), k, n) for k in "xy" for f, n in ((F.array_min, "lo"), (F.array_max, "hi"))]
     out = usable(lanes).select("lane_id", F.col("name").alias("lane_name"), "polygon", *(c.alias(f"_{n}{k}") for c, k, n in sides))
     longer = F.greatest(F.col("_hix") - F.col("_lox"), F.col("_hiy") - F.col("_loy"), F.lit(2.0**-20))
-    out = out.withColumn("level", F.ceil(F.log2(longer / ACROSS)).cast("int")).withColumn("_c", F.pow(F.lit(2.0), "level"))
+    size = longer / ACROSS if cell is None else F.lit(float(cell))
+    out = out.withColumn("level", F.ceil(F.log2(size)).cast("int")).withColumn("_c", F.pow(F.lit(2.0), "level"))
     for k in "xy":
         out = out.withColumn(f"_{k}", F.explode(F.sequence(F.floor(F.col(f"_lo{k}") / F.col("_c")), F.floor(F.col(f"_hi{k}") / F.col("_c")))))
     out = out.withColumns({f"_{n}{k}": (F.col(f"_{k}") + d) * F.col("_c") for k in "xy" for n, d in (("lo", 0), ("hi", 1))})
@@ -71,12 +72,12 @@ def grid(lanes: DataFrame) -> DataFrame:
     return out.select("lane_id", "lane_name", "level", "_x", "_y", "whole", F.when(F.col("_touched"), F.col("polygon")).alias("polygon"))
 
 
-def inside_only(tracks: DataFrame, lanes: DataFrame, inclusive: bool = False) -> DataFrame:
+def inside_only(tracks: DataFrame, lanes: DataFrame, cell: float | None = None, inclusive: bool = False) -> DataFrame:
     """The pairs of observations and lanes that hold them, for any number of lanes: both meet in the cells of grid().
 
     A point looks up one cell for each size of cells that lanes have; adaptive execution splits what crowded cells hold.
     """
-    cells = grid(lanes)
+    cells = grid(lanes, cell)
     levels = sorted(r[0] for r in cells.select("level").distinct().collect())  # powers of two of pixels: some dozens at most
     placed = tracks.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     placed = placed.withColumns({f"_{k}": F.floor(F.col(f"p{k}") / F.pow(F.lit(2.0), "level")) for k in "xy"})
