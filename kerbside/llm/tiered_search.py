@@ -217,11 +217,22 @@ def _reached(tier: DataFrame, items: _Open, k: int) -> DataFrame:
     return tier.select("terms", "impacts").mapInArrow(run, "item long, score long")
 
 
+#: Parts in which an item's rows are ranked first, so that what all tasks tell of it doesn't meet in one.
+PARTS = 32
+
+
+def _ranked(rows: DataFrame, order: list, k: int) -> DataFrame:
+    """The first k rows of each item, with rank."""
+    for keys in (["item", "part"], ["item"]):
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+    return rows.drop("part")
+
+
 def _least(reached: DataFrame, items: int, k: int) -> np.ndarray:
     """Of each item, the k-th highest score, 0 if there are fewer."""
-    ranked = reached.withColumn("at", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score")))).where(F.col("at") <= k)
+    ranked = _ranked(reached.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS))), [F.desc("score")], k)
     out = np.zeros(items, np.int64)
-    for item, score in ranked.where(F.col("at") == k).select("item", "score").collect():
+    for item, score in ranked.where(F.col("rank") == k).select("item", "score").collect():
         out[item] = score
     return out
 
@@ -332,8 +343,8 @@ def search_terms(index: Index, items: list[np.ndarray], k: int = 50) -> DataFram
         parts.append(_best(index, _Open(index, items, which), least[which], k).withColumn("tier", F.lit(len(index.tiers) + 1)))
     spark = index.rows.sparkSession
     scored = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCORED + ", tier int")
-    order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"), "rid")
-    return scored.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item", "rank", "doc_id", "score", "tier")
+    parted = scored.where("score > 0").withColumn("part", F.pmod(F.xxhash64("rid"), F.lit(PARTS)))
+    return _ranked(parted, [F.desc("score"), F.asc_nulls_first("doc_id"), F.col("rid")], k).select("item", "rank", "doc_id", "score", "tier")
 
 
 def _item_blocks(items: DataFrame, item_id: str) -> Iterator[tuple[list, list[set[bytes]]]]:
