@@ -20,7 +20,7 @@ import numpy as np
 from kerbside.llm.common import release
 
 #: Pieces that a worker remembers at most, about, and between tasks; the longest, and how many bytes of longer ones it holds.
-CACHE_PIECES, KEPT_PIECES, CACHE_BYTES, LONG_BYTES = 400_000, 100_000, 48, 8 << 20
+CACHE_PIECES, KEPT_PIECES, CACHE_BYTES, LONG_BYTES = 800_000, 600_000, 48, 8 << 20
 
 #: Pieces whose bounds show in the ids are encoded so many at a time, as one text.
 TOGETHER = 64
@@ -115,6 +115,8 @@ class CachedTokenizer:
 
     def forget(self, most: int) -> None:
         """Of pieces that aren't too long, so many stay: those that most calls have used, of late above all."""
+        if len(self.index) <= most and self.long <= LONG_BYTES // 4:
+            return
         pieces, used = list(self.index), self.used[: len(self.index)].copy()
         used[[i for i, p in enumerate(pieces) if len(p) > CACHE_BYTES]] = 0
         keep = np.sort(np.argsort(-used, kind="stable")[:most])
