@@ -22,6 +22,7 @@ def write(spark, path, rows):
     put("labels", [(r[0], int("idiot" in (r[1] or "")), "z") for r in rows[::2]], "doc_id long, toxic int, text string")
     vectors = [(i, v) for i, v in enumerate([[1.0, 2.0], None, [0.0, 0.0], [float("nan"), 1.0], [3.0, 1.0], [3.0, 1.0], [1.0], [-2.0, 0.5]])] if rows else []
     put("embeddings", [(i * 20, v, 1) for i, v in vectors] + [(None, v, 1) for _, v in vectors[:1]], "vec_id long, embedding array<double>, rid int")
+    put("benchmark", [(1, "Quiet stupid words", 0), (1, "Quiet stupid words", 0), (2, None, 0), (3, "", 0), (None, "seven é", 0)] if rows else [], "item_id long, text string, doc_id int")
     return str(path)
 
 
@@ -56,6 +57,14 @@ def test_odd_tables(spark, odd, name):
         # [1, 2] is there twice, once without an id, and comes right after itself for its equal
         assert sum(r.vec_id is None for r in got) == 4 and [r.vec_id for r in got if r.query_id == 80 and r["rank"] > 2] == [None, 140]
         return
+    if name == "op11_tiered_search":
+        found = {}
+        for r in sorted(got, key=lambda r: r["rank"]):
+            found.setdefault(r.item_id, []).append((r["rank"], r.doc_id, r.score))
+        # both rows of the item are answered; three rows hold "quiet words", one of them without an id, two are insults
+        assert set(found) == {1, None} and sorted(d for _, d, _ in found[1] if d is not None) == sorted([4, 13, 6, 15] * 2) and [n for n, *_ in found[1]] == sorted([*range(1, 6)] * 2)
+        assert sorted(d for _, d, _ in found[None]) == [3, 3, 3, 7, 12, 16] and all(a[2] >= b[2] > 0 for f in found.values() for a, b in zip(f, f[1:], strict=False))
+        return
     if name == "op8_best_fit_packing":
         assert sorted(str(r.doc_id) for r in got if r.piece == 0) == ids
         return

@@ -46,7 +46,7 @@ def test_stages_against_brute_force(spark):
 def test_registered():
     import __spark_entry__
 
-    assert "pipeline" in __spark_entry__.queries() and len([q for q in __spark_entry__.queries() if q.startswith("op")]) == 10
+    assert "pipeline" in __spark_entry__.queries() and len([q for q in __spark_entry__.queries() if q.startswith("op")]) == 13
     assert [n for n, _ in P.STAGES] == ["language_id", "exact_dedup", "jaccard_join", "pii", "best_fit_packing"] and language_id
 
 
