@@ -28,7 +28,8 @@ def kinematics(tracks: DataFrame, keys: Sequence[str] = KEYS, compat: bool = Fal
 
     They are null in a track's first row and where time doesn't pass; speed_ms is null unless both ends have a ground
     position (ground_x, ground_y, if there are such columns). Headings are clockwise from +x, as y points down.
-    compat: each row carries the step that begins in it.
+    compat: each row carries the step that begins in it; as it is a negated difference, one that leads nowhere is
+    (-0.0, -0.0) and heads for 180.
     """
     w = by_track(keys)
     near = F.lead if compat else F.lag
@@ -39,13 +40,16 @@ def kinematics(tracks: DataFrame, keys: Sequence[str] = KEYS, compat: bool = Fal
         step |= {c: (F.col(c) - near(c).over(w)) * sign for c in ("ground_x", "ground_y")}
     out = tracks.withColumns({f"_{k}": v for k, v in step.items()})
     moved = F.col("_frame_time") > 0
+    # Spark's atan2 takes -0.0 for 0.0, which matters where both are zero
+    degrees, nowhere = F.degrees(F.atan2("_py", "_px")), (F.col("_px") == 0) & (F.col("_py") == 0)
+    heading = F.when(nowhere & (F.col("_px").cast("string") == "-0.0"), 180.0).when(degrees < 0, degrees + 360).otherwise(degrees)
     pace = F.when(moved, F.hypot("_ground_x", "_ground_y") / F.col("_frame_time")) if has_ground else F.lit(None).cast("double")
     return out.withColumns(
         {
             "speed_px_s": F.when(moved, F.hypot("_px", "_py") / F.col("_frame_time")),
             "speed_ms": pace,
             "speed_kmh": pace * 3.6,
-            "heading_deg": F.when(moved, F.pmod(F.degrees(F.atan2("_py", "_px")), F.lit(360.0))),
+            "heading_deg": F.when(moved, heading),
         }
     ).drop(*(f"_{k}" for k in step))
 

@@ -107,6 +107,23 @@ def tracks(spark, rows):
     return spark.createDataFrame([("s", *r) for r in rows], "session_id string, track_id int, frame_id int, frame_time double, px double, py double")
 
 
+@pytest.mark.parametrize("compat", [False, True])
+def test_headings_of_steps_along_the_axes_and_nowhere(spark, compat):
+    """As in the queries' SQL, where -(x - x) is -0.0."""
+    import duckdb
+    from kerbside import queries
+
+    way = [(5.0, 5.0), (5.0, 5.0), (6.0, 5.0), (6.0, 6.0), (5.0, 6.0), (5.0, 5.0), (0.0, 0.0), (-0.0, 0.0), (-0.0, -0.0), (0.0, 0.0)]
+    t = tracks(spark, [(1, i, float(i), x, y) for i, (x, y) in enumerate(way)])
+    con = duckdb.connect()
+    con.register("tracks", t.toArrow())
+    step = queries._STEP.format(**({"s": "-", "f": "lead"} if compat else {"s": "", "f": "lag"}))
+    want = {n: (speed, heading) for _, _, n, speed, heading in con.sql(queries._SPEED.format(step=step)).fetchall()}
+    got = kinematics.kinematics(t, compat=compat).select("frame_id", queries.r("speed_px_s"), queries.r("heading_deg")).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == want
+    assert want[0][1] == (180 if compat else None)
+
+
 def test_kinematics_boundaries(spark):
     t = tracks(spark, [(1, 1, 0.0, 0.0, 0.0), (1, 2, 1.0, 3.0, 4.0), (1, 3, 1.0, 9.0, 4.0), (1, 4, 0.5, 9.0, 9.0), (2, 1, 0.0, 0.0, 0.0), (2, 2, 1.0, 0.0, -1.0), (2, 3, 2.0, -1.0, -1.0), (2, 4, 3.0, -1.0, 0.0)])
     got = {(r.track_id, r.frame_id): (r.speed_px_s, r.heading_deg, r.speed_ms) for r in kinematics.kinematics(t).collect()}
