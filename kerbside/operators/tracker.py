@@ -1,7 +1,8 @@
 """Identities for detections: a tracker per session that reads frames in order.
 
 In batch, a session is a group; in streams (kerbside.streaming), its state is kept between micro-batches. The state of
-a track is small and bounded, and the frames of a session are read one at a time.
+a track is small and bounded, and the frames of a session are read one at a time. In batch, a task reads the first frames
+of many sessions together, then their second ones, and so on.
 """
 
 from __future__ import annotations
@@ -276,6 +277,137 @@ class Tracker:
         return cls(Settings(**state["settings"]), tracks, len(state["tracked"]), state["next_id"])
 
 
+def _pairs(rows: np.ndarray, columns: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of a row and a column of the same group, row by row. rows, columns: each one's group, ascending."""
+    n = np.bincount(columns, minlength=groups)
+    each, first = n[rows], (np.cumsum(n) - n)[rows]
+    i = np.repeat(np.arange(len(rows)), each)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(each) - each - first, each)
+
+
+def assign_groups(cost: np.ndarray, i: np.ndarray, j: np.ndarray, group: np.ndarray, limit: float) -> np.ndarray:
+    """Which pairs assign() matches in each group. cost, i, j, group: of all pairs of a row and a column of a group, row by row."""
+    out = np.zeros(len(cost), bool)
+    some = np.zeros(int(group.max(initial=-1)) + 1, bool)
+    some[group[(cost < np.float32(limit)) | ~np.isfinite(cost)]] = True  # elsewhere no pair counts
+    at = np.flatnonzero(some[group])
+    if not len(at):
+        return out
+    cost, i, j, group = cost[at], i[at], j[at], group[at]
+    offset = int(i.max()) + 1
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    sizes = np.diff(np.append(starts, len(group)))
+    wide = np.add.reduceat(i == np.repeat(i[starts], sizes), starts)  # how many columns
+    turned = np.repeat(sizes > wide * wide, sizes)
+    short, long = np.where(turned, j + offset, i), np.where(turned, i, j + offset)
+    order = np.lexsort((cost, short))  # among equal costs the first
+    nearest = order[np.concatenate([[True], short[order][1:] != short[order][:-1]])]
+    clash = np.zeros(len(some), bool)
+    clash[group[~np.isfinite(cost)]] = True
+    clash[group[nearest][np.bincount(long[nearest])[long[nearest]] > 1]] = True
+    nearest = nearest[~clash[group[nearest]]]
+    out[at[nearest[cost[nearest] < np.float32(limit)]]] = True
+    for k in np.flatnonzero(clash[group[starts]]):
+        here = slice(starts[k], starts[k] + sizes[k])
+        for a, b in assign(cost[here].reshape(-1, wide[k]), limit):
+            out[at[starts[k] + a * wide[k] + b]] = True
+    return out
+
+
+class Trackers:
+    """A Tracker for each of several sessions, which take a frame each at a time, with the same results.
+
+    tracks: those of all sessions in turn, of each the followed ones, then the lost ones; owner: the session of each.
+    """
+
+    def __init__(self, settings: Settings, sessions: int):
+        self.settings, self.tracks = settings, _no_tracks()
+        self.owner, self.active = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.next_id = np.ones(sessions, np.int64)
+
+    def only(self, sessions: np.ndarray) -> None:
+        """Forgets the tracks of sessions that aren't marked."""
+        rows = np.flatnonzero(sessions[self.owner])
+        if len(rows) < len(self.owner):
+            self.tracks, self.owner, self.active = self.tracks.take(rows), self.owner[rows], self.active[rows]
+
+    def taken(self, session: int) -> Trackers:
+        """One session's tracker, as the first of its own."""
+        rows = np.flatnonzero(self.owner == session)
+        one = Trackers(self.settings, 1)
+        one.tracks, one.owner, one.active = self.tracks.take(rows), np.zeros(len(rows), np.int64), self.active[rows]
+        one.next_id[0] = self.next_id[session]
+        return one
+
+    def update(self, frame_id: np.ndarray, session: np.ndarray, boxes: np.ndarray, scores: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Track ids of the detections of one frame of each session. frame_id: by session; session: of each detection, ascending."""
+        s, tracks, owner = self.settings, self.tracks, self.owner
+        ids, groups = np.full(len(boxes), -1), len(self.next_id)
+        sure = scores >= np.float32(s.track_thresh)
+        high, low = np.flatnonzero(sure), np.flatnonzero(~sure)
+        tracks.predict()
+        found, used = np.zeros(len(tracks), bool), np.zeros(len(boxes), bool)
+        fine_b = np.isfinite(boxes).all(1)
+        span_b = aabb(np.where(fine_b[:, None], boxes, 0))
+
+        def match(rows: np.ndarray, detections: np.ndarray, limit, learn_class: bool) -> None:
+            i, j = _pairs(owner[rows], session[detections], groups)
+            if not len(i):
+                return
+            fine_t = np.isfinite(tracks.box[rows]).all(1)
+            span_t = aabb(np.where(fine_t[:, None], tracks.box[rows], 0))
+            t, d = rows[i], detections[j]
+            at = np.flatnonzero(fine_t[i] & fine_b[d] & (tracks.class_id[t] == classes[d]))
+            p, q = span_t[i[at]], span_b[d[at]]
+            at = at[(np.minimum(p[:, :2] + p[:, 2:], q[:, :2] + q[:, 2:]) > np.maximum(p[:, :2], q[:, :2])).all(1)]
+            cost = np.ones(len(i), np.float32)
+            cost[at] = 1 - rotated_ious(tracks.box[t[at]], boxes[d[at]], LEAST_SIDE)
+            matched = assign_groups(cost, i, j, owner[t], limit)
+            t, d = t[matched], d[matched]
+            if not len(t):
+                return
+            found[t] = used[d] = True
+            tracks.seen(t, boxes[d], frame_id[owner[t]])
+            if learn_class:
+                tracks.class_id[t] = classes[d]
+            old = tracks.hits[t] >= s.min_hits
+            ids[d[old]] = tracks.track_id[t[old]]
+
+        rows = np.flatnonzero(self.active)
+        match(rows, high, s.match_thresh, True)
+        match(rows[~found[rows]], low, SECOND_STAGE_LIMIT, False)
+        gone = rows[~found[rows]]
+        stay = rows[found[rows]]
+        lost = np.concatenate([np.flatnonzero(~self.active), gone])
+        lost = lost[np.argsort(owner[lost], kind="stable")]
+        high = high[~used[high]]
+        match(lost, high, s.match_thresh, True)
+        back, lost = lost[found[lost]][::-1], lost[~found[lost]]
+
+        new = high[~used[high]]
+        new = new[scores[new] >= np.float32(s.high_thresh)]
+        mine, n_new = session[new], np.bincount(session[new], minlength=groups)
+        born = Tracks.born(self.next_id[mine] + np.arange(len(new)) - (np.cumsum(n_new) - n_new)[mine], boxes[new], classes[new], frame_id[mine])
+        self.next_id += n_new
+        if s.min_hits <= 1:
+            for t, box, k in zip(born.track_id, born.box, mine, strict=True):
+                a, b = np.searchsorted(session, [k, k + 1])
+                near = np.flatnonzero((ids[a:b] < 0) & (np.abs(boxes[a:b, :2] - box[:2]) < 1).all(1))
+                if len(near):
+                    ids[a + near[0]] = t
+        lost = lost[tracks.unseen[lost] <= s.max_time_lost]
+        if len(new) or len(gone) or len(back) or len(stay) + len(lost) < len(tracks):
+            after = np.concatenate([back, lost])
+            owner = np.concatenate([owner[stay], mine, owner[after]])
+            order = np.argsort(owner, kind="stable")
+            self.tracks, self.owner = tracks.take(stay).with_(born).with_(tracks.take(after)).take(order), owner[order]
+            self.active = (np.arange(len(owner)) < len(owner) - len(lost))[order]
+        return ids
+
+
+#: Rows, and bytes of them, that a task gathers before it reads their frames, about: those of many sessions, or a part of one's.
+HELD_ROWS, HELD_BYTES = 1 << 16, 32 << 20
+
 BOX = ["cx", "cy", "w", "h", "angle"]
 
 
@@ -287,11 +419,20 @@ def track_frame(tracker: Tracker, frame_id: int, frame: pd.DataFrame) -> pd.Data
     return real.assign(track_id=ids.astype(np.int32))
 
 
+def _ends(batch, columns) -> list[int]:
+    """Where values of some columns differ from those of the row before."""
+    import pyarrow.compute as pc
+
+    code = [pc.fill_null(pc.dictionary_encode(batch.column(c)).indices, -1).to_numpy(zero_copy_only=False) for c in columns]
+    return (np.flatnonzero(np.any([c[1:] != c[:-1] for c in code], axis=0)) + 1).tolist()
+
+
 def track(detections: DataFrame, settings: Settings = Settings(), key: str = "session_id") -> DataFrame:
     """Detections with track_id: every session's frames are read in order.
 
     Rows with a null det_idx stand for frames without detections, which age the tracks. A session is one task's work,
-    since each frame depends on the one before; its rows come sorted, and only the open frame is held.
+    since each frame depends on the one before; its rows come sorted. A task gathers a bounded number of rows, whose
+    sessions take a frame each at a time, and holds what the last one, which may go on, has come to.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -303,36 +444,59 @@ def track(detections: DataFrame, settings: Settings = Settings(), key: str = "se
         return pc.fill_null(batch.column(name), pa.scalar(none, batch.column(name).type)).to_numpy(zero_copy_only=False).astype(kind)
 
     def run(batches):
-        session, tracker, held = None, Tracker(settings), None
+        session, last = None, None  # the name and the tracker of the session that may go on
 
         def followed(batch, ends):
             """Rows of whole frames, which end at given places, with their ids."""
-            nonlocal session, tracker
+            nonlocal session, last
             real = batch.column("det_idx").is_valid().to_numpy(zero_copy_only=False)
             boxes = np.column_stack([numbers(batch, c, np.float32) for c in BOX])
             scores, classes, frames = numbers(batch, "confidence", np.float32), numbers(batch, "class_id", np.int64, -1), numbers(batch, "frame_id", np.int64, 0)
-            ids, keys = np.full(batch.num_rows, -1, np.int32), batch.column(key)
-            starts = [0, *ends[:-1]]
-            names = keys.take(pa.array(starts)).to_pylist()
-            for a, b, name in zip(starts, ends, names, strict=True):
-                if (name,) != session:
-                    session, tracker = (name,), Tracker(settings)
-                b = a + int(real[a:b].sum())  # those without a place come last
-                ids[a:b] = tracker.update(int(frames[a]), boxes[a:b], scores[a:b], classes[a:b])
+            starts = np.array([0, *ends[:-1]])
+            names = [(name,) for name in batch.column(key).take(pa.array(starts)).to_pylist()]
+            owner = np.cumsum([0, *(x != y for x, y in zip(names[1:], names, strict=False))])  # the session of each frame
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            n = np.diff(np.append(first, len(owner)))
+            nth = np.arange(len(owner)) - first[owner]
+            trackers = Trackers(settings, len(n))
+            if names[0] == session:
+                trackers.tracks, trackers.owner, trackers.active = last.tracks, last.owner, last.active
+                trackers.next_id[0] = last.next_id[0]
+            lengths = np.diff([*starts, batch.num_rows])
+            rows = np.flatnonzero(real)
+            turn = np.repeat(nth, lengths)[rows]
+            order = np.argsort(turn, kind="stable")
+            rows, bounds = rows[order], np.searchsorted(turn[order], np.arange(n.max() + 1))
+            mine, ids = np.repeat(owner, lengths)[rows], np.full(batch.num_rows, -1, np.int32)
+            boxes, scores, classes = boxes[rows], scores[rows], classes[rows]
+            for k in range(n.max()):
+                here = n > k
+                frame = np.zeros(len(n), np.int64)
+                frame[here] = frames[starts[first[here] + k]]
+                part = slice(bounds[k], bounds[k + 1])
+                ids[rows[part]] = trackers.update(frame, mine[part], boxes[part], scores[part], classes[part])
+                if n[-1] == k + 1:
+                    session, last = names[-1], trackers.taken(len(n) - 1)
+                if (n == k + 1).any():
+                    trackers.only(n > k + 1)
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids)], names=[*columns, "track_id"]).filter(pa.array(real))
 
+        held, size = [], [0, 0]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if held is not None:
-                batch = pa.concat_batches([held, batch])
-            code = [pc.fill_null(pc.dictionary_encode(batch.column(c)).indices, -1).to_numpy(zero_copy_only=False) for c in (key, "frame_id")]
-            ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in code], axis=0)) + 1
-            held = batch.slice(ends[-1]) if len(ends) else batch  # the frame that may go on
-            if len(ends):
-                yield followed(batch.slice(0, ends[-1]), ends.tolist())
-        if held is not None:
-            yield followed(held, [held.num_rows])
+            held.append(batch)
+            size = [size[0] + batch.num_rows, size[1] + batch.nbytes]
+            if size[0] < HELD_ROWS and size[1] < HELD_BYTES:
+                continue
+            batch = pa.concat_batches(held)
+            ends = _ends(batch, (key, "frame_id"))
+            held, size = [batch.slice(ends[-1]) if ends else batch], [0, 0]  # the frame that may go on
+            if ends:
+                yield followed(batch.slice(0, ends[-1]), ends)
+        if held:
+            batch = pa.concat_batches(held)
+            yield followed(batch, [*_ends(batch, (key, "frame_id")), batch.num_rows])
 
     ordered = detections.select(*columns).repartition(work_partitions(detections.sparkSession), key).sortWithinPartitions(key, "frame_id", F.col("det_idx").asc_nulls_last())
     return ordered.mapInArrow(run, schema)

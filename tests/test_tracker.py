@@ -8,7 +8,9 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from kerbside.operators.tracker import Motion, Settings, Tracker, assign, costs, track
+from kerbside.operators import tracker as module
+from kerbside.operators.tracker import Motion, Settings, Tracker, Trackers, assign, assign_groups, costs, track
+from pyspark.sql import functions as F
 
 
 def run(frames, settings=None):
@@ -150,3 +152,78 @@ def test_batch_reads_frames_in_order(spark):
             assert [got[s, f, i] for i in range(3)] == ([-1] * 3 if f < 3 else [1, 2, 3])
     ids = pd.Series(got)
     assert (ids[ids > 0].groupby(level=[0, 1]).nunique() == 3).all()
+
+
+def scene(rng, n):
+    """A frame of so many boxes, few of them apart, some turned, of one place, or of no finite place."""
+    boxes = np.column_stack([rng.choice([10, 25, 40, 70], n) + rng.normal(0, 4, n), rng.normal(0, 6, n), rng.choice([20, 40], n), rng.choice([20, 0.5], n, p=[0.9, 0.1]), rng.choice([0, 30], n)]).astype(np.float32)
+    boxes[rng.random(n) < 0.2] = [40, 5, 40, 20, 0]
+    boxes[rng.random(n) < 0.05, 0] = rng.choice([np.nan, np.inf])
+    return boxes, rng.choice([0.3, 0.55, 0.9, np.nan], n, p=[0.3, 0.1, 0.55, 0.05]).astype(np.float32), rng.integers(0, 2, n)
+
+
+@pytest.mark.parametrize("options", [{}, {"min_hits": 1}, {"max_time_lost": 2, "match_thresh": 0.95}, {"match_thresh": 1.5}])
+def test_many_sessions_together_are_as_one_by_one(options):
+    rng = np.random.default_rng(7)
+    single, many = [Tracker(Settings(**options)) for _ in range(12)], Trackers(Settings(**options), 12)
+    for n in range(60):
+        frames = [scene(rng, rng.integers(0, 5 if k else 9)) for k in range(12)]
+        want = np.concatenate([t.update(n + k, *f) for k, (t, f) in enumerate(zip(single, frames, strict=True))])
+        owner = np.repeat(np.arange(12), [len(f[0]) for f in frames])
+        assert many.update(n + np.arange(12), owner, *(np.concatenate(x) for x in zip(*frames, strict=True))).tolist() == want.tolist()
+    for k, t in enumerate(single):
+        one = many.taken(k)
+        again = Tracker(Settings(**options), one.tracks, int(one.active.sum()), int(one.next_id[0]))
+        assert repr(again.dump()) == repr(t.dump())
+    assert max(t.next_id for t in single) > 5
+
+
+def test_assignment_of_groups():
+    rng = np.random.default_rng(3)
+    shapes = [(int(a), int(b)) for a, b in rng.integers(1, 5, (200, 2))]
+    tables = [np.minimum(1, rng.integers(1, 12, s) / 8).astype(np.float32) for s in shapes]
+    rows, columns = (np.cumsum([0, *(s[k] for s in shapes)]) for k in (0, 1))
+    cells = [(c, rows[g] + a, columns[g] + b, g) for g, t in enumerate(tables) for (a, b), c in np.ndenumerate(t)]
+    cost, i, j, group = (np.array(x) for x in zip(*cells, strict=True))
+    for limit in (0.5, 0.8, 2):
+        got = assign_groups(cost.astype(np.float32), i, j, group, limit)
+        want = {(rows[g] + a, columns[g] + b) for g, t in enumerate(tables) for a, b in assign(t, limit)}
+        assert set(zip(i[got], j[got], strict=True)) == want
+
+
+@pytest.mark.parametrize("held", [1, 7, 50, 1 << 16])
+def test_batches_of_sessions_in_few_steps(spark, monkeypatch, held):
+    """However rows are gathered, sessions come out as one by one; the steps are those of the longest, not the sum of all."""
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for s in (*"abcde", None):
+        t = Tracker()
+        for f in (None, *range(0, 5 + 6 * (s == "c"))):
+            boxes, scores, classes = scene(rng, rng.integers(0, 4))
+            ids = t.update(f or 0, boxes, scores, classes)
+            rows += [(s, f, i, *map(float, b), float(c), int(k)) for i, (b, c, k) in enumerate(zip(boxes, scores, classes, strict=True))] or [(s, f, *[None] * 8)]
+            want |= {(s, f, i): int(v) for i, v in enumerate(ids)}
+    df = spark.createDataFrame(rows, "session_id string, frame_id int, det_idx int, cx double, cy double, w double, h double, angle double, confidence double, class_id int").coalesce(1)
+    steps, columns = [], [c for c in df.columns if c]
+    monkeypatch.setattr(module, "HELD_ROWS", held)
+    monkeypatch.setattr(Trackers, "update", lambda self, *a, f=Trackers.update: steps.append(1) or f(self, *a))
+    taken = {}
+
+    class Caught:
+        """Runs the task's function here, over batches of three rows."""
+
+        columns, schema, sparkSession = df.columns, df.schema, spark
+
+        def __getattr__(self, name):
+            return lambda *a: self
+
+        def mapInArrow(self, run, schema):
+            table = df.select(*columns).orderBy("session_id", "frame_id", F.col("det_idx").asc_nulls_last()).toArrow()
+            for batch in run(table.to_batches(max_chunksize=3)):
+                for r in batch.to_pylist():
+                    taken[r["session_id"], r["frame_id"], r["det_idx"]] = r["track_id"]
+
+    track(Caught())
+    assert taken == want
+    if held > len(rows):
+        assert len(steps) == 12
