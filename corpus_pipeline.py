@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from kerbside.llm import exact_dedup, jaccard_join, language_id, packing, pii
 from kerbside.llm.common import stored, without
 
+#: Executors have grown by the time of the last stage, so that its workers remember a quarter of what they do alone.
+REMEMBERED_PIECES = 200_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that are predicted und, which are those without letters; the model learns from the lang of the documents themselves."""
@@ -34,7 +37,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all pieces in sequences of at most 1024 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, remembered=REMEMBERED_PIECES)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact_copies), ("jaccard_join", near_copies), ("pii", personal_data), ("best_fit_packing", pack)]

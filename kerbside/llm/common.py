@@ -190,8 +190,18 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def by_bytes(batches: Iterable, limit: int = CHUNK_BYTES) -> Iterator[tuple]:
-    """(record batch slice, its texts as bytes) for about limit bytes of text at a time."""
+#: What this Python worker remembers from one task to the next of the same work. Workers serve all operators of a session.
+REMEMBERED: dict = {}
+
+
+def by_bytes(batches: Iterable, limit: int = CHUNK_BYTES, remember: bool = False) -> Iterator[tuple]:
+    """(record batch slice, its texts as bytes) for about limit bytes of text at a time.
+
+    What tasks of other work have left in this worker goes first, unless remember.
+    """
+    if REMEMBERED and not remember:
+        REMEMBERED.clear()
+        release()
     texts = batch = None
     for batch in batches:
         texts = utf8(batch.column("text"))

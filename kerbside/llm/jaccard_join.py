@@ -41,7 +41,7 @@ COSTLY, COUNTERS, PART, MERGED = 1000, 1 << 20, 1 << 15, 64
 BUCKET_KEYS = 500_000
 
 #: Keys that a map task gathers before it counts or sends them.
-HELD = 500_000
+HELD = 250_000
 LEAST_BUCKETS = 1024
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)

@@ -74,7 +74,7 @@ def places(bins: list[tuple[int, dict[int, int]]]) -> dict[int, list[tuple[int,
     return dict(out)
 
 
-def _cut(tokenizer_path: str, spaces_dropped: bool, end_id: int, capacity: int):
+def _cut(tokenizer_path: str, spaces_dropped: bool, end_id: int, capacity: int, remembered: int | None):
     def run(batches):
         import zlib
 
@@ -85,8 +85,8 @@ def _cut(tokenizer_path: str, spaces_dropped: bool, end_id: int, capacity: int):
         from kerbside.llm.tokens import tokenizer
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        with tokenizer(tokenizer_path, spaces_dropped) as t:
-            for batch, texts in by_bytes(batches):
+        with tokenizer(tokenizer_path, spaces_dropped, remembered) as t:
+            for batch, texts in by_bytes(batches, remember=True):
                 flat, counts = t.encode(texts)
                 ids = np.insert(flat, np.cumsum(counts), np.uint32(end_id)).astype("<u4")
                 ends = np.cumsum(counts + 1)
@@ -107,15 +107,16 @@ def _cut(tokenizer_path: str, spaces_dropped: bool, end_id: int, capacity: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, spaces_dropped: bool = False, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, spaces_dropped: bool = False, capacity: int = CAPACITY, remembered: int | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text counts as empty and is a piece of end_id alone; a null doc_id stays null; rows that repeat are packed
     each. Documents longer than capacity are cut so that the first piece takes what is over. An empty table gives an
-    empty table. Columns other than doc_id and text are ignored, whatever their names.
+    empty table. Columns other than doc_id and text are ignored, whatever their names. remembered: how many different
+    pieces of text a worker remembers; fewer take less memory and more time.
     """
     rows = texts_of(docs)
-    cut = rows.mapInArrow(_cut(tokenizer_path, spaces_dropped, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, nth long, part long")
+    cut = rows.mapInArrow(_cut(tokenizer_path, spaces_dropped, end_id, capacity, remembered), "doc_id long, piece int, start long, length long, ids_crc32 long, nth long, part long")
     pieces = stored(cut, "pieces")
     each = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = each.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))

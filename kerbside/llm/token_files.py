@@ -104,7 +104,7 @@ def _writer(tokenizer_path: str, spaces_dropped: bool, end_id: int, segment_ids:
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["shard", "seq", "base", "n_ids", "doc_ids", "lengths", "payload"])
 
         with tokenizer(tokenizer_path, spaces_dropped) as t:
-            for batch, texts in by_bytes(batches):
+            for batch, texts in by_bytes(batches, remember=True):
                 flat, counts = t.encode(texts)
                 ids = np.insert(flat, np.cumsum(counts), np.uint32(end_id))
                 held.append((batch.column("doc_id").to_pylist(), counts + 1, ids))

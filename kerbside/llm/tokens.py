@@ -17,7 +17,7 @@ from itertools import chain, count, islice
 
 import numpy as np
 
-from kerbside.llm.common import release
+from kerbside.llm.common import REMEMBERED, release
 
 #: Pieces that a worker remembers at most, about, and between tasks; the longest, and how many bytes of longer ones it holds.
 CACHE_PIECES, KEPT_PIECES, CACHE_BYTES, LONG_BYTES = 800_000, 600_000, 48, 8 << 20
@@ -47,9 +47,12 @@ def _unspaced(text: bytes) -> list[bytes]:
 
 
 class CachedTokenizer:
-    """encode(texts) gives all ids one text after the other, and how many each text has."""
+    """encode(texts) gives all ids one text after the other, and how many each text has.
 
-    def __init__(self, path: str, spaces_dropped: bool):
+    most: how many pieces it remembers, if not CACHE_PIECES; three quarters of them between tasks.
+    """
+
+    def __init__(self, path: str, spaces_dropped: bool, most: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -60,7 +63,7 @@ class CachedTokenizer:
         self.bound = np.zeros(max(vocabulary.values()) + 1, bool)
         self.bound[[i for t, i in vocabulary.items() if (t.endswith("</w>") if spaces_dropped else t == "Ċ")]] = True
         self.alone = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc9][\x80-\xbf])+" if spaces_dropped else rb" ?[^\t-\r ]+").fullmatch
-        self.long = 0
+        self.most, self.long = most, 0
         self.index: dict[bytes, int] = defaultdict(count().__next__)  # the number of each piece, a new one's included
         self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lens, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -130,8 +133,9 @@ class CachedTokenizer:
         self._keep(np.arange(len(keep)), ids, lens)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > CACHE_PIECES or self.long > LONG_BYTES:
-            self.forget(CACHE_PIECES // 2)
+        most = self.most or CACHE_PIECES
+        if len(self.index) > most or self.long > LONG_BYTES:
+            self.forget(most // 2)
         some = b"\n".join(texts)
         odd = any(x in some for x in _WHOLE)
         lists = [[t] if odd and (b"<|" in t or _OTHER_SPACE.search(t)) else self.pieces(t) for t in texts]
@@ -145,16 +149,18 @@ class CachedTokenizer:
         return flat, np.diff(np.concatenate([[0], np.cumsum(lens)])[np.cumsum(each)], prepend=0)
 
 
-_MADE: dict[tuple, CachedTokenizer] = {}
-
-
 @contextmanager
-def tokenizer(path: str, spaces_dropped: bool) -> Iterator[CachedTokenizer]:
-    """The tokenizer of this Python worker, for one task: later ones find its commonest pieces, and memory for other work."""
-    made = _MADE.setdefault((path, spaces_dropped), None) or CachedTokenizer(path, spaces_dropped)
-    _MADE[path, spaces_dropped] = made
+def tokenizer(path: str, spaces_dropped: bool, most: int | None = None) -> Iterator[CachedTokenizer]:
+    """The tokenizer of this Python worker, for one task: later ones find its commonest pieces.
+
+    Other tokenizers are forgotten, and this one as soon as the worker reads texts for other work.
+    """
+    key = ("tokenizer", path, spaces_dropped, most)
+    made = REMEMBERED.get(key) or CachedTokenizer(path, spaces_dropped, most)
+    REMEMBERED.clear()
+    REMEMBERED[key] = made
     try:
         yield made
     finally:
-        made.forget(KEPT_PIECES)
+        made.forget(most * 3 // 4 if most else KEPT_PIECES)
         release()

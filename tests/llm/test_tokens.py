@@ -5,12 +5,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from kerbside.llm import bpe, packing, token_files, tokens
-from kerbside.llm.common import scratch
+from kerbside.llm.common import by_bytes, scratch
 from tokenizers import Tokenizer
 
 WORD, BYTE, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
@@ -41,6 +42,34 @@ def test_pieces_give_the_ids_of_whole_texts(path, spaces_dropped, texts):
     assert ids.tolist() == [i for w in want for i in w]
 
 
+def test_a_worker_forgets_its_pieces_when_it_reads_texts_for_other_work():
+    batch = pa.RecordBatch.from_pydict({"text": ["some text", None]})
+
+    def known(path=BYTE):
+        """How many pieces a task finds; it leaves two."""
+        with tokens.tokenizer(path, path == WORD) as t:
+            n = len(t.index)
+            for _, texts in by_bytes([batch], remember=True):
+                t.encode(texts)
+        return n
+
+    known()
+    assert known() == 2
+    list(by_bytes([batch]))
+    assert known() == 0 and known() == 2
+    assert known(WORD) == 0 and known() == 0  # one tokenizer at a time
+
+
+def test_a_worker_remembers_as_many_pieces_as_it_is_told():
+    texts = [f"{i} some text" for i in range(100)]
+    for most, left in ((8, 6), (None, 102)):
+        with tokens.tokenizer(BYTE, False, most) as t:
+            for text in texts:
+                ids, _ = t.encode([text.encode()])
+                assert ids.tolist() == PLAIN[BYTE](text) and (most is None or len(t.index) <= most + 3)
+        assert len(t.index) <= left and (most or len(t.index) == left)
+
+
 @pytest.mark.parametrize(("path", "spaces_dropped"), [(WORD, True), (BYTE, False)])
 def test_marks_after_every_latin_letter(path, spaces_dropped):
     texts = [f"{a}{chr(c)}{b}{marks}" for c in range(0xC0, 0x250) for a in ("", "x") for b in ("", "y") for marks in ("--", ".", "'s")]
