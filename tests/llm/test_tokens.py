@@ -78,6 +78,32 @@ def test_marks_after_every_latin_letter(path, spaces_dropped):
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_a_word_is_one_piece_in_any_case_and_with_any_marks():
+    cached = tokens.CachedTokenizer(WORD, True)
+    texts = ["Word, word. WORD!) word", "ñ Word; wORD", ""]
+    ids, counts = cached.encode([t.encode() for t in texts])
+    want = [PLAIN[WORD](t) for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(cached.index) == 6  # word , . !) ; ñ
+
+
+@pytest.mark.parametrize(("path", "spaces_dropped"), [(WORD, True), (BYTE, False)])
+def test_pieces_of_one_slot_and_of_all_sizes(path, spaces_dropped, monkeypatch):
+    monkeypatch.setattr(tokens._Pieces, "_home", lambda self, rows: np.zeros(len(rows), np.int64))
+    monkeypatch.setattr(tokens, "LOOKED_UP", 50)
+    cached = tokens.CachedTokenizer(path, spaces_dropped, 150)
+    texts = [" ".join(a * n + b for n in range(1, 40) for b in ("", "\x00", "1", "é")) for a in ("x", "Y", "ß")] * 2
+    for text in texts:
+        ids, counts = cached.encode([text.encode(), b"x"])
+        want = PLAIN[path](text) + PLAIN[path]("x")
+        assert ids.tolist() == want and counts.sum() == len(want)
+
+
+def test_bytes_that_are_no_utf8_fail():
+    with pytest.raises(UnicodeDecodeError):
+        tokens.CachedTokenizer(BYTE, False).encode([b"a \xff b"])
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
