@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from kerbside.operators import crowds, lanes
 from kerbside.queries import QUERIES
+from pyspark.sql import functions as F
 from test_scale import LANES, TRACKS, scene
 
 
@@ -87,3 +88,37 @@ def test_pairs_of_a_crowd_arent_moved(spark):
     plan = QUERIES["lane_entries_many"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     top = plan[: plan.index("MapInArrow")]
     assert "Exchange" not in top and "Window" not in top and "Join" not in top
+
+
+def wanted_figures(rows, used, table, now=None, age=None):
+    last = {}
+    for r in sorted(rows, key=lambda r: r[2]):
+        last[r[1]] = r
+    last = {k: r for k, r in last.items() if age is None or now - r[2] <= age}
+    ever = {i: len({r[1] for r in rows if holds(p, r[3], r[4])}) for i, p in used.items()}
+    flow = {i: sum(holds(p, r[3], r[4]) for r in last.values()) for i, p in used.items()}
+    return sorted((r.lane_id, r.name, ever.get(r.lane_id, 0), flow.get(r.lane_id, 0)) for r in table.select("lane_id", "name").collect())
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_figures_of_a_few_rows_at_a_time(spark, few, seed):
+    table, tracks, rows, used = crowd(spark, seed)
+    rows += [("s", 77, i, 20.0 + i % 9, 30.0, 0.0) for i in range(300)]  # a track over many chunks
+    tracks = spark.createDataFrame(rows, TRACKS).withColumn("stationary", F.col("track_id") % 2 == 0)
+    for now, age in ((None, None), (300, 0)):
+        got = lanes.lane_figures(tracks, table, now=now, max_age=age).collect()
+        assert sorted((r.lane_id, r.name, r.pass_count, r.flow_count) for r in got) == wanted_figures(rows, used, table, now, age)
+        assert all(r.queue_count <= r.flow_count <= r.pass_count for r in got) and any(0 < r.queue_count < r.flow_count for r in got) == (age is None)
+
+
+def test_figures_in_tasks(spark):
+    table, tracks, rows, used = crowd(spark, 2)
+    got = lanes.lane_figures(tracks, table.unionByName(spark.createDataFrame([(None, "no id", [(0.0, 0.0), (490.0, 0.0), (0.0, 990.0)], True)], LANES))).collect()
+    assert sorted((r.lane_id, r.name, r.pass_count, r.flow_count) for r in got if r.lane_id is not None) == wanted_figures(rows, used, table)
+    assert [tuple(r) for r in got if r.lane_id is None] == [(None, "no id", 0, 0, 0)]
+
+
+def test_tracks_of_a_crowd_arent_moved(spark):
+    """Only counts leave the tasks in which tracks meet lanes, not a row for each lane and track."""
+    plan = QUERIES["lane_figures_many"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "track_id" not in plan[: plan.index("MapInArrow")]
