@@ -132,6 +132,30 @@ def haversine(lon1, lat1, lon2, lat2) -> Column:
     return F.asin(F.sqrt(h)) * (2 * EARTH_RADIUS)
 
 
+def with_undistorted(df: DataFrame, x: str, y: str, camera: Camera, rounds: int = 10) -> DataFrame:
+    """Moves the columns x, y to where they are without lens distortion; null if one of them is.
+
+    undistorted() as steps over flat columns, which Spark compiles; a fold over structs it doesn't, and computes anew wherever
+    its fields are named within a lambda. No step can be null (what isn't there goes as NaN), as tests for null would make
+    the compiled method too long for the JVM.
+    """
+    fx, fy, cx, cy = (float(camera.matrix[i]) for i in (0, 4, 2, 5))
+    k1, k2, p1, p2, k3 = map(camera.coefficient, range(5))
+    number = lambda c: F.coalesce(c, F.lit(float("nan")))
+    out = df.withColumns({"_known": F.col(x).isNotNull() & F.col(y).isNotNull(), "_u0": number((F.col(x) - cx) / fx), "_v0": number((F.col(y) - cy) / fy)})
+    u, v = F.col("_u0"), F.col("_v0")
+    for _ in range(rounds):
+        out = out.withColumns({"_uu": u * u, "_vv": v * v, "_cross": u * v * 2})
+        out = out.withColumn("_q", F.col("_uu") + F.col("_vv"))
+        out = out.withColumn("_qq", F.col("_q") * F.col("_q"))
+        q, qq, cross = F.col("_q"), F.col("_qq"), F.col("_cross")
+        out = out.withColumns({"_radial": F.lit(1.0) + q * k1 + qq * k2 + qq * q * k3, "_dx": cross * p1 + (q + F.col("_uu") * 2) * p2, "_dy": (q + F.col("_vv") * 2) * p1 + cross * p2})
+        out = out.withColumns({"_u": number((F.col("_u0") - F.col("_dx")) / F.col("_radial")), "_v": number((F.col("_v0") - F.col("_dy")) / F.col("_radial"))})
+        u, v = F.col("_u"), F.col("_v")
+    out = out.withColumns({x: F.when(F.col("_known"), u * fx + cx), y: F.when(F.col("_known"), v * fy + cy)})
+    return out.drop("_known", "_u0", "_v0", "_uu", "_vv", "_cross", "_q", "_qq", "_radial", "_dx", "_dy", "_u", "_v")
+
+
 def undistort_stage(detections: DataFrame, camera: Camera) -> DataFrame:
     """Moves the centres cx, cy and sets undistorted; corners and bounding boxes stay those of the image."""
     p = undistorted("cx", "cy", camera)
@@ -186,9 +210,17 @@ def geo_stage(detections: DataFrame, homography: Sequence[float], origin: tuple[
 
 def ground_corners(corners, homography: Sequence[float], camera: Camera | None = None) -> Column:
     """Image corners, array<struct<x,y>>, on the ground."""
+    flat = _c(corners)
+    if camera is not None:  # on its own, so that a corner is undistorted once
+        flat = F.transform(flat, lambda p: undistorted(p["x"], p["y"], camera))
+    return F.transform(flat, lambda p: perspective(p["x"], p["y"], homography))
 
-    def one(p):
-        q = undistorted(p["x"], p["y"], camera) if camera is not None else p
-        return perspective(q["x"], q["y"], homography)
 
-    return F.transform(_c(corners), one)
+def each_corner_on_ground(df: DataFrame, corners, homography: Sequence[float], camera: Camera | None = None) -> DataFrame:
+    """A row for each corner, of which corner is the number from 1 on: adds corner, x, y as ground_corners() has them, null without a place."""
+    out = df.select("*", F.posexplode(_c(corners)).alias("_i", "_c")).withColumns({"corner": F.col("_i") + 1, "x": F.col("_c.x"), "y": F.col("_c.y")}).drop("_i", "_c")
+    if camera is not None:
+        out = with_undistorted(out, "x", "y", camera)
+    a, b, w = (F.col("x") * float(homography[i]) + F.col("y") * float(homography[i + 1]) + float(homography[i + 2]) for i in (0, 3, 6))
+    out = out.withColumns({"_a": a, "_b": b, "_w": w})
+    return out.withColumns({k: F.when(F.abs("_w") >= 1e-12, F.col(f"_{n}") / F.col("_w")) for k, n in (("x", "a"), ("y", "b"))}).drop("_a", "_b", "_w")

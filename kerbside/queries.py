@@ -468,8 +468,9 @@ _ALL_CORNERS = "(" + " UNION ALL ".join(f"SELECT track_id, frame_id, {i} corner,
 def undistorted_corners(spark, d):
     """All four corners, through the lens and onto the ground."""
     box = geometry.rect_corners(F.col("px") - 4, F.col("py") - 2, F.col("px") + 4, F.col("py") + 2)
-    out = tracks(spark, d).select("track_id", "frame_id", F.posexplode(geo.ground_corners(box, H, CAMERA)).alias("i", "c"))
-    return out.select("track_id", "frame_id", (F.col("i") + 1).alias("corner"), r("c.x", 5).alias("x"), r("c.y", 5).alias("y"))
+    seen = tracks(spark, d).select("track_id", "frame_id", box.alias("box"))
+    out = geo.each_corner_on_ground(seen, "box", H, CAMERA)
+    return out.select("track_id", "frame_id", "corner", r("x", 5).alias("x"), r("y", 5).alias("y"))
 
 
 # Detections. embeddings are 8 boxes of 4 + 3 + 1 features each.
