@@ -47,7 +47,7 @@ def few(monkeypatch, spark):
         return spark.createDataFrame([tuple(r.values()) for b in f(iter(df.toArrow().to_batches(max_chunksize=7))) for r in b.to_pylist()], schema)
 
     monkeypatch.setattr(type(spark.range(1)), "mapInArrow", here)
-    for k, v in {"ROWS": 40, "PAIRS": 50, "OUT": 9, "BLOCK": 30, "BUCKET": 2000}.items():
+    for k, v in {"ROWS": 40, "PAIRS": 50, "OUT": 9, "BLOCK": 30, "BUCKET": 2000, "EACH": 10}.items():
         monkeypatch.setattr(crowds, k, v)
 
 
